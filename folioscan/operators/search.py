@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BOOST_MARKERS, contains_any, normalize_path, strip, tokenize
+from ..functions.text import BOOST_MARKERS, contains_any, strip, tokenize
 from .sequences import first_rows, top_rows
 
 TITLE_BOOST = 1.35
@@ -216,7 +216,7 @@ def minmax(scores: DataFrame, by: list[str]) -> DataFrame:
     bounds = scores.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     scaled = (F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
               .when(F.col("score") > 0, 1.0).otherwise(0.0))
-    return scores.join(bounds, by).select(*scores.columns, rounded(scaled).alias("norm"))
+    return scores.join(bounds, by).select(*scores.columns, scaled.alias("norm"))
 
 
 def rrf(lists: DataFrame, fetch: int, k: int = 60) -> DataFrame:
@@ -331,28 +331,24 @@ def search_pages(pages: DataFrame, queries: DataFrame, limit: int = 20) -> DataF
 
     A substring test has no equi key, so each page tests the whole (small, size-checked) query list in its own row
     and only matching pairs leave it."""
-    terms = bounded_list(queries.select("query_id", F.lower(strip("text")).alias("q")))
+    asked = queries.select("query_id", F.lower(strip("text")).alias("q"))
     hay = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " "), "body"))
     title = F.lower("title")
-    hits = F.filter(terms, lambda t: (t["q"] == "") | hay.contains(t["q"]))
+    hits = F.filter("__asked", lambda t: (t["q"] == "") | hay.contains(t["q"]))
     scored = F.transform(hits, lambda t: F.struct(
         t["query_id"].alias("query_id"),
         F.when(t["q"] == "", 1).otherwise(F.when(title.contains(t["q"]), 12).otherwise(2)).alias("score")))
-    rows = pages.select("rel_path", "title", F.explode(scored).alias("s")).select("rel_path", "title", "s.*")
+    rows = with_list(pages, asked, "__asked").select("rel_path", "title", F.explode(scored).alias("s")).select("rel_path", "title", "s.*")
     return top_rows(rows, ["query_id"], [F.desc("score"), F.asc("title"), F.asc("rel_path")], limit)
 
 
 LIST_LIMIT = 10_000
 
 
-def bounded_list(df: DataFrame, limit: int = LIST_LIMIT) -> Column:
-    """All rows of a small table as one array, for tests that no join key can express.
+def with_list(df: DataFrame, small: DataFrame, name: str, limit: int = LIST_LIMIT) -> DataFrame:
+    """Add all rows of a small table as one array column, for tests that no join key can express.
 
     The size is checked when the plan is built; a larger table must be given in parts."""
-    if df.limit(limit + 1).count() > limit:
+    if small.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows: split the table and union the results")
-    return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
-
-
-def scope_of(path) -> Column:
-    return normalize_path(path)
+    return df.select("*", small.agg(F.collect_list(F.struct(*small.columns))).scalar().alias(name))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOG, Query
 
-MODULES = ("orders", "retrieval")
+MODULES = ("orders", "retrieval", "corpus")
 
 
 def load() -> dict[str, Query]:

@@ -142,7 +142,7 @@ def _(t):
 with {TFIDF} select query_id, chunk_id, score, round(case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end, 6) as norm
 from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from tfidf) x""")
 def _(t):
-    return S.minmax(tfidf(t), ["query_id"])
+    return S.minmax(tfidf(t), ["query_id"]).withColumn("norm", S.rounded("norm"))
 
 
 @query("J5", "j5_hybrid_rrf", f"""
@@ -154,9 +154,9 @@ def _(t):
 for _name, _mix, _max in (("j6_hybrid_weighted", "0.35 * a + 0.65 * b", False), ("j6_hybrid_max", "greatest(0.35 * a, 0.65 * b)", True)):
     @query("J6", _name, f"""
     with {TFIDF}, {BM25}, {KEYWORD}, {COSINE},
-    an as (select query_id, chunk_id, round(case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end, 6) as a
+    an as (select query_id, chunk_id, case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end as a
       from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from kw)),
-    bn as (select query_id, chunk_id, round(case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end, 6) as b
+    bn as (select query_id, chunk_id, case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end as b
       from (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from vtop)),
     ab as (select query_id, chunk_id, coalesce(a, 0.0) as a, coalesce(b, 0.0) as b from an full outer join bn using (query_id, chunk_id)),
     sc as (select *, round({_mix}, 6) as score from ab),

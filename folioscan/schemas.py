@@ -39,8 +39,16 @@ TABLES: dict[str, T.StructType] = {
 
 
 def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict[str, Any] | None = None) -> DataFrame:
-    """Add the columns `schema` has and `df` lacks, then fill defaults. Applying it twice changes nothing."""
-    empty = df.sparkSession.createDataFrame([], schema)
-    widened = empty.unionByName(df, allowMissingColumns=True)
-    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (defaults or {}).items()}
-    return widened.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in widened.columns])
+    """Bring `df` to `schema`: absent columns are added, NULLs take their default, other columns stay behind.
+
+    A plain projection, so applying it twice changes nothing and costs nothing."""
+    defaults = defaults or {}
+
+    def cell(field: T.StructField):
+        value = F.col(field.name) if field.name in df.columns else F.lit(None)
+        if field.name in defaults:
+            value = F.coalesce(value, F.lit(defaults[field.name]))
+        return value.cast(field.dataType).alias(field.name)
+
+    extra = [c for c in df.columns if c not in schema.fieldNames()]
+    return df.select(*[cell(f) for f in schema.fields], *extra)
