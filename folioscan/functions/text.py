@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it several times inside `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value) -> Column:
     """Trim all Unicode blanks; touches the ends only, unlike a regular expression."""
     return F.btrim(col(value), F.lit(BLANKS))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    col, context_prefix, is_html_table, is_markdown_table, is_table_block, lines_of, normalize_text, squeeze, strip, tokenize,
+    col, context_prefix, is_html_table, is_markdown_table, is_table_block, let, lines_of, normalize_text, squeeze, strip, tokenize,
 )
 
 HEADING = r"(?md)^#{1,4}\s+(.+)$"
@@ -20,11 +20,6 @@ HELD, TABLE = "\u0001", "\u0002"
 STRINGS = "array<string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def no_strings() -> Column:
     return F.array().cast(STRINGS)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    base_name, extension, is_markdown_table, lines_of, memo_date, normalize_path, section_items,
+    base_name, extension, is_markdown_table, let, lines_of, memo_date, normalize_path, section_items,
     split_sentences, strip,
 )
 from .chunking import document_array
@@ -103,7 +103,8 @@ def search_library(rows: DataFrame, queries: DataFrame) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "title", "text", "rel_path", "asset_path", "asset_filename", F.array_join("tags", " ")))
     asked = queries.select("query_id", F.lower(strip("q")).alias("q"))
     listed = with_list(rows, asked, "__asked")
-    return listed.select("chunk_id", "rel_path", F.explode(F.filter("__asked", lambda t: hay.contains(t["q"]))).alias("t")).select(
+    return listed.select("chunk_id", "rel_path", F.explode(
+        let(hay, lambda h: F.filter("__asked", lambda t: h.contains(t["q"])))).alias("t")).select(
         F.col("t.query_id").alias("query_id"), "chunk_id", "rel_path")
 
 

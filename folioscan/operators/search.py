@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BOOST_MARKERS, contains_any, strip, tokenize
+from ..functions.text import BOOST_MARKERS, contains_any, let, strip, tokenize
 from .sequences import first_rows, top_rows
 
 TITLE_BOOST = 1.35
@@ -20,6 +20,7 @@ FUSED_MARKER_BOOST = 1.12
 PLACES = 6
 BM25_K1, BM25_B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+QUERY_BLOCK = 2048  # queries shipped to the tasks at a time
 
 
 def rounded(score) -> Column:
@@ -49,8 +50,9 @@ def matching_postings(queries: DataFrame, chunks: DataFrame, by: list[str] | Non
     by = by or []
     wanted = query_tokens(queries, by).select(*by, "token").distinct()
     carried = [c for c in ("title", "rel_path") if c in chunks.columns]
+    # explode_outer: plain explode adds a size test that would tokenize twice; the join drops the empty rows.
     rows = chunks.select("chunk_id", *by, *carried, contains_any("text", BOOST_MARKERS).alias("marked"),
-                         F.explode("tokens").alias("token"))
+                         F.explode_outer("tokens").alias("token"))
     return rows.join(wanted, [*by, "token"])
 
 
@@ -61,10 +63,10 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame, by: list[str] | None = N
     `by` names scope columns present on both sides: document counts are then taken inside each scope.
     `df` may bring document frequencies from a stored index."""
     by = by or []
-    # One shuffle on the chunk serves the term counts and the per-query sums.
-    hits = matching_postings(queries, chunks, by).repartition("chunk_id")
-    tf = hits.groupBy("chunk_id", *by, "token").agg(
-        F.count("*").alias("tf"), F.max("title").alias("title"), F.max("marked").alias("marked"))
+    # One shuffle on the chunk serves the term counts and the per-query sums. Title and mark are grouping keys, so the
+    # document counts below keep the same columns and reuse that shuffle instead of reading the corpus again.
+    hits = matching_postings(queries, chunks, by).select("chunk_id", *by, "token", "title", "marked").repartition("chunk_id")
+    tf = hits.groupBy("chunk_id", *by, "token", "title", "marked").agg(F.count("*").alias("tf"))
     if df is None:
         df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
     asked = query_tokens(queries, by)
@@ -76,17 +78,115 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame, by: list[str] | None = N
         weighted, total = asked.join(df, "token"), chunks.agg(F.count("*")).scalar()
     weights = weighted.select("query_id", *by, "token", F.log(1 + total / (1 + F.col("df"))).alias("idf"))
     scored = (tf.join(weights, [*by, "token"])
-              .groupBy("query_id", "chunk_id")
-              .agg(F.sum((1 + F.log(1 + F.col("tf"))) * F.col("idf")).alias("raw"),
-                   F.lower(F.max("title")).alias("title"), F.max("marked").alias("marked")))
+              .groupBy("query_id", "chunk_id", "title", "marked")
+              .agg(F.sum((1 + F.log(1 + F.col("tf"))) * F.col("idf")).alias("raw")))
     terms = queries.select("query_id", F.array_distinct(tokenize("text")).alias("terms"))
-    in_title = F.exists("terms", lambda q: F.col("title").contains(q))
+    in_title = let(F.lower("title"), lambda low: F.exists("terms", lambda q: low.contains(q)))
     return (scored.where("raw > 0").join(terms, "query_id")
             .select("query_id", "chunk_id",
                     rounded(F.col("raw") * F.when(in_title, TITLE_BOOST).otherwise(1.0)
                             * F.when(F.col("marked"), MARKER_BOOST).otherwise(1.0)).alias("score")))
 
 
+def tfidf_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best TF-IDF chunks of each query, same scores as `tfidf_scores`.
+
+    Nearly every chunk shares some word with every query, so listing (query, chunk) pairs costs far more than scoring
+    them. Here the term weights of a block of queries are shipped to the tasks, each Arrow batch of chunks becomes one
+    matrix product, and only the batch's own best k per query leave the task: no postings are shuffled at all.
+    Document frequencies of the asked words are counted first, map-side."""
+    total = chunks.agg(F.count("*")).scalar()
+    parts = []
+    for block in query_blocks(queries):
+        asked = query_tokens(block)
+        df = (chunks.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
+              .join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df")))
+        weights = asked.join(df, "token").groupBy("query_id").agg(
+            F.collect_list(F.struct("token", F.log(1 + total / (1 + F.col("df"))).alias("idf"))).alias("w"))
+        terms = block.select("query_id", F.array_distinct(tokenize("text")).alias("terms"))
+        held = terms.join(weights, "query_id").collect()
+        parts.append(_tfidf_block([r["query_id"] for r in held], [r["terms"] for r in held],
+                                  [{x["token"]: x["idf"] for x in r["w"]} for r in held], chunks, k))
+    return best(reduce(DataFrame.unionByName, parts), k).drop("rank")
+
+
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The query table in parts of about QUERY_BLOCK rows; one part in the usual case."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def _keep_best(scores, k: int, positive: bool):
+    """Row and column indices of a (query, chunk) score matrix that can still be among the best k, ties included."""
+    import numpy as np
+
+    if scores.shape[1] > k:
+        at = scores.shape[1] - k
+        floor = np.partition(scores, at, axis=1)[:, [at]]
+        keep = scores >= floor
+    else:
+        keep = np.ones_like(scores, dtype=bool)
+    return np.nonzero(keep & (scores > 0) if positive else keep)
+
+
+def _tfidf_block(ids: list, terms: list[list[str]], weights: list[dict[str, float]], chunks: DataFrame, k: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, terms, weights))
+
+    def score(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, asked, table = shared.value
+        vocabulary = sorted({t for w in table for t in w})
+        place = {t: i for i, t in enumerate(vocabulary)}
+        words = pa.array(vocabulary, type=pa.string())
+        idf = np.zeros((len(vocabulary), len(names)))
+        for q, w in enumerate(table):
+            for token, value in w.items():
+                idf[place[token], q] = value
+        every = sorted({t for ts in asked for t in ts})
+        queries_of: dict[str, list[int]] = {}
+        for q, ts in enumerate(asked):
+            for t in ts:
+                queries_of.setdefault(t, []).append(q)
+        title_boosts: dict[str, object] = {}
+
+        def boosts_of(title: str):
+            if title not in title_boosts:
+                if len(title_boosts) > 20000:
+                    title_boosts.clear()
+                row = np.ones(len(names))
+                for t in every:
+                    if t in title:
+                        row[queries_of[t]] = TITLE_BOOST
+                title_boosts[title] = row
+            return title_boosts[title]
+
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            tokens = batch.column(2)
+            n, v = batch.num_rows, len(vocabulary)
+            code = pc.index_in(tokens.flatten(), value_set=words)
+            owner = np.repeat(np.arange(n), np.asarray(tokens.value_lengths().fill_null(0)))
+            known = np.asarray(code.is_valid())
+            cells = owner[known] * v + np.asarray(code.drop_null()).astype(np.int64)
+            tf = np.bincount(cells, minlength=n * v).reshape(n, v)
+            hit = np.where(tf > 0, 1.0 + np.log1p(tf), 0.0)
+            scores = (hit @ idf).T
+            titles = batch.column(1).to_pylist()
+            scores *= np.stack([boosts_of(x) for x in titles], axis=1)
+            scores *= np.where(np.asarray(batch.column(3)), MARKER_BOOST, 1.0)
+            scores = np.round(scores, PLACES)
+            qi, ci = _keep_best(scores, k, True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
+                 pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
+
+    rows = chunks.select("chunk_id", F.coalesce(F.lower("title"), F.lit("")).alias("title"), "tokens",
+                         contains_any("text", BOOST_MARKERS).alias("marked"))
+    return rows.mapInArrow(score, "query_id bigint, chunk_id string, score double")
+
+
 def best(scores: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     """Top k chunks per query; ties go to the smaller chunk id."""
     return top_rows(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k, rank)
@@ -122,12 +222,13 @@ def bm25_phrase(queries: DataFrame, chunks: DataFrame, limit: int = 20, allowed:
     grams = trigrams(F.col("q"))
     solid = F.filter(grams, lambda g: ~g.contains(" "))
     asked = asked.select("query_id", "q", F.coalesce(F.get(solid, F.lit(0)), F.get(grams, F.lit(0))).alias("gram"))
-    found = (rows.select("*", F.explode(F.array_distinct(trigrams(F.col("content")))).alias("gram"))
+    found = (rows.select("*", F.explode_outer(F.array_distinct(trigrams(F.col("content")))).alias("gram"))
              .join(asked, "gram").where(F.col("content").contains(F.col("q")))
              .select("query_id", "chunk_id", size.alias("dl"),
                      (occurrences(F.col("title"), F.col("q")) + occurrences(F.col("content"), F.col("q"))).alias("f")))
-    # Few rows survive; one shuffle here is shared by the counts and the ranking, so the corpus is read once for both.
-    found = found.repartition("chunk_id")
+    # Few rows survive. The shuffle below is shared by the counts and the ranking, so the corpus is read once for both;
+    # `distinct` drops nothing and keeps the two uses from pruning different columns.
+    found = found.repartition("chunk_id").distinct()
     seen = found.groupBy("query_id").agg(F.count("*").alias("n"))
     total = rows.agg(F.count("*")).scalar()
     mean = rows.agg(F.avg(size)).scalar()
@@ -148,9 +249,6 @@ def keyword_scores(phrase_hits: DataFrame, tfidf: DataFrame) -> DataFrame:
         tfidf.join(used, "query_id", "left_anti").select("query_id", "chunk_id", "score", F.lit("tfidf").alias("method")))
 
 
-QUERY_BLOCK = 2048
-
-
 def _score_block(ids: list, matrix: list[list[float]], vectors: DataFrame, k: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -180,12 +278,7 @@ def _score_block(ids: list, matrix: list[list[float]], vectors: DataFrame, k: in
                 v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
                 scores[np.ix_(at, same)] = q @ v.T
             scores = np.round(scores, PLACES) + 0.0
-            # Keep every row that can still be among the best k, ties included.
-            if batch.num_rows > k:
-                floor = np.partition(scores, batch.num_rows - k, axis=1)[:, [batch.num_rows - k]]
-                qi, ci = np.nonzero(scores >= floor)
-            else:
-                qi, ci = np.nonzero(np.ones_like(scores, dtype=bool))
+            qi, ci = _keep_best(scores, k, False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
                  pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
@@ -199,12 +292,9 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     Each Arrow batch of vectors is multiplied with a block of queries and only its own best k per query leave the
     task, so pairs are never emitted. Query vectors are shipped in blocks of a fixed size: one block is the usual
     case, a larger query table runs block by block. A different dimension or a zero vector scores 0."""
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
     parts = []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = mine.select("query_id", "vector").collect()
+    for block in query_blocks(queries.select("query_id", "vector")):
+        held = block.collect()
         parts.append(_score_block([r[0] for r in held], [list(r[1] or []) for r in held], vectors, k))
     return best(reduce(DataFrame.unionByName, parts), k).drop("rank")
 
@@ -333,12 +423,12 @@ def search_pages(pages: DataFrame, queries: DataFrame, limit: int = 20) -> DataF
     and only matching pairs leave it."""
     asked = queries.select("query_id", F.lower(strip("text")).alias("q"))
     hay = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " "), "body"))
-    title = F.lower("title")
-    hits = F.filter("__asked", lambda t: (t["q"] == "") | hay.contains(t["q"]))
-    scored = F.transform(hits, lambda t: F.struct(
+    hits = let(hay, lambda h: F.filter("__asked", lambda t: (t["q"] == "") | h.contains(t["q"])))
+    scored = let(F.lower("title"), lambda title: F.transform(hits, lambda t: F.struct(
         t["query_id"].alias("query_id"),
-        F.when(t["q"] == "", 1).otherwise(F.when(title.contains(t["q"]), 12).otherwise(2)).alias("score")))
-    rows = with_list(pages, asked, "__asked").select("rel_path", "title", F.explode(scored).alias("s")).select("rel_path", "title", "s.*")
+        F.when(t["q"] == "", 1).otherwise(F.when(title.contains(t["q"]), 12).otherwise(2)).alias("score"))))
+    rows = with_list(pages, asked, "__asked").select("rel_path", "title", F.explode(scored).alias("s")).select(
+        "rel_path", "title", "s.*")
     return top_rows(rows, ["query_id"], [F.desc("score"), F.asc("title"), F.asc("rel_path")], limit)
 
 

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, tokenize
 from ..operators.chunking import window_chunks
 from ..operators.sequences import qa_pairs
+from ..session import materialize
 from .fixtures import Tables
 
 SIZE, OVERLAP = 480, 80
 
 
+def once(fn):
+    """Build a derived table once per data folder."""
+
+    @functools.wraps(fn)
+    def wrapper(t: Tables) -> DataFrame:
+        key = f"{fn.__module__}.{fn.__qualname__}"
+        if key not in t.opened:
+            t.opened[key] = fn(t)
+        return t.opened[key]
+
+    return wrapper
+
+
+@once
 def chunks(t: Tables) -> DataFrame:
     """480-character windows over every page, with tokens."""
     pages = t.spread(t.v_pages, "rel_path").select("rel_path", "title", "type", "status", squeeze("body").alias("flat"))
@@ -21,10 +38,17 @@ def chunks(t: Tables) -> DataFrame:
                        "type", "status", F.col("ord").cast("bigint").alias("ord"), "text", tokenize("text").alias("tokens"))
 
 
+@once
+def index(t: Tables) -> DataFrame:
+    """The chunk table written out once, for jobs that pass over it several times."""
+    return materialize(chunks(t), "chunks")
+
+
 def queries(t: Tables) -> DataFrame:
     return t.v_queries
 
 
+@once
 def qa(t: Tables) -> DataFrame:
     """Question log derived from the turns, with its grounding flag and source list."""
     return qa_pairs(t.v_turns).select(
@@ -33,6 +57,7 @@ def qa(t: Tables) -> DataFrame:
         F.when(F.length("answer") % 4 == 0, "[]").otherwise('[{"title":"t","path":"p"}]').alias("sources"))
 
 
+@once
 def page_arrays(t: Tables) -> DataFrame:
     """Pages with their tags and links as arrays; both are a handful per page."""
     tags = t.v_tags.groupBy("rel_path").agg(F.transform(
@@ -44,17 +69,20 @@ def page_arrays(t: Tables) -> DataFrame:
             .withColumn("tags", F.coalesce("tags", none)).withColumn("links", F.coalesce("links", none)))
 
 
+@once
 def chunk_vectors(t: Tables) -> DataFrame:
     """Stored vectors placed on the first chunk of the page with the same number."""
     return t.v_embeddings.join(t.v_pages.select("doc_id", "rel_path"), F.col("vec_id") == F.col("doc_id")).select(
         F.concat("rel_path", F.lit("#0")).alias("chunk_id"), "model", F.col("embedding").alias("vector"))
 
 
+@once
 def query_vectors(t: Tables) -> DataFrame:
     return t.v_queries.join(t.v_embeddings, F.col("vec_id") == F.col("query_id")).select(
         "query_id", F.col("embedding").alias("vector"))
 
 
+@once
 def label_queries(t: Tables) -> DataFrame:
     """One query vector per label: the stored vector with the smallest id of that label."""
     return t.v_embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(

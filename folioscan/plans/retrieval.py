@@ -58,24 +58,34 @@ hybrid as (select c.query_id, c.chunk_id, round(c.score * case when m.marked the
   from cut c join marks m on m.chunk_id = c.chunk_id where rank <= 10)"""
 
 
+@C.once
 def tfidf(t):
-    return S.tfidf_scores(C.queries(t), C.chunks(t))
+    return S.tfidf_scores(C.queries(t), C.index(t))
 
 
+@C.once
 def bm25(t):
-    return S.bm25_phrase(C.queries(t), C.chunks(t))
+    return S.bm25_phrase(C.queries(t), C.index(t))
 
 
+@C.once
 def keyword(t):
+    """Best 20 keyword hits per query; enough for every fused list below."""
+    return S.keyword_scores(bm25(t), S.tfidf_top(C.queries(t), C.index(t), 20))
+
+
+def keyword_all(t):
     return S.keyword_scores(bm25(t), tfidf(t))
 
 
-def vectors(t, k=20):
-    return S.vector_scores(C.query_vectors(t), C.chunk_vectors(t).select("chunk_id", "vector"), k)
+@C.once
+def vectors(t):
+    return S.vector_scores(C.query_vectors(t), C.chunk_vectors(t).select("chunk_id", "vector"), 20)
 
 
-def hybrid(t, k=10):
-    return S.hybrid_rrf(keyword(t), vectors(t), C.chunks(t), k)
+@C.once
+def hybrid(t):
+    return S.hybrid_rrf(keyword(t), vectors(t), C.index(t), 10)
 
 
 def with_rank(df):
@@ -106,12 +116,12 @@ def _(t):
 with {TFIDF} select query_id, chunk_id, score, rank from (
   select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from tfidf) x where rank <= 10""")
 def _(t):
-    return S.best(tfidf(t), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return S.best(S.tfidf_top(C.queries(t), C.index(t), 10), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("J2", "j2_bm25_phrase", f"with {BM25} select query_id, chunk_id, score from bm25")
 def _(t):
-    return bm25(t)
+    return S.bm25_phrase(C.queries(t), C.chunks(t))
 
 
 @query("J3 E1", "j3_vector_scores", f"""
@@ -165,4 +175,4 @@ for _name, _mix, _max in (("j6_hybrid_weighted", "0.35 * a + 0.65 * b", False),
       case when a <> 0 and b <> 0 then 'hybrid' when b <> 0 then 'vector' else 'keyword' end as retrieval
     from rk r join marks m on m.chunk_id = r.chunk_id where rank <= 10""")
     def _(t, use_max=_max):
-        return S.hybrid_weighted(keyword(t), vectors(t), C.chunks(t), 10, use_max=use_max)
+        return S.hybrid_weighted(keyword_all(t), vectors(t), C.index(t), 10, use_max=use_max)

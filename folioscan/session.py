@@ -28,6 +28,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # one JVM does all the work
+            builder = builder.config("spark.driver.memory", "16g")
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
