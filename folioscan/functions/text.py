@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
           "\u2028\u2029\u202f\u205f\u3000")
 CJK = r"\x{4e00}-\x{9fff}"
+SPACES_PATTERN = r"[,，、;；\s]+"  # between aliases
 TOKEN_PATTERN = rf"[{CJK}]+|[a-zA-Z0-9_]+"
 ANALYSIS_MARKERS = ("## 分析提炼", "### 核心要点", "### 可引用事实")
 BOOST_MARKERS = ("分析提炼", "### 核心要点")
@@ -144,7 +145,8 @@ def guess_type(text, name, comparison_word: str = "对比", concept_words=CONCEP
 def page_hint(text) -> Column:
     """Number of the first page or slide marker; NULL when absent or zero."""
     found = F.regexp_extract(col(text), r"(?i)---\s*(?:第(\d+)页|幻灯片\s*(\d+))\s*---", 0)
-    return F.when(F.regexp_extract(found, r"(\d+)", 1).cast("int") > 0, F.regexp_extract(found, r"(\d+)", 1).cast("int"))
+    n = F.regexp_extract(found, r"(\d+)", 1).try_cast("int")
+    return F.when(n > 0, n)
 
 
 def slide_hint(text) -> Column:

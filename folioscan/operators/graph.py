@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, normalize_path, strip
+from ..session import materialize
 from .sequences import first_rows, top_rows
 
 CONTENT_DIRS = ("concepts", "entities", "sources", "comparisons", "notes", "archive")  # fixed value: search order
@@ -105,6 +106,9 @@ def graph_expand(hits: DataFrame, edges: DataFrame, pages: DataFrame, chunks: Da
         if used is not None:
             numbered = (numbered.join(used, "query_id", "left")
                         .where(F.col("n") + F.coalesce("taken", F.lit(0)) <= room).drop("taken"))
+        if hop + 1 < hops:
+            # A few rows per query, used three times below: written once so that hops do not multiply the plan.
+            numbered = materialize(numbered, "hop")
         out = out.unionByName(numbered.select("query_id", "chunk_id", "rel_path", "score",
                                               F.lit(f"graph-hop{hop + 1}").alias("retrieval")))
         used = out.where("retrieval <> 'seed'").groupBy("query_id").agg(F.count("*").alias("taken"))

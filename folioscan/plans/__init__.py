@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOG, Query
 
-MODULES = ("orders", "retrieval", "corpus")
+MODULES = ("orders", "retrieval", "corpus", "texts", "chunks", "links")
 
 
 def load() -> dict[str, Query]:

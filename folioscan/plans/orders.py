@@ -12,8 +12,13 @@ from ..sources.tables import export_all
 from .fixtures import ORDER_CLOCK
 from .registry import query
 
-NOW = ntz(ORDER_CLOCK)
 PRODUCTS = ["alpha", "beta"]
+
+
+def now():
+    return ntz(ORDER_CLOCK)
+
+
 MONTHLY = "strftime(paid_at, '%Y-%m')"
 SQL_PERIOD = {
     "day": "strftime(paid_at, '%Y-%m-%d')",
@@ -125,7 +130,7 @@ def _(t):
 select plan, count(*) as licenses, cast(grouping(plan) as bigint) as is_total from v_licenses
 where status = 'active' and device_id <> '' and expires_at > timestamp '2001-09-01 00:00:00' group by rollup(plan)""")
 def _(t):
-    return R.active_subscriptions(t.v_licenses, NOW).withColumn("is_total", F.col("is_total").cast("bigint"))
+    return R.active_subscriptions(t.v_licenses, now()).withColumn("is_total", F.col("is_total").cast("bigint"))
 
 
 @query("D2", "d2_pending_orders", """
@@ -163,7 +168,7 @@ for _days in (7, 30, 90):
       count(*) filter (where last_seen_at is null) as never_seen
     from v_licenses where status = 'active' and device_id <> ''""")
     def _(t, days=_days):
-        return R.active_devices(t.v_licenses, NOW, days)
+        return R.active_devices(t.v_licenses, now(), days)
 
 
 @query("D8", "d8_activation_codes", """
@@ -229,7 +234,7 @@ union all select 'channel.revenue', channel_code, '', revenue from ch
 union all select 'channel.commission', channel_code, '', round(revenue * greatest(0.0, least(1.0, coalesce(cast(commission_rate as double), 0.2))), 2)
   from ch left join v_promoters p on p.code = ch.channel_code""")
 def _(t):
-    return R.stats_bundle(t.v_orders, t.v_licenses, t.v_codes, t.v_promoters, PRODUCTS, NOW)
+    return R.stats_bundle(t.v_orders, t.v_licenses, t.v_codes, t.v_promoters, PRODUCTS, now())
 
 
 @query("E4", "e4_latest_active_license", """
@@ -237,7 +242,7 @@ select device_id, id, plan, strftime(expires_at, '%Y-%m-%d %H:%M:%S') as expires
   select *, row_number() over (partition by device_id order by expires_at desc, id desc) as rn from v_licenses
   where status = 'active' and device_id <> '') x where rn = 1 and expires_at >= timestamp '2001-09-01'""")
 def _(t):
-    return R.latest_active_license(t.v_licenses, NOW).withColumn("expires_at", stamp("expires_at"))
+    return R.latest_active_license(t.v_licenses, now()).withColumn("expires_at", stamp("expires_at"))
 
 
 @query("E5", "e5_stack_expiry", """
@@ -304,10 +309,10 @@ def _(t):
         F.col("device_id").alias("bound_device"), F.col("id").alias("license_id"), "plan", "expires_at", "last_online_at")
     installs = t.customer.select(
         F.col("c_custkey").cast("string").alias("device_id"), F.col("c_custkey").alias("k"),
-        (NOW - F.make_dt_interval(days=(F.col("c_custkey") % 45).cast("int"))).alias("installed_at"))
+        (now() - F.make_dt_interval(days=(F.col("c_custkey") % 45).cast("int"))).alias("installed_at"))
     rows = installs.join(bound, installs.device_id == bound.bound_device, "left").withColumn(
         "license_device", F.when(F.col("k") % 9 == 0, F.lit("other")).otherwise(F.col("bound_device")))
-    return R.license_state(rows, NOW).select("device_id", "state", F.col("trial_days_left").cast("bigint").alias("trial_days_left"))
+    return R.license_state(rows, now()).select("device_id", "state", F.col("trial_days_left").cast("bigint").alias("trial_days_left"))
 
 
 @query("B12", "b12_audit_since", """
