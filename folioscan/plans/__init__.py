@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CATALOG, Query
 
-MODULES = ("orders", "retrieval", "corpus", "texts", "chunks", "links")
+MODULES = ("orders", "retrieval", "corpus", "texts", "chunks", "links", "activity", "incremental", "files")
 
 
 def load() -> dict[str, Query]:

@@ -84,12 +84,19 @@ def fingerprint(files: DataFrame, by: list[str] | None = None) -> DataFrame:
                                           F.sum(each).cast("string").alias("digest"))
 
 
+@F.udf(returnType=T.StringType(), useArrow=True)
+def _decode_gbk(raw: bytes) -> str | None:
+    return None if raw is None else bytes(raw).decode("gbk", errors="replace")
+
+
 def decode_text(content) -> Column:
-    """Bytes to text: UTF-8 with or without mark, else GBK; bytes that fit neither are replaced."""
+    """Bytes to text: UTF-8 with or without mark, else GBK; bytes that fit neither are replaced.
+
+    UTF-8 stays in generated code; only other rows carry their bytes to the Arrow helper."""
     raw = col(content)
-    as_utf8 = F.decode(raw, "UTF-8")
-    valid = F.is_valid_utf8(raw.cast("string"))
-    return F.regexp_replace(F.when(valid, as_utf8).otherwise(F.decode(raw, "GBK")), "^﻿", "")
+    text = raw.cast("string")
+    valid = F.is_valid_utf8(text)
+    return F.regexp_replace(F.when(valid, text).otherwise(_decode_gbk(F.when(~valid, raw))), "^\ufeff", "")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
