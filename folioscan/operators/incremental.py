@@ -280,7 +280,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = 8, window_seco
     runs = running(paired.withColumn("__new", fresh.cast("int")).drop("__prev"), [key], day_block(ts), order, sums={"__run": F.col("__new")})
     placed = runs.repartition(key, "__run").sortWithinPartitions(key, "__run", *order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    span = window_seconds * 1_000_000
+    span, names = window_seconds * 1_000_000, list(events.columns)
 
     def judge(frames: Iterator) -> Iterator:
         from collections import deque
@@ -297,6 +297,6 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = 8, window_seco
                 if ok:
                     kept.append(t)
                 flags.append(ok)
-            yield frame.assign(accepted=flags)[[*events.columns, "accepted"]]
+            yield frame.assign(accepted=flags)[[*names, "accepted"]]
 
     return placed.select(*events.columns, "__run", "__t").mapInPandas(judge, f"{fields}, accepted boolean")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import incremental as N
 from ..operators.chunking import chunk_rows
+from ..operators.sequences import first_rows
 from ..sources.writers import exists, replace_table, upsert_index
 
 NOW = {"availableNow": True}
@@ -30,12 +31,19 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     return query
 
 
+def latest_pages(batch: DataFrame) -> DataFrame:
+    """One row per page of a batch: the newest where a `modified` column says so."""
+    if "modified" in batch.columns:
+        return first_rows(batch, ["rel_path"], [F.desc("modified")])
+    return batch.dropDuplicates(["rel_path"])
+
+
 def stream_ingest(pages: DataFrame, index_path: str, checkpoint: str, parts: int = 64, trigger: dict[str, Any] | None = None):
-    """New or changed pages (rel_path, title, body) to the chunk index; of repeats in a batch one row per page counts."""
+    """New or changed pages (rel_path, title, body, optionally modified) to the chunk index."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.dropDuplicates(["rel_path"])
-        upsert_index(chunk_rows(latest), latest, index_path, parts)
+        latest = latest_pages(batch)
+        upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, index_path, parts)
 
     return run_batches(pages, step, checkpoint, trigger)
 
@@ -175,8 +183,6 @@ def upsert_stream(changes: DataFrame, path: str, keys: list[str], newest: Column
     """Keep a table current: the newest change of each key in a batch replaces or adds its row.
 
     Running a batch again gives the same table, so a restart after a failure is safe."""
-    from ..operators.sequences import first_rows
-
     def step(batch: DataFrame, batch_id: int) -> None:
         last = first_rows(batch, keys, [newest])
         replace_table(N.keyed_upsert(_current(batch, path, last), last, keys), path)
@@ -200,8 +206,8 @@ def embedding_stream(pages: DataFrame, chunks_path: str, vectors_path: str, mode
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(["rel_path"])
-        upsert_index(chunk_rows(latest), latest, chunks_path)
+        latest = latest_pages(batch)
+        upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, chunks_path)
         chunks = spark.read.parquet(chunks_path)
         stored = spark.read.parquet(vectors_path) if exists(spark, vectors_path) else spark.createDataFrame(
             [], "chunk_id string, model string, text_hash string, dim int, vector array<float>")
