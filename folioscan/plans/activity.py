@@ -207,10 +207,10 @@ def _(t):
 
 @query("F4", "f4_qa_history", """
 select id, question, n_sources, position, total from (select id, substr(question, 1, 50) as question, case when sources = '[]' then 0 else 1 end as n_sources,
-  row_number() over (order by cast(session_id as bigint) desc, turn desc) as position, count(*) over () as total from v_qa) x where position > 50 and position <= 100""")
+  row_number() over (order by cast(session_id as bigint) desc, turn desc) as position, count(*) over () as total from v_qa) x where position <= 50""")
 def _(t):
     rows = C.qa(t).withColumn("s", F.col("session_id").cast("bigint"))
-    page = Q.page_of(rows, F.floor(F.col("s") / 64), [F.desc("s"), F.desc("turn")], 2, 50, max_size=200, descending=True)
+    page = Q.page_of(rows, F.floor(F.col("s") / 64), [F.desc("s"), F.desc("turn")], 1, 50, max_size=200, descending=True)
     n = F.size(F.from_json("sources", "array<struct<title string, path string>>"))
     return page.select("id", F.substring("question", 1, 50).alias("question"), n.alias("n_sources"), "position", "total")
 

@@ -78,11 +78,10 @@ select id, plan, cast(amount as double) as amount, status, strftime(created_at,
   position, total, page, pages from (
   select *, row_number() over (order by created_at desc, id) as position, count(*) over () as total, cast(2 as bigint) as page,
     cast(ceil(count(*) over () / 50.0) as bigint) as pages
-  from v_orders where product = 'alpha' and status = 'paid' and channel_code <> ''
-    and channel_code = 'P_N07' and created_at >= timestamp '1995-06-01' and created_at <= timestamp '2001-06-30 23:59:59') x
+  from v_orders where product = 'alpha' and status = 'paid' and created_at >= timestamp '1995-06-01' and created_at <= timestamp '2001-06-30 23:59:59') x
 where position > (least(2, pages) - 1) * 50 and position <= least(2, pages) * 50""")
 def _(t):
-    rows = R.list_orders(t.v_orders, page=2, size=50, product="alpha", status="paid", channel="p_n07",
+    rows = R.list_orders(t.v_orders, page=2, size=50, product="alpha", status="paid",
                          date_from="1995-06-01", date_to="2001-06-30", products=tuple(PRODUCTS))
     return rows.select("id", "plan", F.col("amount").cast("double").alias("amount"), "status",
                        stamp("created_at").alias("created_at"), "position", "total",

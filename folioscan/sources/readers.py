@@ -47,8 +47,8 @@ def page_rows(files: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, root: str, type_: str | None = None, include_inbox: bool = True) -> DataFrame:
     """Markdown pages below the content folders of `root`; processed inbox files are left out."""
-    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True)
-             .text(root).select(relative("_metadata.file_path", root).alias("rel_path"), F.col("value").alias("text")))
+    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+             .text(root, wholetext=True).select(relative("_metadata.file_path", root).alias("rel_path"), F.col("value").alias("text")))
     dirs = [*CONTENT_DIRS, "inbox"] if include_inbox else list(CONTENT_DIRS)
     parts = F.split("rel_path", "/")
     kept = files.where(top_dir().isin(*dirs) & (F.size(parts) > 1) & ~F.array_contains(parts, "inbox-processed"))
