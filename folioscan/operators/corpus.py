@@ -103,8 +103,8 @@ def search_library(rows: DataFrame, queries: DataFrame) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "title", "text", "rel_path", "asset_path", "asset_filename", F.array_join("tags", " ")))
     asked = queries.select("query_id", F.lower(strip("q")).alias("q"))
     listed = with_list(rows, asked, "__asked")
-    return listed.select("chunk_id", "rel_path", F.explode(
-        let(hay, lambda h: F.filter("__asked", lambda t: h.contains(t["q"])))).alias("t")).select(
+    return listed.select("chunk_id", "rel_path", F.explode_outer(
+        let(hay, lambda h: F.filter("__asked", lambda t: h.contains(t["q"])))).alias("t")).where("t.q is not null").select(
         F.col("t.query_id").alias("query_id"), "chunk_id", "rel_path")
 
 

@@ -20,6 +20,7 @@ FUSED_MARKER_BOOST = 1.12
 PLACES = 6
 BM25_K1, BM25_B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+PHRASE_LIST = 400  # up to this many phrases are tested row by row
 QUERY_BLOCK = 2048  # queries shipped to the tasks at a time
 
 
@@ -209,23 +210,41 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.where(strip("text") != "").select("chunk_id", F.lower(title).alias("title"), F.lower(content).alias("content"))
 
 
+def _phrases_by_list(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, phrase) matches when the phrases are few: each row tests the list in place, about a microsecond a phrase."""
+    hits = let(F.col("content"), lambda text: F.filter("__asked", lambda a: text.contains(a["q"])))
+    # explode_outer: plain explode adds a size test that would search every text twice.
+    listed = with_list(rows, asked, "__asked", PHRASE_LIST).select(
+        "chunk_id", "title", "content", F.explode_outer(hits).alias("a")).where("a.q is not null")
+    return listed.select("chunk_id", "title", "content", "a.query_id", "a.q")
+
+
+def _phrases_by_trigram(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(row, phrase) matches for any number of phrases: equi join on one trigram of the phrase, then a check."""
+    grams = trigrams(F.col("q"))
+    solid = F.filter(grams, lambda g: ~g.contains(" "))
+    keyed = asked.select("query_id", "q", F.coalesce(F.get(solid, F.lit(0)), F.get(grams, F.lit(0))).alias("gram"))
+    spread = rows.select("*", F.explode_outer(F.array_distinct(trigrams(F.col("content")))).alias("gram"))
+    return spread.join(keyed, "gram").where(F.col("content").contains(F.col("q")))
+
+
 def bm25_phrase(queries: DataFrame, chunks: DataFrame, limit: int = 20, allowed: DataFrame | None = None,
                 phrase: str = "phrase") -> DataFrame:
     """BM25 of each query taken as one literal phrase over title and content.
 
-    Candidates come from an equi join on one trigram of the phrase (every match contains it) and are checked
-    with `contains`. As in the index this mirrors, 3 x limit rows are ranked first and only then filtered to the
-    `allowed` (query_id, chunk_id) or (chunk_id) rows."""
+    Few phrases are tested in each row; many go through an equi join on one trigram of the phrase (every match
+    contains it) with a check after it. As in the index this mirrors, 3 x limit rows are ranked first and only then
+    filtered to the `allowed` (query_id, chunk_id) or (chunk_id) rows."""
     rows = searchable(chunks)
     size = F.greatest(F.lit(0), F.length("title") - 2) + F.greatest(F.lit(0), F.length("content") - 2)
     asked = queries.select("query_id", F.lower(strip(phrase)).alias("q")).where(F.length("q") >= 3)
-    grams = trigrams(F.col("q"))
-    solid = F.filter(grams, lambda g: ~g.contains(" "))
-    asked = asked.select("query_id", "q", F.coalesce(F.get(solid, F.lit(0)), F.get(grams, F.lit(0))).alias("gram"))
-    found = (rows.select("*", F.explode_outer(F.array_distinct(trigrams(F.col("content")))).alias("gram"))
-             .join(asked, "gram").where(F.col("content").contains(F.col("q")))
-             .select("query_id", "chunk_id", size.alias("dl"),
-                     (occurrences(F.col("title"), F.col("q")) + occurrences(F.col("content"), F.col("q"))).alias("f")))
+    if asked.limit(PHRASE_LIST + 1).count() <= PHRASE_LIST:
+        pairs = _phrases_by_list(rows, asked)
+    else:
+        pairs = _phrases_by_trigram(rows, asked)
+    found = pairs.select(
+        "query_id", "chunk_id", size.alias("dl"),
+        (occurrences(F.col("title"), F.col("q")) + occurrences(F.col("content"), F.col("q"))).alias("f"))
     # Few rows survive. The shuffle below is shared by the counts and the ranking, so the corpus is read once for both;
     # `distinct` drops nothing and keeps the two uses from pruning different columns.
     found = found.repartition("chunk_id").distinct()

@@ -135,7 +135,9 @@ def chunks(spark, rows):
     return spark.createDataFrame(rows, "chunk_id string, rel_path string, title string, text string, ord bigint").withColumn("tokens", T.tokenize("text"))
 
 
-def test_phrase_scores_equal_sqlite(spark):
+@pytest.mark.parametrize("listed", [400, 0])
+def test_phrase_scores_equal_sqlite(spark, monkeypatch, listed):
+    monkeypatch.setattr(S, "PHRASE_LIST", listed)
     words = ["alpha", "beta", "gamma", "知识图谱", "aaaa", "ab\\Eab"]
     rows = [(f"c{i}", f"p{i % 7}", "" if i % 5 == 0 else f"Title {words[i % 6]}", " ".join(words[(i * j) % 6] for j in range(1, 3 + i % 9)), i) for i in range(60)]
     con = sqlite3.connect(":memory:")
