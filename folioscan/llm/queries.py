@@ -26,3 +26,60 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, limit=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def digest(spans: str) -> "F.Column":
+    """Spans as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest("base"), 256).alias("base_sha256"),
+                        digest("spans").alias("spans"))
+
+
+# Verdict, host, path prefix.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+# Labels of domains that are listed wherever they are registered.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge_urls
+
+    listed = F.split("domain", r"\.")[0].isin(*LISTED_LABELS)
+    found = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed)
+    return found.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+_PARTS = r"""select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from pages"""
+ORACLES["op8_url_filter"] = f"""
+with u as ({_PARTS}), r(v, h, p) as (values {', '.join(repr(r) for r in URL_RULES)}),
+m as (select u.*, (select max((length(h || p), h || p, v)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as best,
+    coalesce(list_bool_or([list_contains([{', '.join(repr(x) for x in LISTED_LABELS)}], x) for x in string_split(host, '.')]), false) as listed from u)
+select page_id, host, path, best[2] as rule, coalesce(best[3], case when listed then 'block' else 'allow' end) as verdict, listed from m"""
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import clean_lines
+
+    found = clean_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.drop("clean_text")
