@@ -16,13 +16,24 @@ from ..session import materialize, scratch_path
 SLICE = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "SLICE", "UPPER", "components", "drop_path", "map_texts", "materialize", "rooted", "scratch_path"]
+__all__ = ["LOWER", "SLICE", "UPPER", "components", "drop_path", "map_slices", "map_texts", "materialize", "rooted", "scratch_path"]
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, out: str, make: Callable[[], Callable[[str], tuple]]) -> DataFrame:
     """Columns `keep` unchanged, then the columns of the DDL `out` computed from `text` (null is read as empty).
 
     `make` is called once per task and gives the function of one text. Narrow: no shuffle, one slice of rows in memory."""
+
+    def each():
+        work = make()
+        return lambda texts: [work(value) for value in texts]
+
+    return map_slices(df, keep, text, out, each, SLICE)
+
+
+def map_slices(df: DataFrame, keep: list[str], text: str, out: str, make: Callable[[], Callable[[list[str]], list[tuple]]],
+               rows: int) -> DataFrame:
+    """As `map_texts`, for a function of up to `rows` texts at once."""
     added = T.StructType.fromDDL(out)
     schema = T.StructType([df.schema[c] for c in keep] + added.fields)
     target = to_arrow_schema(schema)
@@ -30,12 +41,12 @@ def map_texts(df: DataFrame, keep: list[str], text: str, out: str, make: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                rows = [work(value or "") for value in part.column(len(keep)).to_pylist()]
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                made = work([value or "" for value in part.column(len(keep)).to_pylist()])
                 kept = [part.column(i).cast(target.field(i).type) for i in range(len(keep))]
-                made = [pa.array([r[i] for r in rows], target.field(len(keep) + i).type) for i in range(len(added))]
-                yield pa.RecordBatch.from_arrays(kept + made, schema=target)
+                new = [pa.array([r[i] for r in made], target.field(len(keep) + i).type) for i in range(len(added))]
+                yield pa.RecordBatch.from_arrays(kept + new, schema=target)
 
     return df.select(*keep, F.col(text).alias("text__")).mapInArrow(run, schema)
 

@@ -83,3 +83,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = clean_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.drop("clean_text")
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = found.select("doc_id", F.explode("hits").alias("h"))
+    return hit.select("doc_id", "h.item_id", F.col("h.start").alias("start_word"), "h.distance", F.col("h.size").alias("item_words"))
