@@ -22,7 +22,7 @@ from .common import map_slices
 from .licenses import words_of
 
 SAMPLED = 2      # steps per table
-WALKS = 4        # independent walks, shared by the tables
+WALKS = 8        # independent walks, shared by the tables
 REACH = 1.6      # steps per word that are sampled; a walk takes two steps per word on average, so it is still inside the item
 MOST_TABLES = 64
 SEED = 20240607
