@@ -68,7 +68,7 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text
     `weight` is the expected number of copies, scaled so that the sample holds `share` of the tokens; `copies` is drawn from
     it: the whole part, and one more if a uniform number hashed from `seed` and the key falls below the rest. Rows with equal
     keys are drawn alike. Null source, language or text count as an empty value; a text without words has no tokens, adds
-    nothing to a marginal and is weighted like its cell, 0 if that is empty. Names in `keep` must differ from those made
+    nothing to a marginal and has weight 0. Names in `keep` must differ from those made
     here. An empty table gives no rows. The texts are read, not shuffled."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -81,6 +81,7 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text
     scale = fitted.agg((F.sum(F.col("tokens").cast("double")) * share / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))
     rates = fitted.select(*dims, (F.col("factor") * scale.scalar()).alias("weight"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key__").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out = marked.join(rates, list(dims), "left").withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)), 9))
+    out = marked.join(rates, list(dims), "left").withColumn(
+        "weight", F.when(F.col("mix_tokens") > 0, F.round(F.coalesce("weight", F.lit(0.0)), 9)).otherwise(0.0))
     copies = (F.floor("weight") + F.when(drawn < F.col("weight") - F.floor("weight"), 1).otherwise(0)).cast("long")
     return out.select(*keep, *dims, "mix_tokens", "weight", copies.alias("copies"))

@@ -189,7 +189,7 @@ def _mixing_sql(rounds: int = 6, share: float = 0.5) -> str:
     product = " * ".join(f"coalesce({now[d]}.f, 0)" for d in dims)
     ctes += [f"g as materialized (select c.*, {product} as factor from c {joins})",
              f"w as (select mix_source, mix_lang, mix_topic, factor * (select sum(tokens::double) * {share} / sum(tokens * factor) from g) as raw from g)",
-             """o as (select m.*, round(coalesce(raw, 0), 9) as weight, ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / 281474976710656.0 as u
+             """o as (select m.*, case when mix_tokens > 0 then round(coalesce(raw, 0), 9) else 0 end as weight, ('0x' || substr(md5('0:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / 281474976710656.0 as u
                 from m left join w using (mix_source, mix_lang, mix_topic))"""]
     return f"with {', '.join(ctes)} select doc_id, mix_source, mix_lang, mix_topic, mix_tokens, weight, cast(floor(weight) + case when u < weight - floor(weight) then 1 else 0 end as bigint) as copies from o"
 

@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 SENSITIVE = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|auth|bearer|credential|signature)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z_]{3,40}")
+IDENTIFIER = re.compile(r"[A-Za-z]{3,40}")
 REACH = 48   # a candidate starts at most this far after a sensitive word
 AROUND = 160  # characters of code on each side that the novelty is measured against
 REDACTED = "[secret]"
@@ -60,9 +60,10 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 def identifier_words(text: str) -> tuple[list[str]]:
-    """Identifiers around the candidates of a text; pieces of the candidates are not among them."""
-    return (sorted({w for start, end in candidates(text) for side in surroundings(text, start, end)
-                    for w in IDENTIFIER.findall(CANDIDATE.sub(" ", side))}),)
+    """Words of the identifiers around and among the candidates of a text; long strings rich in digits give none, so a key
+    that is copied into many texts does not become a known word."""
+    plain = lambda m: " " if sum(c.isdigit() for c in m[0]) * 10 >= len(m[0]) else m[0]
+    return (sorted({w for start, end in candidates(text) for w in IDENTIFIER.findall(CANDIDATE.sub(plain, text[max(0, start - AROUND):end + AROUND]))}),)
 
 
 def identifier_dictionary(docs: DataFrame, text: str, entries: int) -> bytes:
