@@ -24,7 +24,7 @@ def json_edges(raw) -> Column:
     return F.from_json(F.when(fenced != "", fenced).otherwise(braced), f"edges {EDGE}")["edges"]
 
 
-def json_conflicts(raw, limit: int = 20) -> Column:
+def json_conflicts(raw) -> Column:
     """Pairs of different statements, under either of their key names."""
     found = F.regexp_extract(strip(raw), r"(?s)\{.*\}|\[.*\]", 0)
     doc = F.from_json(found, f"conflicts {CONFLICT}, items {CONFLICT}")
@@ -38,7 +38,7 @@ def json_conflicts(raw, limit: int = 20) -> Column:
         pick(x, "a", "assumption_a").alias("a"), pick(x, "b", "assumption_b").alias("b"),
         pick(x, "why", "reason").alias("why"), pick(x, "path_a", "rel_path_a").alias("path_a"),
         pick(x, "path_b", "rel_path_b").alias("path_b")))
-    return F.slice(F.filter(rows, lambda r: (r["a"] != "") & (r["b"] != "") & (r["a"] != r["b"])), 1, limit)
+    return F.filter(rows, lambda r: (r["a"] != "") & (r["b"] != "") & (r["a"] != r["b"]))
 
 
 def tagged_block(raw, name: str) -> Column:

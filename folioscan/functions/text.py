@@ -134,10 +134,13 @@ def contains_any(value, words) -> Column:
     return out
 
 
-def guess_type(text, name, comparison_word: str = "对比", concept_words=CONCEPT_WORDS, entity_words=ENTITY_WORDS) -> Column:
+def guess_type(text, name, comparison_word: str = "对比", concept_words=CONCEPT_WORDS, entity_words=ENTITY_WORDS,
+               opening: tuple[int, int] | None = None) -> Column:
+    """Page type by what its text and name hold; `opening` keeps the comparison word and the link to so many first characters."""
+    cut = (lambda i: F.substring(col(text), 1, opening[i])) if opening else (lambda i: col(text))
     low = F.lower(F.concat(col(text), col(name)))
-    return (F.when(low.contains(" vs ") | F.substring(col(text), 1, 200).contains(comparison_word), "comparison")
-            .when(F.substring(col(text), 1, 500).rlike("https?://"), "source")
+    return (F.when(low.contains(" vs ") | cut(0).contains(comparison_word), "comparison")
+            .when(cut(1).rlike("https?://"), "source")
             .when(contains_any(low, concept_words), "concept")
             .when(contains_any(low, entity_words), "entity").otherwise("note"))
 

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES_PATTERN, strip, tokenize
-from .search import with_list
+from .search import containing
 from .sequences import first_rows, id_block, running, top_rows
 
 # Words by which a query refers to the owner, and the fixed extra queries.
 OWNER_PRONOUNS = ("我", "我的", "本人", "咱们", "我们自己", "我自己", "姓名", "昵称", "叫什么", "是谁", "哪个")
 OWNER_FIELDS = ("电话", "手机", "邮箱", "邮件", "微信", "头像", "性别", "单位", "职务", "职位")
 OWNER_EXTRAS = ("闪念", "memos", "时间线")
-RECENT_QA = 800
 
 
 def session_table(turns: DataFrame) -> DataFrame:
@@ -59,13 +58,15 @@ def session_digest(turns: DataFrame, rounds: int = 6, keep: int = 24, cut: int =
     return joined.select("session_id", F.substring(F.array_join(F.col("ls.line"), "\n"), 1, size).alias("digest"))
 
 
-def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit: int = 3, scan: int = RECENT_QA) -> DataFrame:
+def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit: int = 3,
+               scan: int | None = None) -> DataFrame:
     """Earlier answered questions that share words: overlap with question and answer, half a point more per question word.
 
-    Like its model this looks at the newest `scan` grounded rows only; that bound is part of the result."""
-    recent = qa.where("grounded = 1").orderBy(*newest).limit(scan)
-    words = recent.select("id", F.explode(F.array_distinct(tokenize(F.concat_ws(" ", "question", "answer")))).alias("token"),
-                          tokenize("question").alias("qw")).select(
+    All grounded rows are looked at; `scan` keeps to so many of the `newest`."""
+    recent = qa.where("grounded = 1")
+    recent = recent if scan is None else recent.orderBy(*newest).limit(scan)
+    words = recent.select("id", F.explode_outer(F.array_distinct(tokenize(F.concat_ws(" ", "question", "answer")))).alias("token"),
+                          tokenize("question").alias("qw")).where("token is not null").select(
         "id", "token", F.array_contains("qw", F.col("token")).alias("in_question"))
     asked = questions.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
     scored = words.join(asked, "token").groupBy("query_id", "id").agg(
@@ -74,7 +75,7 @@ def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit:
 
 
 def query_alias_expand(queries: DataFrame, owner: dict[str, str], limit: int = 8) -> DataFrame:
-    """Extra query rows for queries that refer to the owner: names, aliases and fixed words, first eight distinct."""
+    """Extra query rows for queries that refer to the owner: names, aliases and fixed words, the first `limit` distinct."""
     import re
 
     name, nick = owner.get("real_name", "").strip(), owner.get("nickname", "").strip()
@@ -109,13 +110,11 @@ def phrase_dictionary(entries: DataFrame) -> DataFrame:
 def phrase_dict_match(texts: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
     """Longest trigger contained in each text, ignoring case; the first name in (source, name) order wins a tie.
 
-    The dictionary is a checked small list held in each row's test, so texts are not multiplied."""
-    entries = dictionary.select("source", "name", F.lower("trigger").alias("low"), F.length("trigger").alias("n"))
-    rows = with_list(texts, entries, "__d")
-    low = F.lower(F.col("text"))
-    hits = F.filter("__d", lambda d: low.contains(d["low"]))
-    best = F.array_min(F.transform(hits, lambda d: F.struct((-d["n"]).alias("neg"), d["source"].alias("source"), d["name"].alias("name"))))
-    return rows.select(*keys, best.alias("b")).where("b is not null").select(*keys, F.col("b.name").alias("name"), (-F.col("b.neg")).alias("length"))
+    One scan of the texts for a dictionary of any size; only found triggers are shuffled, by the keys."""
+    entries = dictionary.select("source", "name", F.lower("trigger").alias("q"), F.length("trigger").alias("n"))
+    rows = containing(texts.select(*keys, F.lower(F.col("text")).alias("hay")), "hay", entries, list(keys))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), "source", "name"))
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.name").alias("name"), (-F.col("b.neg")).alias("length"))
 
 
 def qa_citation_stats(qa: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.text import (
     split_sentences, strip,
 )
 from .chunking import document_array
-from .search import with_list
+from .search import containing
 from .sequences import first_rows, id_block, running, top_rows
 
 # What counts as content, which files are read and how they are labelled.
@@ -99,13 +99,13 @@ def chunk_page_asset(chunks: DataFrame, pages: DataFrame, assets: DataFrame) ->
 
 
 def search_library(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of every row whose title, text, paths, file name or tags hold the query, ignoring case."""
+    """(query_id, chunk_id) of every row whose title, text, paths, file name or tags hold the query, ignoring case.
+
+    One scan of the rows for any number of queries."""
     hay = F.lower(F.concat_ws(" ", "title", "text", "rel_path", "asset_path", "asset_filename", F.array_join("tags", " ")))
     asked = queries.select("query_id", F.lower(strip("q")).alias("q"))
-    listed = with_list(rows, asked, "__asked")
-    return listed.select("chunk_id", "rel_path", F.explode_outer(
-        let(hay, lambda h: F.filter("__asked", lambda t: h.contains(t["q"])))).alias("t")).where("t.q is not null").select(
-        F.col("t.query_id").alias("query_id"), "chunk_id", "rel_path")
+    return containing(rows.select("chunk_id", "rel_path", hay.alias("hay")), "hay", asked, ["chunk_id", "rel_path"]).select(
+        "query_id", "chunk_id", "rel_path")
 
 
 def _suffixes(path: Column) -> Column:
@@ -345,9 +345,10 @@ CONNECTORS = ("因此", "所以", "但是", "然而", "此外", "同时", "首
 STARTER = r"^([\x{4e00}-\x{9fff}A-Za-z「『（(]{1,8})"
 
 
-def top_starters(docs: DataFrame, group: str, text: str = "text", k: int = 6, first: int = 200) -> DataFrame:
-    """Most frequent openings of the first sentences of each document."""
-    opened = sentences(docs, [group], text).where(F.col("n") < first).select(
+def top_starters(docs: DataFrame, group: str, text: str = "text", k: int = 6, first: int | None = None) -> DataFrame:
+    """Most frequent openings of the sentences; `first` keeps to so many sentences of each document."""
+    said = sentences(docs, [group], text)
+    opened = (said if first is None else said.where(F.col("n") < first)).select(
         group, F.regexp_extract("sentence", STARTER, 1).alias("starter")).where("starter <> ''")
     counts = opened.groupBy(group, "starter").agg(F.count("*").alias("uses"))
     return top_rows(counts, [group], [F.desc("uses"), F.asc("starter")], k)
@@ -409,17 +410,19 @@ def excerpt_budget(docs: DataFrame, group: str, rank: str, budget: int = 12000,
         group, rank, "title", "used", F.when(fits, F.col("block")).otherwise(F.expr(f"substring(block, 1, cast({budget} - used as int))")).alias("block"))
 
 
-def assumption_table(pages: DataFrame, limit: int = 120, heading: str = "核心假设", fallback: str = "核心要点",
+def assumption_table(pages: DataFrame, limit: int | None = None, heading: str = "核心假设", fallback: str = "核心要点",
                      scan_mark: str = "矛盾扫描") -> DataFrame:
-    """Assumptions of each page: the front-matter list, else the section's items, else two key points."""
+    """Assumptions of each page: the front-matter list, else the section's items, else two key points.
+
+    All of them, unordered; with `limit` the first by path and place."""
     rows = pages.where(~((F.col("type") == "comparison") & F.col("title").contains(scan_mark)))
     none = F.array().cast("array<string>")
     listed = F.filter(F.transform(F.coalesce("assumptions", none), strip), lambda s: s != "")
     section = section_items("body", heading, 8)
     points = F.when(F.col("type").isin("concept", "comparison", "note"), section_items("body", fallback, 2, False)).otherwise(none)
     items = F.when(F.size(listed) > 0, listed).when(F.size(section) > 0, section).otherwise(points)
-    return (rows.select("rel_path", "title", F.posexplode(items).alias("n", "assumption"))
-            .withColumn("assumption", F.substring("assumption", 1, 400)).orderBy("rel_path", "n").limit(limit))
+    found = rows.select("rel_path", "title", F.posexplode(items).alias("n", "assumption")).withColumn("assumption", F.substring("assumption", 1, 400))
+    return found if limit is None else found.orderBy("rel_path", "n").limit(limit)
 
 
 # Label keywords; the order of the labels does not matter, ties go to the smaller name.
@@ -434,9 +437,11 @@ CLASS_DEFAULT = "enterprise_basics"
 
 
 def classify(docs: DataFrame, name: str, text: str, rules: dict[str, Sequence[str]] = CLASS_RULES,
-             default: str = CLASS_DEFAULT) -> DataFrame:
-    """Label each file by keyword hits in its name and opening text, with up to two related labels."""
-    blob = F.lower(F.concat(F.col(name), F.lit(" "), F.substring(text, 1, 800)))
+             default: str = CLASS_DEFAULT, opening: int | None = None) -> DataFrame:
+    """Label each file by keyword hits in its name and text, with up to two related labels; `opening` keeps to so many
+    characters of the text."""
+    body = F.col(text) if opening is None else F.substring(text, 1, opening)
+    blob = F.lower(F.concat(F.col(name), F.lit(" "), body))
     hits = [F.struct((-reduce(Column.__add__, [(blob.contains(w.lower()) | F.col(name).contains(w)).cast("int") for w in words]))
                      .alias("neg"), F.lit(key).alias("key")) for key, words in sorted(rules.items())]
     ranked = docs.withColumn("__r", F.array_sort(F.array(*hits)))

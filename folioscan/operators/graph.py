@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, normalize_path, strip
 from ..session import materialize
-from .sequences import first_rows, top_rows
+from .sequences import first_rows, running, top_rows
 
 CONTENT_DIRS = ("concepts", "entities", "sources", "comparisons", "notes", "archive")  # fixed value: search order
 DECAY = 0.85
@@ -77,13 +77,15 @@ def leading_chunks(chunks: DataFrame, n: int = 2) -> DataFrame:
 
 
 def graph_expand(hits: DataFrame, edges: DataFrame, pages: DataFrame, chunks: DataFrame, hops: int = 2,
-                 per_page: int = 2, final_k: int = 20) -> DataFrame:
+                 per_page: int = 2, final_k: int = 20, room: int | None = None) -> DataFrame:
     """Hits plus chunks of linked pages, decayed by distance; one round of joins per hop.
 
     hits: query_id, chunk_id, rel_path, score, rank. edges: rel_path, ord, target. Arrivals keep breadth-first
-    order (hop, linking page, link, chunk), a chunk counts once, and at most max(4, 2 x final_k) are added."""
-    hops = max(0, min(3, hops))
-    room = max(4, 2 * final_k)
+    order (hop, linking page, link, chunk), a chunk counts once, and at most `room`
+    (else max(4, 2 x final_k)) are added."""
+    if hops < 0:
+        raise ValueError(f"hops must not be negative: {hops}")
+    room = max(4, 2 * final_k) if room is None else room
     out = hits.select("query_id", "chunk_id", "rel_path", F.col("score").cast("double").alias("score"),
                       F.lit("seed").alias("retrieval"))
     kinds = pages.select("rel_path", type_boost("type").alias("boost"))
@@ -197,15 +199,19 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, max_nodes: int = 30, max_e
                     F.coalesce("edges", F.array().cast("array<string>")).alias("edges")))
 
 
-def knowledge_map(pages: DataFrame, links: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges among the first `limit` pages outside inbox and archive, in folder then path order."""
+def knowledge_map(pages: DataFrame, links: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges among all pages outside inbox and archive, or the first `limit` in folder then path order.
+
+    Equal names are numbered in that order; a common name is numbered in blocks of its folder and first path letters."""
     folder = F.split("rel_path", "/")[0]
     order = F.coalesce(F.array_position(F.array(*[F.lit(d) for d in CONTENT_DIRS]), folder), F.lit(99))
-    first = (pages.where(~folder.isin("inbox", "archive")).select("rel_path", "title", order.alias("d"))
-             .orderBy("d", "rel_path").limit(limit))
+    first = pages.where(~folder.isin("inbox", "archive")).select("rel_path", "title", order.alias("d"))
+    if limit is not None:
+        first = first.orderBy("d", "rel_path").limit(limit)
     safe = F.substring(F.regexp_replace("title", r"[^a-zA-Z0-9_\x{4e00}-\x{9fff}]", "_"), 1, 40)
     base = first.withColumn("base", F.when(safe == "", "node").otherwise(safe))
-    numbered = top_rows(base, ["base"], [F.asc("d"), F.asc("rel_path")], limit, "k")
+    block = F.struct("d", F.substring("rel_path", 1, 24))
+    numbered = running(base, ["base"], block, ["d", "rel_path"], sums={"k": F.lit(1)})
     nodes = numbered.select("rel_path", "title", F.when(F.col("k") == 1, F.col("base")).otherwise(
         F.concat("base", F.lit("_"), (F.col("k") - 1).cast("string"))).alias("node"))
     local = (links.where(~F.col("link").rlike("^https?://")).join(nodes.select("rel_path", F.col("node").alias("src")), "rel_path")

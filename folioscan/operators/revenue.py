@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import LIFETIME_END, ntz, period_key, plan_days, plan_expiry
@@ -66,9 +67,10 @@ def revenue_totals(orders: DataFrame) -> DataFrame:
 
 
 def new_licenses_by_month(licenses: DataFrame, months: int = 12) -> DataFrame:
+    """Licences per month and plan in the newest `months`; ranked after the counts, a few rows per month."""
     return (licenses.where(F.col("starts_at").isNotNull())
             .groupBy(period_key("starts_at", "month").alias("month"), "plan").agg(F.count("*").alias("licenses"))
-            .orderBy(F.desc("month"), "plan").limit(months * 3))
+            .withColumn("nth", F.dense_rank().over(W.orderBy(F.desc("month")))).where(F.col("nth") <= months).drop("nth"))
 
 
 def active_devices(licenses: DataFrame, now: Column, days: int, approximate: bool = False) -> DataFrame:

@@ -9,7 +9,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import BOOST_MARKERS, contains_any, let, strip, tokenize
 from .sequences import first_rows, top_rows
@@ -20,7 +23,7 @@ FUSED_MARKER_BOOST = 1.12
 PLACES = 6
 BM25_K1, BM25_B = 1.2, 0.75
 IDF_FLOOR = 1e-6
-PHRASE_LIST = 400  # up to this many phrases are tested row by row
+AUTOMATON_BYTES = 4 << 20  # phrases that one automaton holds, as UTF-8
 QUERY_BLOCK = 2048  # queries shipped to the tasks at a time
 
 
@@ -210,38 +213,74 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.where(strip("text") != "").select("chunk_id", F.lower(title).alias("title"), F.lower(content).alias("content"))
 
 
-def _phrases_by_list(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(row, phrase) matches when the phrases are few: each row tests the list in place, about a microsecond a phrase."""
-    hits = let(F.col("content"), lambda text: F.filter("__asked", lambda a: text.contains(a["q"])))
-    # explode_outer: plain explode adds a size test that would search every text twice.
-    listed = with_list(rows, asked, "__asked", PHRASE_LIST).select(
-        "chunk_id", "title", "content", F.explode_outer(hits).alias("a")).where("a.q is not null")
-    return listed.select("chunk_id", "title", "content", "a.query_id", "a.q")
+def containing(rows: DataFrame, text: str, asked: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and the columns of `asked (..., q)` for every row whose text contains the phrase `q`; an empty one fits all.
+
+    The distinct phrases become one automaton per task and every text is read once, however many phrases there are; only
+    matches leave the task, and the phrase is the key by which they meet the rows of `asked` again. An automaton takes about
+    a hundred bytes per letter: beyond `AUTOMATON_BYTES` of phrases the matches are found by a join on the phrase's rarest
+    trigram instead."""
+    phrases = asked.select("q").where("q is not null").distinct()
+    size = phrases.agg(F.sum(F.octet_length("q"))).first()[0] or 0
+    if size > AUTOMATON_BYTES:
+        return _by_rarest_trigram(rows, text, phrases, keep).join(asked, "q")
+    words = sorted(r[0] for r in phrases.collect())
+    held = rows.select(*keep, text)
+    schema = T.StructType([*[held.schema[c] for c in keep], T.StructField("q", T.StringType())])
+    at, target = len(keep), to_arrow_schema(schema)
+
+    def find(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        machine, always = ahocorasick.Automaton(), [w for w in words if not w]
+        for word in words:
+            if word:
+                machine.add_word(word, word)
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            owner, found = [], []
+            for i, value in enumerate(batch.column(at)):
+                line = value.as_py()
+                if line is None:
+                    continue
+                hits = [*always, *({w for _, w in machine.iter(line)} if len(machine) else ())]
+                owner += [i] * len(hits)
+                found += hits
+            taken = [batch.column(i).take(pa.array(owner, pa.int64())).cast(target.field(i).type) for i in range(at)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(found, target.field(at).type)], schema=target)
+
+    return held.mapInArrow(find, schema).join(asked, "q")
+
+
+def _by_rarest_trigram(rows: DataFrame, text: str, phrases: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and `q` by an equal join on the trigram of each phrase that the fewest texts hold, then a check of the phrase.
 
+    A phrase of one or two letters is its own gram. Texts are met as (text, gram) rows of wanted grams only."""
+    def pieces(value: Column, width: int) -> Column:
+        return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
-def _phrases_by_trigram(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(row, phrase) matches for any number of phrases: equi join on one trigram of the phrase, then a check."""
-    grams = trigrams(F.col("q"))
-    solid = F.filter(grams, lambda g: ~g.contains(" "))
-    keyed = asked.select("query_id", "q", F.coalesce(F.get(solid, F.lit(0)), F.get(grams, F.lit(0))).alias("gram"))
-    spread = rows.select("*", F.explode_outer(F.array_distinct(trigrams(F.col("content")))).alias("gram"))
-    return spread.join(keyed, "gram").where(F.col("content").contains(F.col("q")))
+    width = F.least(F.length("q"), F.lit(3))
+    grams = phrases.where("q <> ''").select("q", F.explode(F.when(width == 3, pieces(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
+    spread = rows.select(*keep, text, F.explode_outer(F.concat(*[pieces(F.col(text), n) for n in (1, 2, 3)])).alias("gram"))
+    seen = spread.select("gram").join(grams.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(seen, "gram").groupBy("q").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    found = spread.join(rarest, "gram").where(F.col(text).contains(F.col("q"))).select(*keep, "q")
+    every = rows.where(F.col(text).isNotNull()).select(*keep, F.lit("").alias("q")).join(phrases.where("q = ''"), "q", "left_semi")
+    return found.unionByName(every.select(*keep, "q"))
 
 
 def bm25_phrase(queries: DataFrame, chunks: DataFrame, limit: int = 20, allowed: DataFrame | None = None,
                 phrase: str = "phrase") -> DataFrame:
     """BM25 of each query taken as one literal phrase over title and content.
 
-    Few phrases are tested in each row; many go through an equi join on one trigram of the phrase (every match
-    contains it) with a check after it. As in the index this mirrors, 3 x limit rows are ranked first and only then
+    Texts are read once for all phrases (`containing`). As in the index this mirrors, 3 x limit rows are ranked first and only then
     filtered to the `allowed` (query_id, chunk_id) or (chunk_id) rows."""
     rows = searchable(chunks)
     size = F.greatest(F.lit(0), F.length("title") - 2) + F.greatest(F.lit(0), F.length("content") - 2)
     asked = queries.select("query_id", F.lower(strip(phrase)).alias("q")).where(F.length("q") >= 3)
-    if asked.limit(PHRASE_LIST + 1).count() <= PHRASE_LIST:
-        pairs = _phrases_by_list(rows, asked)
-    else:
-        pairs = _phrases_by_trigram(rows, asked)
+    pairs = containing(rows.withColumn("hay", F.col("content")), "hay", asked, ["chunk_id", "title", "content"])
     found = pairs.select(
         "query_id", "chunk_id", size.alias("dl"),
         (occurrences(F.col("title"), F.col("q")) + occurrences(F.col("content"), F.col("q"))).alias("f"))
@@ -423,7 +462,7 @@ def conflict_flag(hits: DataFrame) -> DataFrame:
 
 def context_table(hits: DataFrame) -> DataFrame:
     """One context text and source list per query from its (already cut) hits."""
-    shown = top_rows(expand_parents(hits), ["query_id"], [F.asc("rank")], 1 << 20, "n")
+    shown = expand_parents(hits).withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     source = F.concat(F.lit("路径："), F.col("rel_path"), F.when(
         F.coalesce("asset_path", F.lit("")) != "", F.concat(F.lit("\n原文件："), F.col("asset_path"))).otherwise(""))
     block = F.concat(
@@ -438,26 +477,10 @@ def context_table(hits: DataFrame) -> DataFrame:
 def search_pages(pages: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Substring search over title, tags and body of every page for each query row; title hits weigh more.
 
-    A substring test has no equi key, so each page tests the whole (small, size-checked) query list in its own row
-    and only matching pairs leave it."""
+    One scan of the pages for any number of queries."""
     asked = queries.select("query_id", F.lower(strip("text")).alias("q"))
     hay = F.lower(F.concat_ws(" ", "title", F.array_join("tags", " "), "body"))
-    hits = let(hay, lambda h: F.filter("__asked", lambda t: (t["q"] == "") | h.contains(t["q"])))
-    scored = let(F.lower("title"), lambda title: F.transform(hits, lambda t: F.struct(
-        t["query_id"].alias("query_id"),
-        F.when(t["q"] == "", 1).otherwise(F.when(title.contains(t["q"]), 12).otherwise(2)).alias("score"))))
-    rows = with_list(pages, asked, "__asked").select("rel_path", "title", F.explode(scored).alias("s")).select(
-        "rel_path", "title", "s.*")
+    score = F.when(F.col("q") == "", 1).otherwise(F.when(F.lower("title").contains(F.col("q")), 12).otherwise(2))
+    rows = containing(pages.select("rel_path", "title", hay.alias("hay")), "hay", asked, ["rel_path", "title"]).select(
+        "query_id", "rel_path", "title", score.alias("score"))
     return top_rows(rows, ["query_id"], [F.desc("score"), F.asc("title"), F.asc("rel_path")], limit)
-
-
-LIST_LIMIT = 10_000
-
-
-def with_list(df: DataFrame, small: DataFrame, name: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Add all rows of a small table as one array column, for tests that no join key can express.
-
-    The size is checked when the plan is built; a larger table must be given in parts."""
-    if small.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows: split the table and union the results")
-    return df.select("*", small.agg(F.collect_list(F.struct(*small.columns))).scalar().alias(name))

@@ -52,7 +52,7 @@ def _(t):
 
 
 @query("C18", "c18_related_qa", r"""
-with rq as (select * from v_qa where grounded = 1 order by cast(session_id as bigint) desc, turn desc limit 800),
+with rq as (select * from v_qa where grounded = 1),
 w as (select id, unnest(list_distinct(regexp_extract_all(lower(question || ' ' || answer), '[a-z0-9_]+'))) as token, regexp_extract_all(lower(question), '[a-z0-9_]+') as qw from rq),
 s as (select k.query_id, w.id, count(*) + 0.5 * count(*) filter (where list_contains(qw, token)) as score from w join v_query_tokens k using (token) group by 1, 2)
 select query_id, id, cast(score as double) as score from (select *, row_number() over (partition by query_id order by score desc, id desc) as rn from s) x where rn <= 3""")

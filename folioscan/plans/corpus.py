@@ -331,7 +331,7 @@ def _(t):
 
 
 @query("D25", "d25_top_starters", r"""
-with s as (select doc_id, source, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) >= 4)[1:200]) as sentence from documents),
+with s as (select doc_id, source, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) >= 4)) as sentence from documents),
 c as (select source, regexp_extract(sentence, '^([A-Za-z]{1,8})', 1) as starter, count(*) as uses from s group by 1, 2)
 select source, starter, uses, rank from (select *, row_number() over (partition by source order by uses desc, starter) as rank from c where starter <> '') x where rank <= 6""")
 def _(t):
@@ -382,7 +382,7 @@ def _(t):
 
 RULES = {"alpha": ("the", "of"), "beta": ("der", "und"), "delta": ("que", "le"), "gamma": ("doc1", "zz")}
 _hit = lambda k: " + ".join(f"cast(contains(blob, '{w}') as integer)" for w in RULES[k])
-CLASSIFY = "with b as (select doc_id, 'doc' || doc_id as name, lower('doc' || doc_id || ' ' || substr(text, 1, 800)) as blob from documents), s as (" + " union all ".join(
+CLASSIFY = "with b as (select doc_id, 'doc' || doc_id as name, lower('doc' || doc_id || ' ' || text) as blob from documents), s as (" + " union all ".join(
     f"select doc_id, '{k}' as key, {_hit(k)} as hits from b" for k in RULES) + """),
 r as (select *, row_number() over (partition by doc_id order by hits desc, key) as rk from s),
 g as (select doc_id, coalesce(max(key) filter (where rk = 1 and hits > 0), 'beta') as primary_category,
@@ -410,7 +410,7 @@ with p as (select rel_path, title, type, doc_id, trim(regexp_replace(body, '\\s+
 a as (select rel_path, title, 0 as n, 'listed ' || type as assumption from p where doc_id % 5 = 1
 union all select rel_path, title, i, ltrim(substr(flat, 1 + i * 10, 9 + i), '-•* ') from p, range(0, 3) r(i) where doc_id % 5 <> 1 and doc_id % 2 = 0)
 select rel_path, title, assumption, n from (select rel_path, title, trim(assumption) as assumption, cast(row_number() over (partition by rel_path order by n) - 1 as integer) as n from a where trim(assumption) <> '' and not starts_with(trim(assumption), '#')) x
-order by rel_path, n limit 2000""")
+""")
 def _(t):
     i = F.col("doc_id")
     flat = F.col("flat")
@@ -418,7 +418,7 @@ def _(t):
     body = F.when(i % 2 == 0, F.concat(F.lit("intro\n\n### 核心假设\n\n"), bullet(0), bullet(1), bullet(2), F.lit("\n## next\n\n- other\n"))).otherwise("plain")
     rows = t.v_pages.withColumn("flat", squeeze("body")).withColumn("body", body).withColumn("assumptions", F.when(
         i % 5 == 1, F.array(F.concat(F.lit("listed "), "type"))))
-    return P.assumption_table(rows, 2000).select("rel_path", "title", "assumption", F.col("n").cast("int").alias("n"))
+    return P.assumption_table(rows).select("rel_path", "title", "assumption", F.col("n").cast("int").alias("n"))
 
 
 @query("G4", "g4_replace_prefix", """

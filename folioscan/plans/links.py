@@ -159,14 +159,14 @@ def _(t):
 
 
 @query("J24", "j24_knowledge_map", """
-with first50 as (select rel_path, title, row_number() over (order by list_position(['concepts', 'entities', 'sources', 'comparisons', 'notes'], string_split(rel_path, '/')[1]), rel_path) as n from v_pages qualify n <= 400),
+with first50 as (select rel_path, title, row_number() over (order by list_position(['concepts', 'entities', 'sources', 'comparisons', 'notes'], string_split(rel_path, '/')[1]), rel_path) as n from v_pages),
 b as (select *, substr(regexp_replace(title, '[^a-zA-Z0-9_]', '_', 'g'), 1, 40) as base from first50),
 nd as (select rel_path, case when k = 1 then base else base || '_' || (k - 1) end as node from (select *, row_number() over (partition by base order by n) as k from b) x),
 r as (select l.rel_path, l.ord, case when l.ord = 0 then l.link else regexp_replace(l.rel_path, '[^/]*$', '') || l.link end as target from v_links l where not regexp_matches(l.link, '^https?://'))
 select r.rel_path, r.ord, s.node as src, d.node as dst from r join nd s on s.rel_path = r.rel_path join nd d on d.rel_path = r.target where s.node <> d.node""")
 def _(t):
     links = t.v_links.withColumn("link", F.when(F.col("ord") == 0, F.concat(F.lit("../"), "link")).otherwise(F.col("link")))
-    return G.knowledge_map(t.v_pages, links, 400)[1]
+    return G.knowledge_map(t.v_pages, links)[1]
 
 
 @query("J8", "j8_search_pages", """

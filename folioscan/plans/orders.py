@@ -156,7 +156,7 @@ def _(t):
 
 @query("D6", "d6_new_licenses_by_month", """
 select strftime(starts_at, '%Y-%m') as month, plan, count(*) as licenses from v_licenses where starts_at is not null
-group by 1, 2 order by 1 desc, 2 limit 36""")
+group by 1, 2 qualify dense_rank() over (order by strftime(starts_at, '%Y-%m') desc) <= 12""")
 def _(t):
     return R.new_licenses_by_month(t.v_licenses)
 

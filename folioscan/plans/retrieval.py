@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..operators.sequences import top_rows
 from . import common as C
 from .registry import query
 
@@ -89,7 +89,7 @@ def hybrid(t):
 
 
 def with_rank(df):
-    return top_rows(df, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 1 << 20)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 
 
 @query("D17", "d17_doc_frequency", "select token, df from v_df")

@@ -176,7 +176,7 @@ def _(t):
 @query("H17 H18", "h17_titles_and_type", r"""
 select doc_id, case when doc_id % 4 = 0 then 'Meta' else 'Part ' || cast(doc_id % 3 as varchar) end as title, substr(trim(string_split(text, chr(10))[1]), 1, 80) as first_line,
   coalesce(regexp_extract(text || ' see http://a.b/' || doc_id || ') end', 'https?://[^\s\)\]"'']+'), '') as link,
-  case when contains(lower(text || lang), ' vs ') or contains(substr(text, 1, 200), 'que') then 'comparison' when regexp_matches(substr(text, 1, 500), 'https?://') then 'source'
+  case when contains(lower(text || lang), ' vs ') or contains(text, 'que') then 'comparison' when regexp_matches(text, 'https?://') then 'source'
     when contains(lower(text || lang), 'und') then 'concept' when contains(lower(text || lang), 'the') then 'entity' else 'note' end as kind
 from documents where trim(string_split(text, chr(10))[1]) <> '' and not starts_with(text, '#')""")
 def _(t):

@@ -135,9 +135,9 @@ def chunks(spark, rows):
     return spark.createDataFrame(rows, "chunk_id string, rel_path string, title string, text string, ord bigint").withColumn("tokens", T.tokenize("text"))
 
 
-@pytest.mark.parametrize("listed", [400, 0])
-def test_phrase_scores_equal_sqlite(spark, monkeypatch, listed):
-    monkeypatch.setattr(S, "PHRASE_LIST", listed)
+@pytest.mark.parametrize("most", [S.AUTOMATON_BYTES, 0])
+def test_phrase_scores_equal_sqlite(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "AUTOMATON_BYTES", most)
     words = ["alpha", "beta", "gamma", "知识图谱", "aaaa", "ab\\Eab"]
     rows = [(f"c{i}", f"p{i % 7}", "" if i % 5 == 0 else f"Title {words[i % 6]}", " ".join(words[(i * j) % 6] for j in range(1, 3 + i % 9)), i) for i in range(60)]
     con = sqlite3.connect(":memory:")
@@ -197,3 +197,13 @@ def test_graph(spark):
 def test_upper_median(spark):
     rows = spark.createDataFrame([("g", v) for v in (1, 2, 3, 4)] + [("h", 7)], "g string, v int")
     assert {r.g: r.median for r in P.upper_median(rows, "g", "v").collect()} == {"g": 3, "h": 7}
+
+
+@pytest.mark.parametrize("most", [S.AUTOMATON_BYTES, 0])
+def test_any_number_of_phrases(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "AUTOMATON_BYTES", most)
+    asked = spark.range(10_001).select(F.col("id").alias("query_id"), F.concat(F.lit("term"), "id", F.lit(" ")).alias("q"))
+    asked = asked.unionByName(spark.createDataFrame([(20_000, ""), (20_001, "a"), (20_002, "zz"), (20_003, None), (20_004, "term7 ")], "query_id long, q string"))
+    rows = spark.createDataFrame([(1, "term7 term10000 out"), (2, "a"), (3, ""), (4, None), (1, "term7 term10000 out")], "n long, hay string")
+    got = sorted((r["n"], r["query_id"]) for r in S.containing(rows, "hay", asked, ["n"]).collect())
+    assert got == sorted([(1, 7), (1, 10_000), (1, 20_000), (1, 20_004)] * 2 + [(2, 20_000), (2, 20_001), (3, 20_000)])
