@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import col, lines_of, replace, strip
 
@@ -81,6 +80,7 @@ def rule_blocks(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         .otherwise("规则").alias("kind"))
 
 
+# Fixed value: how a front-matter block is set off.
 FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n(.*)\z"
 
 
@@ -89,11 +89,27 @@ def has_front_matter(text) -> Column:
 
 
 def front_matter(text) -> Column:
-    """Key to raw value of the simple `key: value` lines in the leading block; empty map when there is none."""
+    """Key to raw value of the leading block; empty map when there is none.
+
+    A line `key: value` gives a pair; lines `- item` below a key without value become its bracketed list, each item
+    quoted so that commas inside it stay. A colon inside an item does not make a key. The last line of a key wins."""
     block = F.regexp_extract(col(text), FRONT, 1)
-    lines = F.filter(lines_of(block), lambda s: s.contains(":"))
-    entries = F.transform(lines, lambda s: F.struct(
-        strip(F.substring_index(s, ":", 1)).alias("key"), strip(replace(s, r"^[^:]*:")).alias("value")))
+    lines = F.filter(lines_of(block), lambda s: strip(s) != "")
+    quoted = lambda s: F.concat(F.lit('"'), F.replace(scalar_value(strip(replace(s, r"^\s*-\s+"))), F.lit('"'), F.lit("'")), F.lit('"'))
+    pair = lambda s: F.struct(
+        strip(F.substring_index(s, ":", 1)).alias("key"), strip(replace(s, r"^[^:]*:")).alias("value"), F.array().cast("array<string>").alias("items"))
+    start = F.array().cast("array<struct<key:string,value:string,items:array<string>>>")
+
+    def fold(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["key"].alias("key"), last["value"].alias("value"), F.concat(last["items"], F.array(quoted(s))).alias("items"))
+        is_item = s.rlike(r"^\s*-\s+\S")
+        return (F.when(is_item & (F.size(acc) > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.when(F.size(acc) > 0, grown))))
+                .when(~is_item & s.contains(":"), F.concat(acc, F.array(pair(s)))).otherwise(acc))
+
+    entries = F.transform(F.aggregate(lines, start, fold), lambda e: F.struct(
+        e["key"].alias("key"), F.when((e["value"] == "") & (F.size(e["items"]) > 0), F.concat(F.lit("["), F.array_join(e["items"], ", "), F.lit("]")))
+        .otherwise(e["value"]).alias("value")))
     # Later lines win over earlier ones with the same key.
     last = F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.greatest(F.lit(0), F.size(entries) - i - 1)), lambda o: o["key"] == e["key"]))
@@ -109,25 +125,8 @@ def scalar_value(raw) -> Column:
 
 
 def list_value(raw) -> Column:
-    """Items of `[a, "b"]`; NULL when the value is not a bracketed list."""
+    """Items of `[a, "b, c"]`; a comma inside quotes does not part items. NULL when the value is not a bracketed list."""
     inner = F.regexp_extract(col(raw), r"(?s)^\[(.*)\]$", 1)
-    items = F.filter(F.transform(F.split(inner, ","), lambda s: scalar_value(strip(s))), lambda s: s != "")
+    cells = F.regexp_extract_all(inner, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]+)\s*(?:,|\z)"""), F.lit(1))
+    items = F.filter(F.transform(cells, lambda s: scalar_value(strip(s))), lambda s: s != "")
     return F.when(col(raw).rlike(r"(?s)^\[.*\]$"), items)
-
-
-@F.udf(returnType=T.MapType(T.StringType(), T.StringType()), useArrow=True)
-def front_matter_yaml(block: str) -> dict[str, str] | None:
-    """Full YAML for blocks the line reader cannot handle; lists become JSON text. Needs the yaml package."""
-    import json
-
-    try:
-        import yaml
-    except ImportError:
-        return None
-    try:
-        data = yaml.safe_load(block or "")
-    except yaml.YAMLError:
-        return None
-    if not isinstance(data, dict):
-        return None
-    return {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in data.items()}

@@ -132,27 +132,6 @@ def index_status(chunks: DataFrame, embeddings: DataFrame, phrases: DataFrame) -
         (F.col("chunks") >= INDEX_ADVISED_AT).alias("index_advised"))
 
 
-def hash_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """Deterministic stand-in for an embedding service: signed word hashes, unit length."""
-
-    def embed(texts: list[str]) -> list[list[float]]:
-        import hashlib
-
-        import numpy as np
-
-        out = []
-        for text in texts:
-            v = np.zeros(dim, dtype=np.float32)
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        return out
-
-    return embed
-
-
 def embed_rows(todo: DataFrame, model: str, embed: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> DataFrame:
     """Call a text-to-vector function on the rows of `embedding_todo`, a fixed number of texts per call."""
 

@@ -11,16 +11,18 @@ from ..sources import readers as R
 from ..sources import writers as O
 from . import common as C
 from .registry import query
+from .texts import TEXT_SQL
 
 
-@query("A1 L5", "a1_page_rows", """
+@query("A1", "a1_page_rows", """
 select rel_path, case when doc_id % 6 = 0 then cast(doc_id as varchar) else 'T ' || doc_id end as title, type, array_to_string(case when doc_id % 4 = 0 then [lang, source] else [] end, ',') as tags, created,
   case when updated = '' then created else updated end as updated, case when doc_id % 5 = 0 then 'draft' else status end as status, doc_id % 7 = 0 as pinned, md5(body) as digest from v_pages""")
 def _(t):
     i = F.col("doc_id")
     text = F.concat(
         F.lit("---\n"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("title: \"T "), i.cast("string"), F.lit("\"\n"))),
-        F.lit("type: "), "type", F.when(i % 4 == 0, F.concat(F.lit("\ntags: ["), "lang", F.lit(", \""), "source", F.lit("\"]"))).otherwise(""),
+        F.lit("type: "), "type", F.when(i % 8 == 0, F.concat(F.lit("\ntags: ["), "lang", F.lit(", \""), "source", F.lit("\"]")))
+        .when(i % 4 == 0, F.concat(F.lit("\ntags:\n  - "), "lang", F.lit("\n  - \""), "source", F.lit("\""))).otherwise(""),
         F.lit("\ncreated: "), "created", F.lit("\nupdated: "), "updated",
         F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("\nstatus: "), "status")),
         F.when(i % 7 == 0, "\npinned: true").otherwise(""), F.lit("\n---\n"), "body")
@@ -29,9 +31,12 @@ def _(t):
                        F.md5("body").alias("digest"))
 
 
-@query("A2 A3", "a3_dir_stats")
+@query("A2 A3", "a3_dir_stats", """
+select source as dir, count(*) as file_count, count(*) filter (where doc_id % 3 <> 0) as supported_count from documents group by source""")
 def _(t):
-    return R.dir_stats(t.spark, t.sf_dir)
+    """The documents as an inventory in which every third file is of a kind that is not read."""
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".bin").otherwise(".md"))
+    return R.dir_stats(t.documents.select(F.col("source").alias("dir"), name.alias("path")), ["dir"])
 
 
 @query("A4", "a4_decode_text", """
@@ -65,7 +70,8 @@ def _(t):
     return R.session_turns(raw).select("session_id", "turn", "role", F.md5("content").alias("digest"))
 
 
-@query("A10 I10 G1", "a10_write_index")
+@query("A10 I10 G1", "a10_write_index", f"""with {TEXT_SQL} select rel_path from v_pages where trim(body) <> ''
+union all select 'assets/documents/' || page_id || '.html' from txt where trim(body) <> ''""")
 def _(t):
     """All sources unioned, chunked, written as the partitioned index and read back."""
     from ..functions.html import html_text
@@ -75,7 +81,7 @@ def _(t):
     union = O.corpus_union(t.spread(C.page_arrays(t), "rel_path"), t.spread(assets, "rel_path"))
     path = scratch_path(t.spark, "index")
     O.write_index(chunk_rows(union), path)
-    return t.spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("chunks"), F.count_distinct("rel_path").alias("pages"))
+    return O.read_index(t.spark, path).select("rel_path").distinct()
 
 
 @query("G1", "g1_corpus_union", """
@@ -132,5 +138,5 @@ def _(t):
     staged, path = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "index")
     t.v_pages.select("rel_path", "title", "body").repartition(3, "rel_path").write.parquet(staged)
     stream = t.spark.readStream.schema("rel_path string, title string, body string").option("maxFilesPerTrigger", 2).parquet(staged)
-    stream_ingest(stream, path, scratch_path(t.spark, "cp"), parts=8)
-    return t.spark.read.parquet(path).agg(F.count_distinct("rel_path").alias("pages"))
+    stream_ingest(stream, path, scratch_path(t.spark, "cp"))
+    return O.read_index(t.spark, path).agg(F.count_distinct("rel_path").alias("pages"))

@@ -53,10 +53,20 @@ def _(t):
     return N.embedding_coverage(C.chunks(t), stored(t), "m1")
 
 
-@query("K10 L1", "k10_incremental_embeddings")
+def letter_vectors(texts: list[str]) -> list[list[float]]:
+    """Stands where a caller's model would: length, vowels and blanks of each text."""
+    return [[float(len(s)), float(sum(s.count(c) for c in "aeiou")), float(s.count(" "))] for s in texts]
+
+
+@query("K10 L1", "k10_incremental_embeddings", f"""
+with {STORED}, w as (select chunk_id, case when trim(title) = '' then text else trim(title) || chr(10) || text end as input from v_chunks where trim(text) <> ''),
+d as (select chunk_id, input, substr(sha256(input), 1, 24) as text_hash from w)
+select chunk_id, 'm1' as model, text_hash, cast(3 as integer) as dim, cast(length(input) as bigint) as chars, cast(length(input) - length(translate(input, 'aeiou', '')) as bigint) as vowels,
+  cast(length(input) - length(replace(input, ' ', '')) as bigint) as blanks from d where not exists (select 1 from st where st.model = 'm1' and st.chunk_id = d.chunk_id and st.text_hash = d.text_hash)""")
 def _(t):
-    rows = live(t)
-    return N.embed_rows(N.embedding_todo(rows, stored(t), "m1"), "m1", N.hash_embedder(16)).select("chunk_id", "model", "text_hash", "dim")
+    made = N.embed_rows(N.embedding_todo(live(t), stored(t), "m1"), "m1", letter_vectors)
+    part = lambda i: F.col("vector")[i].cast("bigint")
+    return made.select("chunk_id", "model", "text_hash", "dim", part(0).alias("chars"), part(1).alias("vowels"), part(2).alias("blanks"))
 
 
 @query("C11", "c11_url_new", """

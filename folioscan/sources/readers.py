@@ -12,8 +12,6 @@ from ..functions.text import base_name, col, strip
 from ..functions.urls import host
 from ..operators.corpus import CONTENT_DIRS, category, mime, supported, top_dir
 
-SCAN_LIMIT = 80_000
-
 
 def relative(path, root: str) -> Column:
     """Path below `root`, for paths that may carry a scheme such as file:."""
@@ -64,18 +62,19 @@ def read_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
         {"category": category("path"), "mime": mime("path")})
 
 
-def dir_stats(spark: SparkSession, root: str, max_scan: int = SCAN_LIMIT) -> DataFrame:
-    """Total and supported file counts of a folder. The flag says where a bounded scan would have stopped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return files.agg(F.count("*").alias("file_count"), F.count_if(supported("path")).alias("supported_count")).withColumn(
-        "truncated", F.col("file_count") >= max_scan)
+def dir_stats(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Total and supported file counts of an inventory (`path`), over all files or per folder."""
+    return files.groupBy(*(by or [])).agg(F.count("*").alias("file_count"), F.count_if(supported("path")).alias("supported_count"))
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a folder, of any kind."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
 
 
 def dir_fingerprint(spark: SparkSession, root: str) -> DataFrame:
     """Count, newest time and content-sensitive sum of the supported files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-        "path", "length", "modificationTime")
-    return fingerprint(files.where(supported("path")))
+    return fingerprint(list_files(spark, root).where(supported("path")))
 
 
 def fingerprint(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -123,11 +122,10 @@ def read_session_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html(pages: DataFrame, full_entities: bool = False) -> DataFrame:
     """Raw HTML rows (url, html) to title and Markdown; pages with almost no text are dropped."""
-    text = pages.select("*", H.html_title("html").alias("__title"), H.html_text("html").alias("__text"))
-    text = text.where(F.length("__text") >= 50)
-    if full_entities:
-        text = text.withColumns({"__title": H.unescape_full("__title"), "__text": H.unescape_full("__text")})
-    title = F.when(F.col("__title") != "", F.col("__title")).otherwise(host("url"))
-    markdown = F.concat(F.lit("# "), title, F.lit("\n\n来源: "), "url", F.lit("\n\n"), "__text")
-    return text.select(*[c for c in pages.columns if c != "html"], title.alias("title"), markdown.alias("markdown"),
-                       F.lit("basic-html").alias("method"))
+    unescape = H.unescape_full if full_entities else H.unescape_basic
+    # Both in one struct: the filter below then reads the computed text instead of having it computed again.
+    held = pages.withColumn("__read", F.array(F.struct(H.html_title("html", unescape).alias("title"), H.html_text("html", unescape).alias("text"))))
+    text = held.select(*[c for c in pages.columns if c != "html"], F.explode_outer("__read").alias("__r"), F.col("url").alias("__url")).where(F.length("__r.text") >= 50)
+    title = F.when(F.col("__r.title") != "", F.col("__r.title")).otherwise(host("__url"))
+    markdown = F.concat(F.lit("# "), title, F.lit("\n\n来源: "), "__url", F.lit("\n\n"), "__r.text")
+    return text.select(*[c for c in pages.columns if c != "html"], title.alias("title"), markdown.alias("markdown"), F.lit("basic-html").alias("method"))

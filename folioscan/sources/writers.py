@@ -4,78 +4,97 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import recent_pages, tag_index, top_dir
 from ..operators.graph import broken_links, knowledge_map, orphan_pages
-from ..session import materialize
 
-PARTS = 64
+# Changes that are kept beside the last whole version before they are folded into a new one.
+MOST_CHANGES = 8
 
 
-def index_part(parts: int = PARTS) -> Column:
-    return F.pmod(F.xxhash64("rel_path"), F.lit(parts)).cast("int")
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a finished folder in place of another."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
-    if fs.exists(old):
-        fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    if fs.exists(old):
-        fs.delete(old, True)
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _files(spark, path)
+    return fs.exists(where)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished versions, oldest first. A version counts once Spark has marked its last part as written."""
+    where, fs = _files(spark, path)
+    if not fs.exists(where):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
+    done = lambda n: exists(spark, f"{path}/{n}/changed/_SUCCESS" if n.endswith("-change") else f"{path}/{n}/_SUCCESS")
+    return [n for n in names if n.endswith(("-whole", "-change")) and done(n)]
 
 
-def write_index(chunks: DataFrame, path: str, parts: int = PARTS) -> None:
-    """Write the whole chunk index beside the old one and swap; partitioned by a hash of the page path."""
-    staged = path.rstrip("/") + ".next"
-    rows = chunks.withColumn("part", index_part(parts))
-    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(staged)
-    _swap(chunks.sparkSession, staged, path)
+def _next(spark: SparkSession, path: str, kind: str) -> str:
+    """A folder name above every number in use, finished or not."""
+    where, fs = _files(spark, path)
+    taken = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    last = max([int(n[:10]) for n in taken if n[:10].isdigit()], default=0)
+    return f"{path}/{last + 1:010d}-{kind}"
 
 
-def upsert_index(fresh: DataFrame, changed: DataFrame, path: str, parts: int = PARTS) -> None:
-    """Replace the chunks of the changed pages; only hash partitions that hold one are read and rewritten."""
-    spark = fresh.sparkSession
-    if not exists(spark, path):
-        write_index(fresh, path, parts)
-        return
-    store = spark.read.parquet(path)
-    keys = changed.select("rel_path").distinct()
-    touched = [r[0] for r in keys.select(index_part(parts).alias("p")).distinct().collect()]  # at most `parts` numbers
-    if not touched:
-        return
-    kept = store.where(F.col("part").isin(touched)).join(keys, "rel_path", "left_anti")
-    merged = materialize(kept.unionByName(fresh.withColumn("part", index_part(parts)), allowMissingColumns=True), "index-upsert")
-    # A touched partition left without rows is not rewritten by a dynamic overwrite, so empty ones are dropped first.
-    alive = {r[0] for r in merged.select("part").distinct().collect()}
-    if set(touched) - alive:
-        full = materialize(store.where(~F.col("part").isin(touched)).unionByName(merged), "index-rebuild")
-        staged = path.rstrip("/") + ".next"
-        full.repartition("part").write.mode("overwrite").partitionBy("part").parquet(staged)
-        _swap(spark, staged, path)
-        return
-    (merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("part").parquet(path))
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Publish a whole new version of a table that `chunks` may itself read; file sizes follow the data.
 
+    A version is a folder of its own and nothing is renamed, so a stop at any point leaves the last finished version as it
+    was. The version before stays for readers that still hold it; older ones are removed."""
+    spark = chunks.sparkSession
+    keys = [F.col("rel_path")] if "rel_path" in chunks.columns else []
+    chunks.hint("rebalance", *keys).write.parquet(_next(spark, path, "whole"))
+    names = versions(spark, path)
+    wholes = [n for n in names if n.endswith("-whole")]
+    for name in names:
+        if len(wholes) > 1 and name < wholes[-2]:
+            where, fs = _files(spark, f"{path}/{name}")
+            fs.delete(where, True)
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a small state table that `df` may itself read: write beside it, then swap."""
-    staged = path.rstrip("/") + ".next"
-    df.write.mode("overwrite").parquet(staged)
-    _swap(df.sparkSession, staged, path)
+
+replace_table = write_index
+
+
+def upsert_index(fresh: DataFrame, changed: DataFrame, path: str) -> None:
+    """Replace the chunks of the changed pages: only the fresh rows and the list of changed pages are written."""
+    spark = fresh.sparkSession
+    names = versions(spark, path)
+    if not names:
+        write_index(fresh, path)
+        return
+    folder = _next(spark, path, "change")
+    fresh.write.parquet(f"{folder}/rows")
+    changed.select("rel_path").distinct().write.parquet(f"{folder}/changed")
+    since = [n for n in names if n > max(x for x in names if x.endswith("-whole"))]
+    if len(since) >= MOST_CHANGES:
+        write_index(read_index(spark, path), path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as last published: the last whole version with the later changes; None before the first.
+
+    Rows of a page that changed later are left out by a join on the short list of changed pages."""
+    names = versions(spark, path)
+    if not names:
+        return None
+    whole = max(n for n in names if n.endswith("-whole"))
+    later = [n for n in names if n > whole]
+    rows = spark.read.parquet(f"{path}/{whole}")
+    if not later:
+        return rows
+    number = lambda n: F.lit(int(n[:10])).cast("long")
+    parts = [rows.withColumn("version__", number(whole))]
+    parts += [spark.read.schema(rows.schema).parquet(f"{path}/{n}/rows").withColumn("version__", number(n)) for n in later]
+    marks = [spark.read.schema("rel_path string").parquet(f"{path}/{n}/changed").withColumn("last__", number(n)) for n in later]
+    last = reduce(DataFrame.unionByName, marks).groupBy("rel_path").agg(F.max("last__").alias("last__"))
+    joined = reduce(DataFrame.unionByName, parts).join(last, "rel_path", "left")
+    return joined.where(F.col("last__").isNull() | (F.col("version__") >= F.col("last__"))).select(*rows.columns)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import incremental as N
 from ..operators.chunking import chunk_rows
 from ..operators.sequences import first_rows
-from ..sources.writers import exists, replace_table, upsert_index
+from ..sources.writers import exists, read_index, replace_table, upsert_index
 
 NOW = {"availableNow": True}
 
@@ -38,12 +38,12 @@ def latest_pages(batch: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["rel_path"])
 
 
-def stream_ingest(pages: DataFrame, index_path: str, checkpoint: str, parts: int = 64, trigger: dict[str, Any] | None = None):
+def stream_ingest(pages: DataFrame, index_path: str, checkpoint: str, trigger: dict[str, Any] | None = None):
     """New or changed pages (rel_path, title, body, optionally modified) to the chunk index."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         latest = latest_pages(batch)
-        upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, index_path, parts)
+        upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, index_path)
 
     return run_batches(pages, step, checkpoint, trigger)
 
@@ -175,7 +175,8 @@ def fingerprint_changes(before: DataFrame, after: DataFrame, key: str = "dir") -
 
 
 def _current(batch: DataFrame, path: str, empty: DataFrame) -> DataFrame:
-    return batch.sparkSession.read.parquet(path) if exists(batch.sparkSession, path) else empty.limit(0)
+    held = read_index(batch.sparkSession, path)
+    return empty.limit(0) if held is None else held
 
 
 def upsert_stream(changes: DataFrame, path: str, keys: list[str], newest: Column, checkpoint: str,
@@ -208,8 +209,9 @@ def embedding_stream(pages: DataFrame, chunks_path: str, vectors_path: str, mode
         spark = batch.sparkSession
         latest = latest_pages(batch)
         upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, chunks_path)
-        chunks = spark.read.parquet(chunks_path)
-        stored = spark.read.parquet(vectors_path) if exists(spark, vectors_path) else spark.createDataFrame(
+        chunks = read_index(spark, chunks_path)
+        stored = read_index(spark, vectors_path)
+        stored = stored if stored is not None else spark.createDataFrame(
             [], "chunk_id string, model string, text_hash string, dim int, vector array<float>")
         replace_table(N.sync_embeddings(stored, chunks, model, embed), vectors_path)
 

@@ -7,7 +7,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscan.functions import parsing as X
 from folioscan.operators import corpus as P
 from folioscan.operators import incremental as N
 from folioscan.operators.chunking import chunk_rows
@@ -44,8 +43,8 @@ def test_inventory_and_fingerprint(spark, folder):
     put(folder, "d/c.xyz", "skip")
     files = {r.rel_path: (r.category, r.mime) for r in R.read_files(spark, folder).collect()}
     assert files == {"d/a.md": ("documents", "text/markdown"), "d/b.PNG": ("images", "image/png")}
-    stats = R.dir_stats(spark, folder).first()
-    assert (stats.file_count, stats.supported_count, stats.truncated) == (3, 2, False)
+    stats = R.dir_stats(R.list_files(spark, folder)).first()
+    assert (stats.file_count, stats.supported_count) == (3, 2)
     before = R.dir_fingerprint(spark, folder).first()
     put(folder, "d/a.md", "12")
     spark.catalog.clearCache()
@@ -69,28 +68,57 @@ def test_decode(spark):
     assert [r.t for r in rows.orderBy("i").select(R.decode_text("b").alias("t")).collect()] == ["中文知识", "ok", "é"]
 
 
-def test_yaml_helper(spark):
-    row = spark.createDataFrame([("a: 1\nb:\n  - x\n",)], "t string").select(X.front_matter_yaml("t").alias("m")).first()
-    try:
-        import yaml  # noqa: F401
-    except ImportError:
-        assert row.m is None
-    else:
-        assert row.m == {"a": "1", "b": '["x"]'}
+def test_front_matter_lists(spark):
+    text = """---
+title: "A: b"
+tags:
+  - web
+  - "two, words"
+  - https://x.org/a
+links: [one, "t, wo"]
+empty:
+folder_ids:
+- f1
+status: draft
+status: published
+---
+body"""
+    row = R.page_rows(spark.createDataFrame([("concepts/a.md", text), ("concepts/b.md", "- no front matter\n: here")], "rel_path string, text string")).where("rel_path = 'concepts/a.md'").first()
+    assert (row.title, row.status, row.body) == ("A: b", "published", "body")
+    assert (row.tags, row.links, row.folder_ids) == (["web", "two, words", "https://x.org/a"], ["one", "t, wo"], ["f1"])
 
 
 def test_index_upsert(spark, folder):
     page = lambda p, body: (p, "T", body)
     schema = "rel_path string, title string, body string"
     path = folder + "/index"
-    O.write_index(chunk_rows(spark.createDataFrame([page(f"n/{i}.md", f"word{i} text") for i in range(20)], schema)), path, 4)
+    O.write_index(chunk_rows(spark.createDataFrame([page(f"n/{i}.md", f"word{i} text") for i in range(20)], schema)), path)
     changed = spark.createDataFrame([page("n/3.md", "fresh words"), page("n/99.md", "added")], schema)
-    O.upsert_index(chunk_rows(changed), changed, path, 4)
-    got = {r.rel_path: r.text for r in spark.read.parquet(path).collect()}
+    O.upsert_index(chunk_rows(changed), changed, path)
+    got = {r.rel_path: r.text for r in O.read_index(spark, path).collect()}
     assert len(got) == 21 and "fresh words" in got["n/3.md"] and "added" in got["n/99.md"] and "word4" in got["n/4.md"]
     gone = spark.createDataFrame([page(f"n/{i}.md", "") for i in [*range(20), 99]], schema)
-    O.upsert_index(chunk_rows(gone.where("false")), gone, path, 4)
-    assert spark.read.schema("rel_path string").parquet(path).count() == 0
+    O.upsert_index(chunk_rows(gone.where("false")), gone, path)
+    assert O.read_index(spark, path).count() == 0
+    for i in range(O.MOST_CHANGES):
+        one = spark.createDataFrame([page("n/5.md", f"turn {i}")], schema)
+        O.upsert_index(chunk_rows(one), one, path)
+    assert [r.text for r in O.read_index(spark, path).collect()] == [O.read_index(spark, path).first().text] and f"turn {i}" in O.read_index(spark, path).first().text
+    assert sum(n.endswith("-change") for n in O.versions(spark, path)[-3:]) < O.MOST_CHANGES
+
+
+def test_a_stopped_write_loses_nothing(spark, folder):
+    schema, path = "rel_path string, title string, body string", folder + "/index"
+    O.write_index(chunk_rows(spark.createDataFrame([(f"n/{i}.md", "T", f"word{i} text") for i in range(4)], schema)), path)
+    os.makedirs(path + "/0000000002-whole")  # a whole version whose job died
+    spark.createDataFrame([("n/1.md",)], "rel_path string").write.parquet(path + "/0000000003-change/rows")  # a change without its last part
+    assert O.read_index(spark, path).count() == 4 and O.versions(spark, path) == ["0000000001-whole"]
+    changed = spark.createDataFrame([("n/1.md", "T", "fresh")], schema)
+    O.upsert_index(chunk_rows(changed), changed, path)
+    got = {r.rel_path: r.text for r in O.read_index(spark, path).collect()}
+    assert len(got) == 4 and "fresh" in got["n/1.md"] and "word2" in got["n/2.md"]
+    O.replace_table(O.read_index(spark, path).where("rel_path <> 'n/0.md'"), path)
+    assert O.read_index(spark, path).count() == 3
 
 
 def test_reports_and_export(spark, folder):
@@ -194,25 +222,25 @@ def test_table_streams(spark, folder):
     turns = [[("s1", 0, "user", "hello", "t0"), ("s1", 1, "assistant", "a", "t1")], [("s1", 2, "user", "again", "t2"), ("s2", 0, "user", "new", "t3")]]
     schema = "session_id string, turn bigint, role string, content string, at_time string"
     J.session_stream(files_stream(spark, folder + "/s", turns, schema), folder + "/sessions", folder + "/cp1")
-    got = {r.session_id: (r.created_at, r.updated_at, r.preview) for r in spark.read.parquet(folder + "/sessions").collect()}
+    got = {r.session_id: (r.created_at, r.updated_at, r.preview) for r in O.read_index(spark, folder + "/sessions").collect()}
     assert got == {"s1": ("t0", "t2", "again"), "s2": ("t3", "t3", "new")}
     changes = [[(1, "a", 1), (1, "b", 2)], [(1, "c", 3), (2, "d", 4)]]
     J.upsert_stream(files_stream(spark, folder + "/u", changes, "id int, name string, v int"), folder + "/table", ["id"], F.desc("v"), folder + "/cp2")
-    assert {r.id: r.name for r in spark.read.parquet(folder + "/table").collect()} == {1: "c", 2: "d"}
+    assert {r.id: r.name for r in O.read_index(spark, folder + "/table").collect()} == {1: "c", 2: "d"}
 
     def send(frames):
         for f in frames:
             yield f.assign(ok=f["payload"] != "bad", error="refused")[["id", "ok", "error"]]
 
     J.retry_stream(files_stream(spark, folder + "/r", [[("1", "ok"), ("2", "bad")], [("3", "ok")]], "id string, payload string"), folder + "/queue", send, folder + "/cp3")
-    queue = {r.id: (r.sent, r.attempts, r.last_error) for r in spark.read.parquet(folder + "/queue").collect()}
+    queue = {r.id: (r.sent, r.attempts, r.last_error) for r in O.read_index(spark, folder + "/queue").collect()}
     assert queue == {"1": (True, 1, ""), "2": (False, 2, "refused"), "3": (True, 1, "")}
 
 
 def test_embedding_stream(spark, folder):
     pages = [[("n/a.md", "A", "some words"), ("n/b.md", "B", "other words")], [("n/a.md", "A", "changed words")]]
     stream = files_stream(spark, folder + "/p", pages, "rel_path string, title string, body string")
-    J.embedding_stream(stream, folder + "/chunks", folder + "/vectors", "m", N.hash_embedder(8), folder + "/cp")
-    chunks, vectors = spark.read.parquet(folder + "/chunks"), spark.read.parquet(folder + "/vectors")
+    J.embedding_stream(stream, folder + "/chunks", folder + "/vectors", "m", lambda texts: [[float(len(x))] * 8 for x in texts], folder + "/cp")
+    chunks, vectors = O.read_index(spark, folder + "/chunks"), O.read_index(spark, folder + "/vectors")
     assert N.embedding_todo(chunks, vectors, "m").count() == 0 and vectors.count() == chunks.count()
     assert all(r.dim == 8 for r in vectors.collect())

@@ -79,7 +79,7 @@ def test_html(spark):
     assert one(spark, H.html_title("t"), t=page) == "A & B"
     assert [s.strip() for s in one(spark, H.html_text("t"), t=page).split("\n") if s.strip()] == ["A & B", "Hi", "one two", "three"]
     assert one(spark, H.html_to_plain("t"), t="a<br/>b</p>c&lt;d&gt;") == "a\nb\nc<d>"
-    assert one(spark, H.unescape_full("t"), t="&copy;&#233;&hellip;") == "©é…"
+    assert one(spark, H.unescape_full("t"), t="a&copy;&#233;&hellip;&#x1F600;&nosuch;&amp;lt; & &#0;z") == "a©é…😀&nosuch;&lt; & \ufffdz"
 
 
 def test_parsers(spark):
