@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 # Character classes and markers that decide results.
 BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
           "\u2028\u2029\u202f\u205f\u3000")
+BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"  # the same, as a pattern
 CJK = r"\x{4e00}-\x{9fff}"
 SPACES_PATTERN = r"[,，、;；\s]+"  # between aliases
 TOKEN_PATTERN = rf"[{CJK}]+|[a-zA-Z0-9_]+"
 ANALYSIS_MARKERS = ("## 分析提炼", "### 核心要点", "### 可引用事实")
 BOOST_MARKERS = ("分析提炼", "### 核心要点")
-SENTENCE_END = r"(?<=[。！？!?；;])\s*|\n+"
+SENTENCE_END = rf"(?<=[。！？!?；;]){BLANK}*|\n+"
 QUESTION_WORDS = r"(?i)^(请问|请|什么是|是什么|如何|怎么|为什么|为何)\s*"
 UNTITLED = "untitled"
 
@@ -80,13 +81,17 @@ def text_hash(value, length: int = 24) -> Column:
     return F.substring(F.sha2(col(value), 256), 1, length)
 
 
+# Markdown marks and what takes their place, in this order.
+MARKDOWN_MARKS = (
+    (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (rf"(?md)^#{{1,6}}{BLANK}+", ""), (rf"(?md)^>{BLANK}?", ""), (rf"(?md)^{BLANK}*[-*+]{BLANK}+", ""), (rf"(?md)^{BLANK}*\d+\.{BLANK}+", ""),
+    (r"\|", " "), (r"-{3,}", " "),
+)
+
+
 def strip_markdown(value) -> Column:
     out = col(value)
-    for pattern, by in (
-        (r"(?s)```.*?```", " "), (r"`[^`]+`", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
-        (r"\|", " "), (r"-{3,}", " "),
-    ):
+    for pattern, by in MARKDOWN_MARKS:
         out = F.regexp_replace(out, pattern, by)
     return squeeze(out)
 

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    col, context_prefix, is_html_table, is_markdown_table, is_table_block, let, lines_of, normalize_text, squeeze, strip, tokenize,
+    BLANK, col, context_prefix, is_html_table, is_markdown_table, is_table_block, let, lines_of, normalize_text, squeeze, strip, tokenize,
 )
 
-HEADING = r"(?md)^#{1,4}\s+(.+)$"
+HEADING = rf"(?md)^#{{1,4}}{BLANK}+(.+)$"
 TABLE_RULE = r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 HELD, TABLE = "\u0001", "\u0002"
 STRINGS = "array<string>"
@@ -26,11 +26,11 @@ def no_strings() -> Column:
 
 def section_array(text) -> Column:
     """(heading, body) of each part between level 1 to 4 headings; text before the first has an empty heading."""
-    parts = F.split(normalize_text(text), r"(?md)(?=^#{1,4}\s+.+$)")
+    parts = F.split(normalize_text(text), rf"(?md)(?=^#{{1,4}}{BLANK}+.+$)")
     pairs = F.transform(parts, lambda p: F.when(
-        p.rlike(r"^#{1,4}\s+\S"),
+        p.rlike(rf"^#{{1,4}}{BLANK}+\S"),
         F.struct(strip(F.regexp_extract(p, HEADING, 1)).alias("heading"),
-                 strip(F.regexp_replace(p, r"(?d)^#{1,4}\s+.+", "")).alias("body"))
+                 strip(F.regexp_replace(p, rf"(?d)^#{{1,4}}{BLANK}+.+", "")).alias("body"))
     ).otherwise(F.struct(F.lit("").alias("heading"), strip(p).alias("body"))))
     return F.filter(pairs, lambda s: s["body"] != "")
 
@@ -44,7 +44,7 @@ def paragraph_array(body) -> Column:
     """Blank-line separated parts; an HTML table stays whole."""
     marked = F.regexp_replace(col(body), r"(?is)(<table\b.*?</table>)", f"{HELD}{TABLE}$1{HELD}")
     parts = F.flatten(F.transform(F.split(marked, HELD), lambda p: F.when(
-        p.startswith(TABLE), F.array(F.substring(p, 2, 1 << 30))).otherwise(F.split(p, r"\n\s*\n"))))
+        p.startswith(TABLE), F.array(F.substring(p, 2, 1 << 30))).otherwise(F.split(p, rf"\n{BLANK}*\n"))))
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    base_name, extension, is_markdown_table, let, lines_of, memo_date, normalize_path, section_items,
+    BLANK, base_name, extension, is_markdown_table, let, lines_of, memo_date, normalize_path, section_items,
     split_sentences, strip,
 )
 from .chunking import document_array
@@ -323,11 +323,11 @@ def style_metrics(docs: DataFrame, group: str, text: str = "text") -> DataFrame:
         F.count("*").alias("sentence_count"), F.sum("len").alias("__len"),
         F.count_if(F.col("sentence").rlike("[?？]")).alias("__q"), F.count_if(F.col("sentence").rlike("[!！]")).alias("__e"))
     count = lambda pattern: F.sum(F.regexp_count(body, F.lit(pattern)))
-    paras = F.size(F.filter(F.split(body, r"\n\s*\n"), lambda p: strip(p) != ""))
+    paras = F.size(F.filter(F.split(body, rf"\n{BLANK}*\n"), lambda p: strip(p) != ""))
     per_doc = docs.groupBy(group).agg(
         F.sum(paras).alias("paragraph_count"),
-        (count(r"(?m)^\s*[-*+]\s") + count(r"(?m)^\s*\d+\.\s")).alias("__lists"), count(r"(?m)^#{1,6}\s").alias("__heads"),
-        count(r"(?m)^\|.+\|$").alias("table_row_count"),
+        (count(rf"(?md)^{BLANK}*[-*+]{BLANK}") + count(rf"(?md)^{BLANK}*\d+\.{BLANK}")).alias("__lists"), count(rf"(?md)^#{{1,6}}{BLANK}").alias("__heads"),
+        count(r"(?md)^\|.+\|$").alias("table_row_count"),
         F.sum(F.size(F.split(F.regexp_replace(body, r"\n\z", ""), "\n"))).alias("__lines"), F.sum(F.length(body)).alias("chars"))
     rows = per_sentence.join(per_doc, group).join(upper_median(said, group, "len"), group)
     n, p = F.col("sentence_count"), F.greatest(F.col("paragraph_count"), F.lit(1))

@@ -15,13 +15,14 @@ def pages(t):
 
 
 @query("I1", "i1_split_sections", r"""
-select rel_path, cast(0 as integer) as ord, 'Part ' || cast(doc_id % 3 as varchar) as heading, md5(b) as digest from (
-  select rel_path, doc_id, trim(regexp_replace(regexp_replace(body, '^# Part \d\n\n', ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as b from v_pages) x where b <> ''
-  and not regexp_matches(b, '(?m)^#{1,4}\s+\S')""")
+with p as (select rel_path, doc_id, trim(regexp_replace(regexp_replace(body, '^# Part \d\n\n', ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as b from v_pages)
+select rel_path, cast(0 as integer) as ord, 'Part ' || cast(doc_id % 3 as varchar) as heading, md5(b) as digest from p where b <> ''
+
+union all select rel_path, case when b = '' then 0 else 1 end, 'Second part', md5('closing words of ' || rel_path) from p""")
 def _(t):
-    rows = K.split_sections(pages(t), ["rel_path"], "body")
-    several = rows.where("ord > 0").select("rel_path").distinct()
-    return rows.join(several, "rel_path", "left_anti").select("rel_path", "ord", "heading", F.md5("body").alias("digest"))
+    """Every page with a second section added, so each has two headings and two bodies."""
+    rows = pages(t).withColumn("body", F.concat("body", F.lit("\n\n### Second part\n\nclosing words of "), "rel_path"))
+    return K.split_sections(rows, ["rel_path"], "body").select("rel_path", "ord", "heading", F.md5("body").alias("digest"))
 
 
 @query("I2", "i2_split_paragraphs", r"""

@@ -207,3 +207,10 @@ def test_any_number_of_phrases(spark, monkeypatch, most):
     rows = spark.createDataFrame([(1, "term7 term10000 out"), (2, "a"), (3, ""), (4, None), (1, "term7 term10000 out")], "n long, hay string")
     got = sorted((r["n"], r["query_id"]) for r in S.containing(rows, "hay", asked, ["n"]).collect())
     assert got == sorted([(1, 7), (1, 10_000), (1, 20_000), (1, 20_004)] * 2 + [(2, 20_000), (2, 20_001), (3, 20_000)])
+
+
+def test_unicode_blanks(spark):
+    rows = spark.createDataFrame([("p", "first\n\u3000\nsecond\n\n#\u3000Head\n\nunder it")], "k string, t string")
+    assert [r["col"] for r in rows.select(F.explode(K.paragraph_array("t"))).collect()] == ["first", "second", "#\u3000Head", "under it"]
+    assert [(r.heading, r.body.replace("\u3000", "")) for r in K.split_sections(rows, ["k"], "t").collect()] == [("", "first\n\nsecond"), ("Head", "under it")]
+    assert one(spark, T.strip_markdown("t"), t="#\u3000Head\n-\u00a0item") == "Head item"
