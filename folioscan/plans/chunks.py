@@ -32,7 +32,16 @@ def _(t):
     return pages(t).select("rel_path", F.posexplode(K.paragraph_array("body")).alias("ord", "paragraph"))
 
 
-@query("I3", "i3_merge_small")
+_table = lambda x: (f"(contains({x}, '|') and len(list_filter(string_split({x}, chr(10)), lambda l: contains(l, '|'))) >= "
+                    f"greatest(2, len(list_filter(string_split({x}, chr(10)), lambda l: trim(l) <> '')) // 2))")
+_BUF = "list_last(string_split(a, chr(1)))"
+
+
+@query("I3", "i3_merge_small", rf"""
+with p as (select rel_path, list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') as v from v_pages),
+m as (select rel_path, string_split(list_reduce(v, lambda a, x: case when length({_BUF}) < 120 and length({_BUF}) + length(x) + 2 <= 360
+  and not {_table(_BUF)} and not {_table('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as parts from p where len(v) > 0)
+select rel_path, cast(generate_subscripts(parts, 1) - 1 as integer) as ord, unnest(parts) as part from m""")
 def _(t):
     return pages(t).select("rel_path", F.posexplode(K.merged_array(K.paragraph_array("body"), 120)).alias("ord", "part"))
 
@@ -42,7 +51,16 @@ def _(t):
     return C.chunks(t).select("chunk_id", "text")
 
 
-@query("I5 H33", "i5_chunk_md_table")
+@query("I5 H33", "i5_chunk_md_table", """
+with recursive l as (select device_id, '| ' || id || ' | ' || plan || ' | ' || status || ' |' as line from v_orders where device_id <> ''),
+t as (select device_id, list(line order by line) as v from l group by 1),
+f(device_id, v, i, piece, buf) as (select device_id, v, 1, cast(null as varchar), '' from t
+  union all select device_id, v, i + 1,
+    case when buf <> '' and 37 + length(buf) + 1 + length(v[i]) > 200 or i > len(v) then buf end,
+    case when i > len(v) then '' when buf = '' then v[i] when 37 + length(buf) + 1 + length(v[i]) > 200 then v[i] else buf || chr(10) || v[i] end
+  from f where i <= len(v) + 1 and (i <= len(v) or buf <> '')),
+w as (select device_id, '| id | plan | status |' || chr(10) || '|---|---|---|' || chr(10) || piece as piece, i from f where piece is not null)
+select device_id, cast(row_number() over (partition by device_id order by i) - 1 as integer) as ord, piece from w""")
 def _(t):
     rows = t.v_orders.where("device_id <> ''").select("device_id", "okey", F.concat_ws(" ", F.lit("|"), "id", F.lit("|"), "plan", F.lit("|"), "status", F.lit("|")).alias("line"))
     # A table of each plan's orders per customer; customers hold a bounded number of orders here.
@@ -51,7 +69,17 @@ def _(t):
     return tables.select("device_id", F.posexplode(K.md_table_array("text", 200)).alias("ord", "piece"))
 
 
-@query("I6", "i6_chunk_html_table")
+@query("I6", "i6_chunk_html_table", """
+with recursive l as (select device_id, '<tr><td>' || id || '</td><td>' || plan || '</td></tr>' as line from v_orders where device_id <> ''),
+t as (select device_id, list(line order by line) as v from l group by 1),
+h as (select length('<table class=''t''><tr><th>id</th><th>plan</th></tr></table>') as n),
+f(device_id, v, i, piece, buf) as (select device_id, v, 1, cast(null as varchar), '' from t
+  union all select device_id, v, i + 1,
+    case when buf <> '' and (select n from h) + length(buf) + length(v[i]) > 160 or i > len(v) then buf end,
+    case when i > len(v) then '' when buf = '' then v[i] when (select n from h) + length(buf) + length(v[i]) > 160 then v[i] else buf || v[i] end
+  from f where i <= len(v) + 1 and (i <= len(v) or buf <> '')),
+w as (select device_id, '<table class=''t''><tr><th>id</th><th>plan</th></tr>' || piece || '</table>' as piece, i from f where piece is not null)
+select device_id, cast(row_number() over (partition by device_id order by i) - 1 as integer) as ord, piece from w""")
 def _(t):
     cells = t.v_orders.where("device_id <> ''").select("device_id", F.concat(F.lit("<tr><td>"), "id", F.lit("</td><td>"), "plan", F.lit("</td></tr>")).alias("row"))
     tables = cells.groupBy("device_id").agg(F.concat(

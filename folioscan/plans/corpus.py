@@ -311,7 +311,7 @@ def _(t):
 WORDS = ("the", "and", "der", "la", "que", "zzzz")
 
 
-@query("D24", "d24_style_metrics", r"""
+STYLE_SQL = r"""
 with s as (select source, trim(unnest(string_split_regex(regexp_replace(text, '([。！？!?；;])\s*', '\1' || chr(10), 'g'), '\n+'))) as sentence from documents),
 k as (select source, sentence, length(sentence) as len from s where length(sentence) >= 4),
 a as (select source, count(*) as n, sum(len) as total, count(*) filter (where regexp_matches(sentence, '[?？]')) as q,
@@ -324,7 +324,10 @@ select source, n as sentence_count, round_even(total / n, 1) as avg_sentence_len
   cast(greatest(paras, 1) as bigint) as paragraph_count, round_even(n / greatest(paras, 1), 1) as avg_paragraph_sentences,
   round_even(lists / greatest(lines_, 1), 3) as list_line_ratio, round_even(heads / greatest(paras, 1), 2) as heading_density,
   cast(rows_ as bigint) as table_row_count, round_even(q / n, 3) as question_ratio, round_even(e / n, 3) as exclaim_ratio, cast(chars as bigint) as chars
-from a join d using (source)""")
+from a join d using (source)"""
+
+
+@query("D24", "d24_style_metrics", STYLE_SQL)
 def _(t):
     docs = t.spread(t.documents, "doc_id").select("source", "text")
     return P.style_metrics(docs, "source")
@@ -348,7 +351,13 @@ def _(t):
     return big(out.select("source", "word", "uses", "rank"), "rank")
 
 
-@query("D26", "d26_style_summary")
+@query("D26", "d26_style_summary", f"""
+with m as ({STYLE_SQL}),
+w as (select *, case when avg_sentence_len <= 18 then '短句为主、节奏紧凑' when avg_sentence_len <= 32 then '句长适中、叙述与说明并重' else '偏长句、适合展开论述' end as pace,
+  concat_ws('；', case when list_line_ratio >= 0.15 then '常用条目式列举' end, case when heading_density >= 0.4 then '小节标题分层清晰' end, case when table_row_count >= 3 then '习惯用表格做对比或清单' end) as structure,
+  concat_ws('；', case when question_ratio >= 0.08 then '偶用设问引导' end, case when exclaim_ratio >= 0.05 then '语气略带强调' end) as tone from m)
+select source, concat_ws(chr(10), '句长特征：' || pace || '（均句长约 ' || printf('%.1f', avg_sentence_len) || ' 字）。', case when structure <> '' then '结构习惯：' || structure || '。' end,
+  case when tone <> '' then '语气习惯：' || tone || '。' end) as summary from w""")
 def _(t):
     docs = t.spread(t.documents, "doc_id").select("source", "text")
     return P.style_summary(P.style_metrics(docs, "source")).select("source", "summary")

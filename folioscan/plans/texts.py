@@ -86,7 +86,9 @@ def _(t):
 
 @query("H7 L2", "h7_html_article_text")
 def _(t):
-    rows = pages(t).select("page_id", H.html_article_text("html").alias("body"))
+    """Pages with a captioned picture at the head of the article; the full entity table has nothing left to resolve here."""
+    shown = F.replace("html", F.lit("<article>"), F.concat(F.lit('<article><img src="x.png" alt="view '), F.col("page_id").cast("string"), F.lit('">')))
+    rows = pages(t).select("page_id", H.html_article_text(shown).alias("body"))
     return rows.select("page_id", H.unescape_full("body").alias("body"))
 
 
@@ -252,12 +254,15 @@ def _(t):
     return docs(t).select("doc_id", T.excerpt("text").alias("excerpt"))
 
 
-@query("H29 E15", "h29_rule_blocks")
+@query("H29 E15", "h29_rule_blocks", r"""
+select doc_id, cast(0 as integer) as ord, 'r_0' || substr(md5(text), 1, 6) as id, doc_id % 3 <> 0 as enabled, '纠错 2026-01-02 03:04' as title, '2026-01-02 03:04' as at,
+  trim(split_part(text, chr(10), 1), ' ') as question, 'r ' || length(text) as text, '纠错' as kind from documents
+union all select doc_id, 1, '', true, '偏好 free', '', '', trim(split_part(text, chr(10), 1), ' '), '偏好' from documents""")
 def _(t):
     i = F.col("doc_id")
     block = F.concat(F.lit("# 规则\n\n### r_0"), F.substring(F.md5("text"), 1, 6), F.lit(" · 纠错 2026-01-02 03:04 <!-- enabled: "),
-                     F.when(i % 3 == 0, "false").otherwise("true"), F.lit(" -->\n- **触发问题**：q\n- **规则**：r"), i.cast("string"),
-                     F.lit("\n\n### 偏好 free\nfirst line\nsecond\n"))
+                     F.when(i % 3 == 0, "false").otherwise("true"), F.lit(" -->\n- **触发问题**："), F.split("text", "\n")[0], F.lit("\n- **规则**：r "), F.length("text").cast("string"),
+                     F.lit("\n\n### 偏好 free\n"), F.split("text", "\n")[0], F.lit("\nsecond\n"))
     return X.rule_blocks(docs(t).select("doc_id", block.alias("raw")), "raw", ["doc_id"])
 
 
