@@ -6,7 +6,6 @@ chunk id to break ties, so a result does not depend on the order in which floati
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +23,7 @@ PLACES = 6
 BM25_K1, BM25_B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 AUTOMATON_BYTES = 4 << 20  # phrases that one automaton holds, as UTF-8
-QUERY_BLOCK = 2048  # queries shipped to the tasks at a time
+QUERY_BLOCK = 2048  # queries that meet a batch at once
 
 
 def rounded(score) -> Column:
@@ -96,28 +95,23 @@ def tfidf_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k best TF-IDF chunks of each query, same scores as `tfidf_scores`.
 
     Nearly every chunk shares some word with every query, so listing (query, chunk) pairs costs far more than scoring
-    them. Here the term weights of a block of queries are shipped to the tasks, each Arrow batch of chunks becomes one
-    matrix product, and only the batch's own best k per query leave the task: no postings are shuffled at all.
-    Document frequencies of the asked words are counted first, map-side."""
+    them. Here the term weights of the queries, the stated query set, are shipped to the tasks in blocks; each Arrow batch of
+    chunks meets every block as one matrix product over the words it holds, and only the batch's own best k per query leave
+    the task: one scan of the chunks whatever the number of queries, and no postings are shuffled. Document frequencies of the
+    asked words are counted first, map-side."""
     total = chunks.agg(F.count("*")).scalar()
-    parts = []
-    for block in query_blocks(queries):
-        asked = query_tokens(block)
-        df = (chunks.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
-              .join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df")))
-        weights = asked.join(df, "token").groupBy("query_id").agg(
-            F.collect_list(F.struct("token", F.log(1 + total / (1 + F.col("df"))).alias("idf"))).alias("w"))
-        terms = block.select("query_id", F.array_distinct(tokenize("text")).alias("terms"))
-        held = terms.join(weights, "query_id").collect()
-        parts.append(_tfidf_block([r["query_id"] for r in held], [r["terms"] for r in held],
-                                  [{x["token"]: x["idf"] for x in r["w"]} for r in held], chunks, k))
-    return best(reduce(DataFrame.unionByName, parts), k).drop("rank")
-
-
-def query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """The query table in parts of about QUERY_BLOCK rows; one part in the usual case."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+    asked = query_tokens(queries)
+    df = (chunks.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
+          .join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df")))
+    weights = asked.join(df, "token").groupBy("query_id").agg(
+        F.collect_list(F.struct("token", F.log(1 + total / (1 + F.col("df"))).alias("idf"))).alias("w"))
+    terms = queries.select("query_id", F.array_distinct(tokenize("text")).alias("terms"))
+    held = [(r["query_id"], r["terms"], {x["token"]: x["idf"] for x in r["w"]}) for r in terms.join(weights, "query_id").toLocalIterator()]
+    return best(_tfidf_scan(blocks_of(held), chunks, k), k).drop("rank")
+
+
+def blocks_of(rows: list) -> list[list]:
+    return [rows[at:at + QUERY_BLOCK] for at in range(0, len(rows), QUERY_BLOCK)]
 
 
 def _keep_best(scores, k: int, positive: bool):
@@ -133,58 +127,76 @@ def _keep_best(scores, k: int, positive: bool):
     return np.nonzero(keep & (scores > 0) if positive else keep)
 
 
-def _tfidf_block(ids: list, terms: list[list[str]], weights: list[dict[str, float]], chunks: DataFrame, k: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, terms, weights))
+def _tfidf_scan(blocks: list[list[tuple]], chunks: DataFrame, k: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(blocks)
+
+    class Block:
+        """Query names, their sparse term weights by word, and an automaton of the words that may stand in a title."""
+
+        def __init__(self, rows: list[tuple]):
+            import ahocorasick
+            import numpy as np
+            import pyarrow as pa
+
+            self.names = [r[0] for r in rows]
+            vocabulary = sorted({t for _, _, w in rows for t in w})
+            place = {t: i for i, t in enumerate(vocabulary)}
+            self.words = pa.array(vocabulary, type=pa.string())
+            self.idf: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
+            self.of_term: dict[str, list[int]] = {}
+            for q, (_, terms, w) in enumerate(rows):
+                for token, value in w.items():
+                    self.idf[place[token]].append((q, value))
+                for t in terms:
+                    self.of_term.setdefault(t, []).append(q)
+            self.in_title = ahocorasick.Automaton()
+            for t in self.of_term:
+                self.in_title.add_word(t, t)
+            if len(self.in_title):
+                self.in_title.make_automaton()
+            self.ones = np.ones(len(rows))
+
+        def title_boost(self, title: str):
+            found = {t for _, t in self.in_title.iter(title)} if len(self.in_title) else ()
+            if not found:
+                return self.ones
+            row = self.ones.copy()
+            for t in found:
+                row[self.of_term[t]] = TITLE_BOOST
+            return row
+
+        def scores(self, batch):
+            import numpy as np
+            import pyarrow.compute as pc
+
+            tokens, n = batch.column(2), batch.num_rows
+            code = pc.index_in(tokens.flatten(), value_set=self.words)
+            owner = np.repeat(np.arange(n), np.asarray(tokens.value_lengths().fill_null(0)))
+            known = np.asarray(code.is_valid())
+            present, at = np.unique(np.asarray(code.drop_null()).astype(np.int64), return_inverse=True)
+            tf = np.bincount(owner[known] * max(len(present), 1) + at, minlength=n * max(len(present), 1)).reshape(n, -1)
+            idf = np.zeros((tf.shape[1], len(self.names)))
+            for row, word in enumerate(present.tolist()):
+                for q, value in self.idf[word]:
+                    idf[row, q] = value
+            out = (np.where(tf > 0, 1.0 + np.log1p(tf), 0.0) @ idf).T
+            titles = pc.dictionary_encode(batch.column(1))
+            boosts = np.stack([self.title_boost(x) for x in titles.dictionary.to_pylist()])
+            out *= boosts[np.asarray(titles.indices)].T
+            out *= np.where(np.asarray(batch.column(3)), MARKER_BOOST, 1.0)
+            return np.round(out, PLACES)
 
     def score(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        names, asked, table = shared.value
-        vocabulary = sorted({t for w in table for t in w})
-        place = {t: i for i, t in enumerate(vocabulary)}
-        words = pa.array(vocabulary, type=pa.string())
-        idf = np.zeros((len(vocabulary), len(names)))
-        for q, w in enumerate(table):
-            for token, value in w.items():
-                idf[place[token], q] = value
-        every = sorted({t for ts in asked for t in ts})
-        queries_of: dict[str, list[int]] = {}
-        for q, ts in enumerate(asked):
-            for t in ts:
-                queries_of.setdefault(t, []).append(q)
-        title_boosts: dict[str, object] = {}
-
-        def boosts_of(title: str):
-            if title not in title_boosts:
-                if len(title_boosts) > 20000:
-                    title_boosts.clear()
-                row = np.ones(len(names))
-                for t in every:
-                    if t in title:
-                        row[queries_of[t]] = TITLE_BOOST
-                title_boosts[title] = row
-            return title_boosts[title]
 
+        held = [Block(rows) for rows in shared.value]
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            tokens = batch.column(2)
-            n, v = batch.num_rows, len(vocabulary)
-            code = pc.index_in(tokens.flatten(), value_set=words)
-            owner = np.repeat(np.arange(n), np.asarray(tokens.value_lengths().fill_null(0)))
-            known = np.asarray(code.is_valid())
-            cells = owner[known] * v + np.asarray(code.drop_null()).astype(np.int64)
-            tf = np.bincount(cells, minlength=n * v).reshape(n, v)
-            hit = np.where(tf > 0, 1.0 + np.log1p(tf), 0.0)
-            scores = (hit @ idf).T
-            titles = batch.column(1).to_pylist()
-            scores *= np.stack([boosts_of(x) for x in titles], axis=1)
-            scores *= np.where(np.asarray(batch.column(3)), MARKER_BOOST, 1.0)
-            scores = np.round(scores, PLACES)
-            qi, ci = _keep_best(scores, k, True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
-                 pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
+            for block in held:
+                scores = block.scores(batch)
+                qi, ci = _keep_best(scores, k, True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
+                     pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
 
     rows = chunks.select("chunk_id", F.coalesce(F.lower("title"), F.lit("")).alias("title"), "tokens",
                          contains_any("text", BOOST_MARKERS).alias("marked"))
@@ -307,39 +319,41 @@ def keyword_scores(phrase_hits: DataFrame, tfidf: DataFrame) -> DataFrame:
         tfidf.join(used, "query_id", "left_anti").select("query_id", "chunk_id", "score", F.lit("tfidf").alias("method")))
 
 
-def _score_block(ids: list, matrix: list[list[float]], vectors: DataFrame, k: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+def _vector_scan(blocks: list[list[tuple]], vectors: DataFrame, k: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(blocks)
 
     def score(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names, rows = shared.value
-        by_dim: dict[int, list[int]] = {}
-        for i, row in enumerate(rows):
-            by_dim.setdefault(len(row), []).append(i)
-        units = {}
-        for dim, at in by_dim.items():
-            q = np.asarray([rows[i] for i in at], dtype=np.float64).reshape(len(at), dim)
-            norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
-            units[dim] = (at, np.divide(q, norm, out=np.zeros_like(q), where=norm > 0))
-        for batch in batches:
+        def unit(rows: np.ndarray) -> np.ndarray:
+            norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+            return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+        held = []
+        for rows in shared.value:
+            by_dim: dict[int, list[int]] = {}
+            for i, (_, vector) in enumerate(rows):
+                by_dim.setdefault(len(vector), []).append(i)
+            held.append(([r[0] for r in rows], {dim: (at, unit(np.asarray([rows[i][1] for i in at], dtype=np.float64).reshape(len(at), dim)))
+                                                for dim, at in by_dim.items() if dim}))
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
             column = batch.column(1)
             lengths = np.asarray(column.value_lengths().fill_null(0))
-            scores = np.zeros((len(names), batch.num_rows))
-            for dim, (at, q) in units.items():
+            units = {}
+            for dim in np.unique(lengths).tolist():
                 same = np.flatnonzero(lengths == dim)
-                if dim == 0 or not len(same):
-                    continue
-                v = np.asarray(column.take(pa.array(same)).flatten(), dtype=np.float64).reshape(len(same), dim)
-                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-                scores[np.ix_(at, same)] = q @ v.T
-            scores = np.round(scores, PLACES) + 0.0
-            qi, ci = _keep_best(scores, k, False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
-                 pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
+                units[dim] = (same, unit(np.asarray(column.take(pa.array(same)).flatten(), dtype=np.float64).reshape(len(same), dim)))
+            for names, queries in held:
+                scores = np.zeros((len(names), batch.num_rows))
+                for dim, (at, q) in queries.items():
+                    if dim in units:
+                        scores[np.ix_(at, units[dim][0])] = q @ units[dim][1].T
+                scores = np.round(scores, PLACES) + 0.0
+                qi, ci = _keep_best(scores, k, False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in qi], type=pa.int64()), batch.column(0).take(pa.array(ci)),
+                     pa.array(scores[qi, ci])], names=["query_id", "chunk_id", "score"])
 
     return vectors.select("chunk_id", "vector").mapInArrow(score, "query_id bigint, chunk_id string, score double")
 
@@ -347,14 +361,11 @@ def _score_block(ids: list, matrix: list[list[float]], vectors: DataFrame, k: in
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine of (query_id, vector) rows against (chunk_id, vector) rows, best k per query.
 
-    Each Arrow batch of vectors is multiplied with a block of queries and only its own best k per query leave the
-    task, so pairs are never emitted. Query vectors are shipped in blocks of a fixed size: one block is the usual
-    case, a larger query table runs block by block. A different dimension or a zero vector scores 0."""
-    parts = []
-    for block in query_blocks(queries.select("query_id", "vector")):
-        held = block.collect()
-        parts.append(_score_block([r[0] for r in held], [list(r[1] or []) for r in held], vectors, k))
-    return best(reduce(DataFrame.unionByName, parts), k).drop("rank")
+    The query vectors, the stated query set, are shipped in blocks; each Arrow batch of vectors meets every block as one
+    matrix product and only its own best k per query leave the task, so there is one scan and pairs are never emitted.
+    A different dimension or a zero vector scores 0."""
+    held = [(r[0], list(r[1] or [])) for r in queries.select("query_id", "vector").toLocalIterator()]
+    return best(_vector_scan(blocks_of(held), vectors, k), k).drop("rank")
 
 
 def minmax(scores: DataFrame, by: list[str]) -> DataFrame:
