@@ -13,11 +13,11 @@ from ..functions.text import (
     split_sentences, strip,
 )
 from .chunking import document_array
+from .graph import CONTENT_DIRS
 from .search import containing
 from .sequences import first_rows, id_block, running, top_rows
 
 # What counts as content, which files are read and how they are labelled.
-CONTENT_DIRS = ("concepts", "entities", "sources", "comparisons", "notes", "archive")
 HIDDEN_DIRS = ("inbox-processed", ".extracted")
 CATEGORIES = {
     "documents": (".pdf", ".ppt", ".pptx", ".xls", ".xlsx", ".doc", ".docx", ".txt", ".md"),

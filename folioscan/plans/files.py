@@ -49,7 +49,7 @@ def _(t):
     return raw.select("doc_id", F.md5(R.decode_text("raw")).alias("digest"))
 
 
-@query("A5 A12", "a5_read_jsonl", "select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by event_type")
+@query("A5", "a5_read_jsonl", "select event_type, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by event_type")
 def _(t):
     """Log lines appended in two writes, with broken and blank lines among them."""
     path = scratch_path(t.spark, "log")

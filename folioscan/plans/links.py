@@ -9,8 +9,11 @@ from ..operators import activity as A
 from ..operators import corpus as P
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators.incremental import rerank_rows
 from ..operators.sequences import top_rows
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sources.readers import read_jsonl
+from ..sources.writers import append_log
 from . import common as C
 from .registry import query
 from .retrieval import BM25, COSINE, KEYWORD, RRF, TFIDF, hybrid, with_rank
@@ -254,14 +257,21 @@ def _(t):
     return S.context_table(rows).select("query_id", F.md5("context").alias("digest"), F.array_join("sources", ",").alias("sources"))
 
 
+def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """Stands where a caller's reranker would: distinct words that query and text have in common."""
+    return [len(set(q.lower().split(" ")) & set(x.lower().split(" "))) / 10.0 for q, x in pairs]
+
+
 @query("J13 L3", "j13_apply_rerank", f"""
-with {HITS}, s as (select query_id, rank as position, (cast(('0x' || substr(md5(chunk_id), 1, 6)) as integer) % 1000) / 1000.0 as relevance from hits where query_id % 4 <> 0 and rank % 5 <> 0)
+with {HITS}, s as (select h.query_id, h.rank as position, len(list_intersect(list_distinct(string_split(lower(q.text), ' ')), list_distinct(string_split(lower(h.text), ' ')))) / 10.0 as relevance
+  from hits h join v_queries q using (query_id) where h.query_id % 4 <> 0 and h.rank % 5 <> 0)
 select query_id, chunk_id, new_rank as rank from (select h.query_id, h.chunk_id, row_number() over (partition by h.query_id order by s.relevance desc nulls last, h.rank) as new_rank
   from hits h left join s on s.query_id = h.query_id and s.position = h.rank where h.query_id % 4 = 0 or s.relevance is not null) x where new_rank <= 6""")
 def _(t):
+    """A caller's scoring function run on the hits of most queries; the rest keep their order."""
     ranked = hits(t).withColumnRenamed("rank", "position")
-    fake = (F.conv(F.substring(F.md5("chunk_id"), 1, 6), 16, 10).cast("int") % 1000) / 1000.0
-    scores = ranked.where((F.col("query_id") % 4 != 0) & (F.col("position") % 5 != 0)).select("query_id", "position", fake.alias("relevance"))
+    asked = ranked.where((F.col("query_id") % 4 != 0) & (F.col("position") % 5 != 0)).join(t.v_queries.select("query_id", F.col("text").alias("query")), "query_id")
+    scores = rerank_rows(asked.withColumn("position", F.col("position").cast("bigint")), shared_words)
     return S.apply_rerank(ranked, scores, 6).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -344,12 +354,29 @@ def _(t):
     return A.search_multi(forms, scored, 10, 60.0)[0].select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("J11", "j11_round_log", f"""
+@query("D28 J25", "d28_multi_round_recall", f"""
+with {MULTI}, mx as (select query_id, round, max(score) as b from top10 group by 1, 2), st as (select query_id, min(round) as stop from mx where b >= 60 group by 1),
+kept as (select p.* from top10 p left join st using (query_id) where stop is null or round <= stop), m as (select query_id, chunk_id, max(score) as score from kept group by 1, 2),
+h as (select m.query_id, c.rel_path, c.text, c.title, m.chunk_id, row_number() over (partition by m.query_id order by m.score desc, m.chunk_id) as rank from m join v_chunks c using (chunk_id)),
+g as (select query_id, case when query_id % 3 = 0 then 'notes/' end as er, case when query_id % 3 <> 0 then substr(phrase, 1, 6) end as ek, query_id % 10 = 9 as ee from v_queries)
+select g.query_id, cast(case when any_value(ee) then count(h.chunk_id) = 0 else coalesce(bool_or(coalesce(contains(h.rel_path, er), false) or coalesce(ek <> '' and contains(h.text || h.title, ek), false)), false) end as integer) * 1.0::double as recall
+from g left join h on h.query_id = g.query_id and h.rank <= 10 group by g.query_id""")
+def _(t):
+    """The same expectations held against the merged hits of all rounds."""
+    forms, scored = multi(t)
+    merged = A.search_multi(forms, scored, 10, 60.0)[0]
+    return A.retrieval_eval(golden(t), merged.join(C.index(t).select("chunk_id", "rel_path", "text", "title"), "chunk_id"), 10)
+
+
+@query("J11 A12", "j11_round_log", f"""
 with {MULTI}, mx as (select query_id, round, count(*) as hits, max(score) as top_score from top10 group by 1, 2), st as (select query_id, min(round) as stop from mx where top_score >= 60 group by 1)
 select v.query_id, v.round, substr(v.text, 1, 120) as query, coalesce(hits, 0) as hits, coalesce(top_score, 0.0) as top_score from vr v left join mx using (query_id, round) left join st using (query_id) where stop is null or v.round <= stop""")
 def _(t):
+    """The log of the rounds, appended as JSON lines and read back."""
     forms, scored = multi(t)
-    return A.search_multi(forms, scored, 10, 60.0)[1]
+    log, path = A.search_multi(forms, scored, 10, 60.0)[1], scratch_path(t.spark, "rounds")
+    append_log(log, path)
+    return read_jsonl(t.spark, path, log.schema)
 
 
 @query("J12", "j12_search_full")
