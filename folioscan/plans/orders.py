@@ -205,7 +205,7 @@ def _(t):
 with paid as (select *, {MONTHLY} as period, coalesce(nullif(product, ''), 'default') as prod from v_orders where status = 'paid'),
 live as (select * from v_licenses where status = 'active' and device_id <> ''),
 ch as (select channel_code, count(*) as orders, cast(sum(amount) as double) as revenue from paid where channel_code <> '' group by 1),
-nl as (select strftime(starts_at, '%Y-%m') as m, plan, count(*) as n from v_licenses where starts_at is not null group by 1, 2 order by 1 desc, 2 limit 36),
+nl as (select strftime(starts_at, '%Y-%m') as m, plan, count(*) as n from v_licenses where starts_at is not null group by 1, 2 qualify dense_rank() over (order by strftime(starts_at, '%Y-%m') desc) <= 12),
 pend as (select *, coalesce(nullif(product, ''), 'default') as prod from v_orders where status = 'pending')
 select 'subscriptions.licenses' as metric, coalesce(plan, 'total') as key1, '' as key2, cast(count(*) as double) as value
   from live where expires_at > timestamp '2001-09-01' group by rollup(plan)
