@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from folioscan.llm import simhash
+from folioscan.llm import similar, simhash
 from folioscan.llm.common import components
 from folioscan.llm.decontaminate import Finder, edit_distance, edits_allowed, find_leaks
 from folioscan.llm.queries import QUERIES
@@ -109,6 +109,21 @@ def test_similar_texts_meet(spark):
     assert similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_crowded_values_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for i in range(300):  # all agree in the only part, and are mostly unlike beyond it
+        fp = [0, *(rng.getrandbits(64) - (1 << 63) for _ in range(similar.WORDS - 1))]
+        rows.append((2 * i, fp))
+        if i % 3 == 0:
+            pairs.append((2 * i, 2 * i + 1))
+            rows.append((2 * i + 1, [0, *(x ^ (1 << rng.randrange(62)) for x in fp[1:])]))
+    nodes = spark.createDataFrame(rows, "id long, fp array<long>")
+    monkeypatch.setattr(similar, "plan", lambda *_: [(0, list(range(32)), 0)])
+    met = similar.links(nodes, 0.8, 0.95, crowd=20).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in met} == set(pairs)
+
+
 def test_leaks_reach_recall_and_are_exact(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(400)] + ["the", "of", "and"] * 40
