@@ -124,6 +124,28 @@ def test_crowded_values_lose_no_pair(spark, monkeypatch):
     assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in met} == set(pairs)
 
 
+@pytest.mark.parametrize("sure", [similar.SURE, similar.LOOSE])  # the second takes every candidate for sure and must look again
+def test_links_are_verified_on_shingles(spark, monkeypatch, sure):
+    monkeypatch.setattr(similar, "SURE", sure)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for f in range(120):
+        base = [rng.choice(words) for _ in range(200)]
+        for c in range(3):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randint(2, 6) * (c > 0)):  # similarities around 0.8
+                copy[at] = rng.choice(words)
+            rows.append((f * 10 + c, " ".join(copy)))
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    near = lambda x, y: x // 10 == y // 10 and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    want = roots(sorted(sets), near)
+    got = {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(x, y) for x in sets for y in range(x - x % 10, x) if near(x, y)]
+    assert sum(got[x] == got[y] for x, y in pairs) >= 0.95 * len(pairs)
+    assert all(want[d] == want[r] for d, r in got.items())  # no false link
+
+
 def test_leaks_reach_recall_and_are_exact(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(400)] + ["the", "of", "and"] * 40
