@@ -6,6 +6,10 @@ of their cell."""
 
 from __future__ import annotations
 
+import math
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from .common import drop_path, materialize, scratch_path
 # Topics by what a text holds, the first that fits; a text without any is prose.
 TOPICS = (("legal", "[Ll]icen[sc]e"), ("contact", "[A-Za-z0-9.]+@[a-z0-9]+[.]"), ("markup", "[#*$%&]{3}"))
 PROSE = "prose"
+STALLED = 0.999  # a round that leaves more of the residual than this shows targets that contradict each other
 WORD = r"[^ \t\n\r]+"
 
 
@@ -30,45 +35,60 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, (F.col("p") / sums.agg(F.sum("p")).scalar()).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """`cells (dims..., tokens)` with `factor`: tokens * factor have the target shares in every dimension.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
+    """`cells (dims..., tokens)` with `factor`: tokens * factor have the target shares in every dimension; and the residual, the
+    largest error of a share relative to its target.
 
     Each half-round sums the static cells under the other dimensions' factors and writes the new factors of one dimension:
-    one aggregate with map-side sums over the cell table. Values without a target get factor 0; a value whose cells are all
-    empty keeps its target unmet."""
+    one aggregate with map-side sums over the cell table. There are at least `rounds`, and then as many as bring the residual
+    down to `tolerance`; where a round no longer lowers it, the targets contradict each other, which is left to the caller.
+    Values without a target get factor 0; a value whose cells are all empty keeps its target unmet and is not in the residual."""
     spark = cells.sparkSession
     factors: dict[str, tuple[DataFrame, str | None]] = {d: (t.select(d, F.lit(1.0).alias(f"f_{d}")), None) for d, t in targets.items()}
-    for _ in range(rounds):
+
+    def masses(dim: str, under: list[str]) -> DataFrame:
+        weighed, weight = cells, F.col("tokens").cast("double")
+        for other in under:
+            weighed = weighed.join(factors[other][0], other)
+            weight = weight * F.col(f"f_{other}")
+        return weighed.groupBy(dim).agg(F.sum(weight).alias("mass")).where("mass > 0")
+
+    def residual() -> float:
+        ratio = F.col("mass") / F.col("share")
+        sides = [targets[d].join(masses(d, list(targets)), d).agg(F.min(ratio).alias("low"), F.max(ratio).alias("high"), (F.sum("mass") / F.sum("share")).alias("mean")) for d in targets]
+        rows = [r for r in reduce(DataFrame.unionByName, sides).collect() if r["mean"]]
+        return max((abs(r[side] / r["mean"] - 1) for r in rows for side in ("low", "high")), default=0.0)
+
+    done, error, before = 0, math.inf, math.inf
+    while done < rounds or tolerance < error < STALLED * before:
         for dim, target in targets.items():
-            weighed = cells
-            weight = F.col("tokens").cast("double")
-            for other in targets:
-                if other != dim:
-                    weighed = weighed.join(factors[other][0], other)
-                    weight = weight * F.col(f"f_{other}")
-            sums = weighed.groupBy(dim).agg(F.sum(weight).alias("mass")).where("mass > 0")
+            sums = masses(dim, [other for other in targets if other != dim])
             path = scratch_path(spark, "factor")
             target.join(sums, dim).select(dim, (F.col("share") / F.col("mass")).alias(f"f_{dim}")).write.parquet(path)
             if factors[dim][1]:
                 drop_path(spark, factors[dim][1])
             factors[dim] = (spark.read.schema(f"{dim} string, f_{dim} double").parquet(path), path)
+        done += 1
+        if done >= rounds:
+            before, error = error, residual()
     out, factor = cells, F.lit(1.0)
     for dim in targets:
         out = out.join(factors[dim][0], dim, "left")
         factor = factor * F.coalesce(F.col(f"f_{dim}"), F.lit(0.0))
-    return out.select(*cells.columns, factor.alias("factor"))
+    return out.select(*cells.columns, factor.alias("factor")), error
 
 
 def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
         targets: dict[str, DataFrame] | None = None, powers: tuple[float, float, float] = (0.5, 0.7, 0.9), share: float = 0.5,
-        rounds: int = 6, seed: int = 0) -> DataFrame:
+        rounds: int = 6, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
     """`keep` and `mix_source`, `mix_lang`, `mix_topic`, `mix_tokens`, `weight`, `copies`, one row per input row.
 
     `targets` gives `(mix_source | mix_lang | mix_topic, share)` tables; a missing one is tempered by its entry of `powers`.
     `weight` is the expected number of copies, scaled so that the sample holds `share` of the tokens; `copies` is drawn from
     it: the whole part, and one more if a uniform number hashed from `seed` and the key falls below the rest. Rows with equal
     keys are drawn alike. Null source, language or text count as an empty value; a text without words has no tokens, adds
-    nothing to a marginal and has weight 0. Names in `keep` must differ from those made
+    nothing to a marginal and has weight 0. Raking goes on, after `rounds` at least, until every share is within `tolerance` of
+    its target; a warning gives the residual where targets contradict each other. Names in `keep` must differ from those made
     here. An empty table gives no rows. The texts are read, not shuffled."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text), F.lit(""))
@@ -77,7 +97,10 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text
                          topic_of(F.col(text)).alias("mix_topic"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("mix_tokens"))
     cells = materialize(marked.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     goals = {d: (targets or {}).get(d) or tempered(cells, d, p) for d, p in zip(dims, powers)}
-    fitted = materialize(rake(cells, {d: materialize(g, "target") for d, g in goals.items()}, rounds), "fitted")
+    raked, error = rake(cells, {d: materialize(g, "target") for d, g in goals.items()}, rounds, tolerance)
+    if error > tolerance:
+        warnings.warn(f"the mixing targets contradict each other: a share is {error:.2%} off its target", RuntimeWarning, stacklevel=2)
+    fitted = materialize(raked, "fitted")
     scale = fitted.agg((F.sum(F.col("tokens").cast("double")) * share / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))
     rates = fitted.select(*dims, (F.col("factor") * scale.scalar()).alias("weight"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key__").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -84,6 +84,20 @@ def test_mix_meets_every_marginal(spark):
             assert r["t"] / total[0] == pytest.approx(goal[r[dim]], abs=0.004)
 
 
+def test_mix_goes_on_until_the_marginals_fit(spark):
+    rows = [(i, "word " * 10, f"s{i % 3}", f"l{i % 3 if i % 60 else (i // 60) % 3}") for i in range(1800)]  # source and language go together
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    share = lambda d, *values: spark.createDataFrame(list(enumerate(values)), "n long, share double").selectExpr(f"concat('{d[4]}', n) as {d}", "share")
+    goals = {"mix_source": share("mix_source", 0.5, 0.3, 0.2), "mix_lang": share("mix_lang", 0.35, 0.35, 0.3)}
+    got = mix(docs, ["doc_id"], targets=goals)
+    for dim, goal in goals.items():
+        sums = got.groupBy(dim).agg(F.sum(F.col("weight") * F.col("mix_tokens")).alias("t")).join(goal, dim).collect()
+        whole = sum(r["t"] for r in sums)
+        assert all(r["t"] / whole == pytest.approx(r["share"], rel=2e-3) for r in sums)
+    with pytest.warns(RuntimeWarning, match="contradict"):
+        mix(docs.where("substr(source, 2) = substr(lang, 2)"), ["doc_id"], targets=goals)
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "some words here", "s", None), (3, "some words here", "s", None), (None, "under a license", None, "en"), (5, "mail a@b.c ###", "t", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit(1))
