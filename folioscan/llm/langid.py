@@ -19,6 +19,7 @@ from .common import map_texts, materialize
 BINS = 1 << 13
 OVERLAP = 3.0  # neighbouring trigrams share letters: their evidence counts for a third
 UNKNOWN = "und"
+STRANGE = 4.6  # log odds against a text in no known language, log(99)
 
 
 def trigram_bins(text: str) -> np.ndarray:
@@ -34,11 +35,12 @@ def trigram_bins(text: str) -> np.ndarray:
     return (mixed[middle] >> np.uint64(51)).astype(np.int64)
 
 
-def languages_of(docs: DataFrame, declared: Column, least_share: float) -> list[str]:
-    """Declared languages that at least the given share of the rows carry; their number is bounded by its inverse."""
+def languages_of(docs: DataFrame, declared: Column, least_share: float, least_rows: int) -> list[str]:
+    """Declared languages that the given number of rows carry, or the given share of a small table."""
     counts = docs.select(declared.alias("l")).groupBy("l").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r["l"] for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= least_share * max(total, 1))).collect())
+    least = min(float(least_rows), least_share * max(total, 1))
+    return sorted(r["l"] for r in counts.where(F.col("l").isNotNull() & (F.col("n") >= least)).collect())
 
 
 def profiles(docs: DataFrame, text: str, declared: Column, languages: list[str]) -> np.ndarray:
@@ -65,7 +67,8 @@ def profiles(docs: DataFrame, text: str, declared: Column, languages: list[str])
 
 
 def score_texts(docs: DataFrame, keep: list[str], text: str, logs: np.ndarray) -> DataFrame:
-    """`keep`, the log likelihoods `like__` of the languages (best 0) and the best one's number `vote__`; null without letters."""
+    """`keep`, the log likelihoods `like__` of the languages (best 0) and the best one's number `vote__`; null without letters
+    and where trigrams drawn evenly explain the text better than any language, by odds of `STRANGE`."""
 
     def make():
         def score(value: str) -> tuple:
@@ -73,6 +76,8 @@ def score_texts(docs: DataFrame, keep: list[str], text: str, logs: np.ndarray) -
             if not len(bins):
                 return None, None
             like = logs[:, bins].sum(axis=1) / OVERLAP
+            if -len(bins) * np.log(BINS) / OVERLAP - like.max() > STRANGE:
+                return None, None
             like -= like.max()
             return like.tolist(), int(like.argmax())
         return score
@@ -106,7 +111,8 @@ def fuse(scored: DataFrame, keep: list[str], languages: list[str], declared: str
         return F.greatest(F.coalesce(F.col(f"{by}votes")[i] - own, F.lit(0.0)), F.lit(0.0))
 
     def whole(by: str) -> Column:
-        return sum((at(by, i) for i in range(1, n)), at(by, 0))
+        votes = F.aggregate(F.col(f"{by}votes"), F.lit(0.0), lambda acc, x: acc + x)
+        return F.greatest(F.coalesce(votes - F.when(F.col("vote__").isNotNull(), 1.0).otherwise(0.0), F.lit(0.0)), F.lit(0.0))
 
     def prior(i: int) -> Column:
         by_domain = (at("domain__", i) + strength * known[i]) / (whole("domain__") + strength)
@@ -131,17 +137,18 @@ def fuse(scored: DataFrame, keep: list[str], languages: list[str], declared: str
 
 def identify(docs: DataFrame, keep: list[str], text: str = "text", declared: str | None = "lang", suffix: str | None = None,
              host: str | None = "source", languages: list[str] | None = None, least_share: float = 0.001, least_p: float = 0.5,
-             strength: float = 20.0, trust: float = 10.0) -> DataFrame:
+             strength: float = 20.0, trust: float = 10.0, least_rows: int = 20) -> DataFrame:
     """`keep`, `detected`, `probability`, `text_language` and `accepted`, one row per input row.
 
-    `languages` are those to choose from, by default all that at least `least_share` of the rows declare. `strength` is the
+    `languages` are those to choose from, by default all that at least `least_rows` rows declare, or `least_share` of a small
+    table's. `strength` is the
     weight, in rows, of the domain in a host's prior and of the corpus in a domain's; `trust` smooths the tables of
     declared language and suffix the same way. A row is accepted if its text has a letter and one language reaches
-    `least_p`. Missing or null evidence is left out; a text without letters gives `und` and is rejected, as is any text when
-    no language is known. Ties go to the language that comes first by name. Repeated rows get equal results. `keep` must not
+    `least_p`. Missing or null evidence is left out; a text without letters or in no known
+    language gives `und` and is rejected, as is any text when no language is known. Ties go to the language that comes first by name. Repeated rows get equal results. `keep` must not
     hold the four names made here. An empty table gives no rows. Texts are read three times (profiles, votes, result) and
     shuffled only if a table of votes is too large for Spark to broadcast."""
-    languages, logs = train(docs, text, declared, languages, least_share)
+    languages, logs = train(docs, text, declared, languages, least_share, least_rows)
     if not languages:
         return docs.select(*keep, F.lit(UNKNOWN).alias("detected"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"),
                            F.lit(False).alias("accepted"))
@@ -151,8 +158,9 @@ def identify(docs: DataFrame, keep: list[str], text: str = "text", declared: str
     return fuse(scored, keep, languages, *[name if c else None for name, c in facts.items()], least_p, strength, trust)
 
 
-def train(docs: DataFrame, text: str, declared: str | None, languages: list[str] | None = None, least_share: float = 0.001) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text: str, declared: str | None, languages: list[str] | None = None, least_share: float = 0.001,
+          least_rows: int = 20) -> tuple[list[str], np.ndarray]:
     """Languages and their profiles, from the declared languages of all rows."""
     said = F.lower(F.col(declared)) if declared else F.lit(None).cast("string")
-    languages = sorted(languages) if languages else languages_of(docs, said, least_share)
+    languages = sorted(languages) if languages else languages_of(docs, said, least_share, least_rows)
     return languages, profiles(docs, text, said, languages) if languages else np.zeros((0, BINS))

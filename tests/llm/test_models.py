@@ -71,6 +71,16 @@ def test_evidence_decides_where_the_text_is_silent(spark):
     assert nobody.where("accepted").count() == 0 and identify(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_known_and_strange_texts_are_not(spark):
+    rng = random.Random(6)
+    make = {"xx": "abcde", "rr": "jklmn", "none": "\u0431\u0432\u0433\u0434\u0435"}
+    text = lambda lang: " ".join("".join(rng.choice(make[lang]) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("xx"), "xx") for i in range(30_000)] + [(30_000 + i, text("rr"), "rr") for i in range(25)] + [(40_000, text("none"), "xx")]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"], host=None).collect()}
+    assert all(got[30_000 + i]["detected"] == "rr" and got[30_000 + i]["accepted"] for i in range(25)) and got[0]["detected"] == "xx"
+    assert got[40_000]["detected"] == "und" and not got[40_000]["accepted"]
+
+
 def test_mix_meets_every_marginal(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     share = lambda d, values: spark.createDataFrame(list(values.items()), f"{d} string, share double")
