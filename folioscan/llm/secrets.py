@@ -7,6 +7,7 @@ random keys add nearly their own length."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import zstandard
@@ -23,8 +24,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 SENSITIVE = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|auth|bearer|credential|signature)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+NAME = re.compile(r"[A-Za-z0-9_-]*")
 IDENTIFIER = re.compile(r"[A-Za-z]{3,40}")
-REACH = 48   # a candidate starts at most this far after a sensitive word
+REACH = 48   # a candidate starts at most this far after a sensitive word or the name that holds it, or ends so far before one
 AROUND = 160  # characters of code on each side that the novelty is measured against
 REDACTED = "[secret]"
 
@@ -40,17 +42,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long strings of key characters, with a letter and a digit, that follow a sensitive word closely."""
-    found, done = [], 0
+    """Long strings of key characters, with a letter and a digit, close to a sensitive word: those that follow the word itself, and
+    all strings close behind the name that holds it or close before it."""
+    found, done, starts, ends = [], 0, [], []
+    keyed = lambda spot: any(c.isdigit() for c in spot[0]) and any(c.isalpha() for c in spot[0])
     for word in SENSITIVE.finditer(text):
         at = word.end()
+        starts.append(word.start())
+        ends.append(NAME.match(text, at).end())
         if at < done or not CANDIDATE.search(text, at, at + REACH + 16):  # inside a string already seen, or none in reach
             continue
         spot = CANDIDATE.search(text, at)
         done = spot.end()
-        if spot.start() <= at + REACH and any(c.isdigit() for c in spot[0]) and any(c.isalpha() for c in spot[0]):
+        if spot.start() <= at + REACH and keyed(spot):
             found.append(spot.span())
-    return found
+    if not starts:
+        return found
+    taken = set(at for _, at in found)  # a string that the word is part of ends where its rest does
+    for spot in CANDIDATE.finditer(text):
+        start, end = spot.span()
+        behind, ahead = bisect_right(ends, start), bisect_left(starts, end)
+        if end not in taken and keyed(spot) and (behind and start - ends[behind - 1] <= REACH or ahead < len(starts) and starts[ahead] - end <= REACH):
+            found.append((start, end))
+    return sorted(found)
 
 
 def surroundings(text: str, start: int, end: int) -> tuple[str, str]:

@@ -79,6 +79,14 @@ def test_novel_strings_are_found_and_words_are_not(spark):
     assert redact("abcdefgh", [("a", 1, 4), ("b", 2, 5), ("c", 6, 7)]) == "a[secret]f[secret]h"
 
 
+def test_keys_near_long_names_and_before_words_are_found(spark):
+    key = hashlib.sha256(b"y").hexdigest().upper()[:40]
+    texts = [f"AWS_SECRET_ACCESS_KEY_PRODUCTION = '{key}'", f"client_secret_for_the_billing = '{key}'", f"signature_verification_secret_value = '{key}'",
+             f"credentials: user_one_two_three_four / {key}", f"{key} is the api key, not the api_key", f"secret_token={key}"]
+    got = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    assert len(got) == len(texts) and all(key not in r["redacted"] for r in got)
+
+
 def test_digest_query(spark):
     rows = QUERIES["op5_secrets"](spark, SF).collect()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
