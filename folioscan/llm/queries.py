@@ -208,3 +208,12 @@ select conv_id, 'call-' || turn as call_id, position, cast(level as bigint) as l
     '{"arguments":' || case when not called then 'null' when short then '{"query":' || to_json(body) || ',"turn":' || turn || '}' else '{"prompt":' || to_json(body) || ',"turn":' || turn || '}' end
     || ',"id":' || to_json('call-' || turn) || ',"name":' || case when not called then 'null' when short then '"lookup"' else '"compose"' end || ',"result":' || coalesce(to_json(content), 'null') || '}' as record
 from j"""
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
