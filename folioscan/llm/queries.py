@@ -217,3 +217,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
