@@ -224,3 +224,12 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import prefix_trie
+
+    conv = F.col("conv")
+    found = prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, most_head=8)
+    return found.drop("f0", "f1", "f2")
