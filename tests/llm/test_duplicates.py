@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioscan.llm import similar, simhash
 from folioscan.llm.common import components
@@ -88,64 +89,75 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_similar_texts_meet(spark):
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(3000)]
-    rows, families = [], 40
-    for f in range(families):
-        base = [rng.choice(words) for _ in range(200)]
-        for c in range(4):
-            copy = list(base)
-            for _ in range(3 * (c > 0)):  # three changed words leave a similarity of about 0.86
-                copy[rng.randrange(200)] = rng.choice(words)
-            rows.append((f * 10 + c, " ".join(copy)))
-    rows += [(None, ""), (900, None)]
-    got = {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id")).collect()}
-    pairs = [(f * 10, f * 10 + c) for f in range(families) for c in range(1, 4)]
-    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.95
-    assert all(got[f * 10 + c] // 10 == f for f in range(families) for c in range(4)) and got[900] == 900
-    crowded = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), crowd=3).collect()
-    assert sum(r["doc_id"] != r["component_id"] for r in crowded if r["doc_id"]) >= 0.9 * len(pairs)
-    assert similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def shingle_sets(rows):
+    return {d: {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in ((d, (t or "").split()) for d, t in rows)}
 
 
-def test_crowded_values_lose_no_pair(spark, monkeypatch):
-    rng = random.Random(5)
-    rows, pairs = [], []
-    for i in range(300):  # all agree in the only part, and are mostly unlike beyond it
-        fp = [0, *(rng.getrandbits(64) - (1 << 63) for _ in range(similar.WORDS - 1))]
-        rows.append((2 * i, fp))
-        if i % 3 == 0:
-            pairs.append((2 * i, 2 * i + 1))
-            rows.append((2 * i + 1, [0, *(x ^ (1 << rng.randrange(62)) for x in fp[1:])]))
-    nodes = spark.createDataFrame(rows, "id long, fp array<long>")
-    monkeypatch.setattr(similar, "plan", lambda *_: [(0, list(range(32)), 0)])
-    met = similar.links(nodes, 0.8, 0.95, crowd=20).collect()
-    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in met} == set(pairs)
-
-
-@pytest.mark.parametrize("sure", [similar.SURE, similar.LOOSE])  # the second takes every candidate for sure and must look again
-def test_links_are_verified_on_shingles(spark, monkeypatch, sure):
-    monkeypatch.setattr(similar, "SURE", sure)
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(3000)]
-    rows = []
-    for f in range(120):
-        base = [rng.choice(words) for _ in range(200)]
-        for c in range(3):
+def families(rng, count, copies, least, most, size=200):
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for f in range(count):
+        base = [rng.choice(words) for _ in range(size)]
+        for c in range(copies):
             copy = list(base)
-            for at in rng.sample(range(200), rng.randint(2, 6) * (c > 0)):  # similarities around 0.8
+            for at in rng.sample(range(size), rng.randint(least, most) * (c > 0)):
                 copy[at] = rng.choice(words)
-            rows.append((f * 10 + c, " ".join(copy)))
-    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
-    near = lambda x, y: x // 10 == y // 10 and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
-    want = roots(sorted(sets), near)
-    got = {r["doc_id"]: r["component_id"] for r in similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    pairs = [(x, y) for x in sets for y in range(x - x % 10, x) if near(x, y)]
-    assert sum(got[x] == got[y] for x, y in pairs) >= 0.95 * len(pairs)
+            rows.append((f * 1000 + c, " ".join(copy)))
+    return rows
+
+
+def check_classes(rows, got, least=0.95):
+    """Every class holds together by links of 0.8; `least` of the linked pairs are in one class."""
+    sets = shingle_sets(rows)
+    near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    blocks = {}
+    for d in sets:
+        blocks.setdefault(d // 1000, []).append(d)
+    pairs = [(x, y) for b in blocks.values() for x in b for y in b if y < x and near(x, y)]
+    assert pairs and sum(got[x] == got[y] for x, y in pairs) >= least * len(pairs)
+    want = roots(sorted(sets), lambda x, y: x // 1000 == y // 1000 and near(x, y))
     assert all(want[d] == want[r] for d, r in got.items())  # no false link
 
 
+def classes_of(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as keys")
+    return {r["doc_id"]: r["component_id"] for r in similar_classes(docs, **more).collect()}
+
+
+@pytest.mark.parametrize("crowd", [2000, 8])
+def test_links_are_verified_on_shingles(spark, crowd):
+    """Similarities around 0.8: half of a family's pairs are no link, so keys stay open after the stars."""
+    rows = families(random.Random(9), 60, 5, 2, 6)
+    check_classes(rows, classes_of(spark, rows, crowd=crowd))
+
+
+@pytest.mark.parametrize("crowd", [2000, 20])
+def test_a_large_family_and_unlike_members_of_one_key(spark, monkeypatch, crowd):
+    rng = random.Random(5)
+    rows = families(rng, 1, 150, 1, 6) + [(d + 5000, t) for d, t in families(rng, 1, 200, 30, 60)] + [(d + 9000, t) for d, t in families(rng, 20, 2, 1, 2)]
+    check_classes(rows, classes_of(spark, rows, crowd=crowd))
+    monkeypatch.setattr(similar.Bands, "keys", lambda self, low: np.zeros(self.bands, np.int64))  # all texts share every key
+    check_classes(rows, classes_of(spark, rows, crowd=crowd), least=1.0)
+
+
+def test_odd_texts_have_classes(spark):
+    rows = [(1, ""), (2, None), (3, " \n"), (None, "one two"), (5, "One  TWO"), (6, "one two three"), (7, "x" * 100_000), (7, "x" * 100_000), (8, "x " * 100_000), (9, "y " * 100_000 + "z")]
+    got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 5), (1, 1), (2, 1), (3, 1), (5, 5), (6, 6), (7, 7), (7, 7), (8, 8), (9, 9)]
+    assert similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{i * i % 997}" for i in range(300)]
+    near = " ".join([*base[:100], "other", *base[101:]])
+    rows = [(4, " ".join(base), "a"), (3, near, "b"), (3, "quite another text under the same id", "b"), (3, near, "b"), (3, near, "c"), (None, near, "d"), (None, "a text without an id", "e"),
+            (None, "a text without an id", "e"), (9, None, None), (10, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("mark__x", F.lit(1))
+    kept = similar.keep_one(docs).collect()
+    assert sorted(((r["doc_id"] or 0), (r["text"] or "")[:7], r["lang"] or "") for r in kept if r["text"] != near) == [(0, "a text ", "e"), (3, "quite a", "b"), (9, "", "")]
+    assert [(r["doc_id"], r["lang"] in ("b", "c")) for r in kept if r["text"] == near] == [(3, True)] and len(kept) == 4
+    assert similar.keep_one(docs.limit(0)).count() == 0
+
+
 def test_leaks_reach_recall_and_are_exact(spark):
     rng = random.Random(4)
     vocabulary = [f"word{i}" for i in range(400)] + ["the", "of", "and"] * 40

@@ -89,20 +89,23 @@ def test_pipeline_stages(spark):
     odd = [(90001, prose + leak, "en", "s", 1), (90002, "In the harbour lie " + code + " api_key = 'Zx81Kq77Lm42' ends here.", "en", "s", 1), (90003, None, None, None, None), (90004, "", "en", "s", 0),
            (90005, "1234 5678", "en", "s", 9), (90002, "Nobody has seen a text with this id which is quite another one, and long enough to be compared with the rest of them.", "en", "s", 1), (None, "words without an id of their own", "en", None, 1)]
     whole = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("detected", F.lit("mine")).withColumn("mix_weight", F.col("doc_id") * 2)
-    now, seen = whole, {}
+    now, seen, rows = whole, {}, {}
     for name, stage in corpus_pipeline.STAGES:
         now = corpus_pipeline.materialize(stage(spark, now, SF), name)
-        seen[name] = {r["doc_id"]: r for r in now.collect()}
+        rows[name] = now.collect()
+        seen[name] = {r["doc_id"]: r for r in rows[name]}
     assert not {90003, 90004, 90005} & set(seen["language"]) and len(seen["language"]) >= 0.98 * docs.count()
     assert 90001 in seen["near_duplicates"] and 90001 not in seen["decontamination"]
     assert now.columns == [c for c in whole.columns if c != "mix_weight"] + ["mix_weight", "mix_copies"]
     assert all("mine" == r["detected"] and r["mix_copies"] > 0 for r in seen["mixing"].values())
     texts = [r["text"] for r in seen["near_duplicates"].values()]
     assert len(texts) == len(set(texts)) and None in seen["secrets"]
-    assert "Zx81Kq77Lm42" in seen["decontamination"][90002]["text"]  # of two rows with one id the smaller text stays
-    kept = seen["secrets"][90002]
+    for name in ("near_duplicates", "decontamination"):  # both texts under one id stay
+        assert sorted("Zx81Kq77Lm42" in r["text"] for r in rows[name] if r["doc_id"] == 90002) == [False, True]
+    kept = next(r for r in rows["secrets"] if r["doc_id"] == 90002 and "harbour" in r["text"])
     assert "Zx81Kq77Lm42" not in kept["text"] and "[secret]" in kept["text"] and kept["n_chars"] == len(kept["text"])
-    assert corpus_pipeline.STAGES[0][1](spark, whole.limit(0), SF).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, whole.limit(0), SF).count() == 0
 
 
 def test_the_rest_works_without_this_subpackage():
