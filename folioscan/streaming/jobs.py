@@ -6,12 +6,13 @@ folder, so a restarted query goes on where it stopped."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import incremental as N
 from ..operators.chunking import chunk_rows
@@ -84,54 +85,96 @@ def debounced_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str)
         key, F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "events")
 
 
-def _keyed(events: DataFrame, key: str, order: list[str], fold: Callable, state: str, output: str) -> DataFrame:
-    """Fold the rows of each key in order, carrying a small state between batches."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def run(k: tuple, frames: Iterator, held: GroupState) -> Iterator:
-        import pandas as pd
 
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        before = held.get if held.exists else None
-        after, out = fold(before, rows)
-        held.update(after)
-        yield out
+class Ordered(StatefulProcessor):
+    """Events of a key judged in event-time order, whatever order they arrive in.
 
-    return events.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    An event waits in a map under its millisecond, with a timer set to it. Timers fire in order once the watermark has passed them, so a key
+    needs memory for one millisecond of events at a time; what has been judged is deleted. What is remembered of a key beyond that is
+    bounded. It goes when `forget` says so in event time, or `ttl` milliseconds of processing time after its last change (None: stays)."""
 
+    memory = "value string"
 
-def _ddl(df: DataFrame, extra: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [extra]).rstrip(", ")
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint", "rows string")
+        self.held = handle.getValueState("held", self.memory, self.ttl)
 
-def monotone_stream(events: DataFrame, key: str, arrival: str, ts: str) -> DataFrame:
-    """Pass an event only if it is later than every earlier one of its key."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            at = (row["at_ms__"],)
+            if self.waiting.containsKey(at):
+                self.waiting.updateValue(at, (self.waiting.getValue(at)[0] + "\n" + row["packed__"],))
+            else:
+                self.waiting.updateValue(at, (row["packed__"],))
+                self.handle.registerTimer(at[0])
+        return iter(())
 
-    def fold(before, rows):
-        latest, keep = (before[0] if before else None), []
-        for t in rows[ts].astype("int64"):
-            keep.append(latest is None or t > latest)
-            latest = t if latest is None else max(latest, t)
-        return (int(latest),), rows[keep]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        before = self.held.get() if self.held.exists() else None
+        after, out = before, []
+        if self.waiting.containsKey((at,)):
+            rows = [json.loads(line) for line in self.waiting.getValue((at,))[0].split("\n")]
+            for row in sorted(rows, key=lambda r: (r["us__"], r["order__"])):
+                after, verdict = self.judge(after, row)
+                if verdict is not None:
+                    out.append(Row(event=json.dumps(row["row__"]), verdict=verdict))
+            self.waiting.removeKey((at,))
+        if after is not None and (end := self.forget(after)) is not None:
+            if end <= at:
+                after = None
+            elif after != before and not self.waiting.containsKey((end,)):
+                self.handle.registerTimer(end)
+        if after is None and before is not None:
+            self.held.clear()
+        elif after != before:
+            self.held.update(after)
+        yield from out
 
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return _keyed(timed, key, [arrival], fold, "latest bigint", _ddl(timed, ""))
+    def judge(self, memory: tuple | None, row: dict) -> tuple[tuple | None, str | None]:
+        """What is remembered after the event, and the verdict on it (None: not passed on)."""
+        raise NotImplementedError
 
+    def forget(self, memory: tuple) -> int | None:
+        """The millisecond from which the memory no longer matters."""
+        return None
 
-def rate_limit_stream(events: DataFrame, key: str, ts: str, limit: int = 8, window_seconds: int = 3600) -> DataFrame:
-    """Accept an event if fewer than `limit` accepted ones of its client lie in the trailing window."""
-    span = window_seconds * 1_000_000
+    def close(self) -> None:
+        pass
 
-    def fold(before, rows):
-        kept, flags = list(before[0]) if before else [], []
-        for t in rows[ts].dt.as_unit("us").astype("int64"):
-            kept = [x for x in kept if t - x < span]
-            flags.append(len(kept) < limit)
-            if flags[-1]:
-                kept.append(int(t))
-        return (kept,), rows.assign(accepted=flags)
 
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return _keyed(timed, key, [ts, "event_id"], fold, "kept array<bigint>", _ddl(timed, "accepted boolean"))
+class Later(Ordered):
+    memory = "latest bigint"
+
+    def judge(self, memory, row):
+        if memory is None or row["value__"] > memory[0]:
+            return (row["value__"],), ""
+        return memory, None
+
+
+class Limiter(Ordered):
+    """At most `limit` accepted times of the trailing window, comma-joined; gone when the last of them has left the window."""
+
+    memory = "kept string"
+
+    def __init__(self, limit: int, span: int):
+        super().__init__()
+        self.limit, self.span = limit, span
+
+    def judge(self, memory, row):
+        now = row["us__"]
+        kept = [t for t in map(int, memory[0].split(",")) if now - t < self.span] if memory else []
+        ok = len(kept) < self.limit
+        return (",".join(map(str, [*kept, now] if ok else kept)),), "true" if ok else "false"
+
+    def forget(self, memory):
+        return (max(map(int, memory[0].split(","))) + self.span) // 1000 + 1
 
 
 # State after each event kind, by state before; anything else leaves the state as it is.
@@ -139,18 +182,49 @@ MOVES = {("none", "create"): "pending", ("pending", "pay"): "paid", ("free", "pa
          ("pending", "free"): "free", ("pending", "cancel"): "none"}
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """Order states event by event; illegal moves change nothing."""
+class Lifecycle(Ordered):
+    memory = "state string"
+
+    def judge(self, memory, row):
+        state = memory[0] if memory else "none"
+        return (MOVES.get((state, row["row__"]["kind"]), state),), state
+
+
+def _judged(events: DataFrame, key: str, at: Column, order: str, delay: str, judge: Ordered, value: Column | None = None) -> DataFrame:
+    """`events` (columns of plain types) with `verdict`, judged in the order of `at`, then `order`, inside each key. Events later than `delay` are
+    dropped. Runs on the RocksDB state store: waiting events lie on disk, not in the task's memory."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    whole = F.struct(*[F.col(c).cast("string").alias(c) for c in events.columns])
+    extra = [] if value is None else [value.alias("value__")]
+    packed = F.to_json(F.struct(whole.alias("row__"), F.unix_micros("at__").alias("us__"), F.col(order).alias("order__"), *extra), {"ignoreNullFields": "false"})
+    timed = events.withColumn("at__", at.cast("timestamp")).withWatermark("at__", delay).select(
+        F.col(key), "at__", F.unix_millis("at__").alias("at_ms__"), packed.alias("packed__"))
+    out = timed.groupBy(key).transformWithState(judge, "event string, verdict string", "Append", "EventTime")
+    strings = out.select(F.from_json("event", ", ".join(f"`{c}` string" for c in events.columns)).alias("e"), "verdict")
+    return strings.select(*[F.col(f"e.{f.name}").cast(f.dataType).alias(f.name) for f in events.schema.fields], "verdict")
+
+
+def monotone_stream(events: DataFrame, key: str, arrival: str, ts: str, delay: str = "0 seconds", ttl: int | None = None) -> DataFrame:
+    """Pass an event only if its `ts` is later than that of every earlier one of its key; `arrival` (a number or a time) orders them.
+
+    A key keeps its latest time; with `ttl`, only that many milliseconds after it last rose."""
+    number = F.timestamp_seconds(F.col(arrival) + 1) if events.schema[arrival].dataType.typeName() in ("integer", "long") else F.col(arrival)
+    value = F.unix_micros(F.col(ts).cast("timestamp"))
+    return _judged(events, key, number, arrival, delay, Later(ttl), value).drop("verdict")
+
+
+def rate_limit_stream(events: DataFrame, key: str, ts: str, limit: int = 8, window_seconds: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """Accept an event if fewer than `limit` accepted ones of its client lie in the trailing window.
+
+    A client keeps at most `limit` times, and is forgotten when the last accepted one has left the window."""
+    judged = _judged(events, key, F.col(ts), "event_id", delay, Limiter(limit, window_seconds * 1_000_000))
+    return judged.select(*events.columns, (F.col("verdict") == "true").alias("accepted"))
 
-    def fold(before, rows):
-        state, was = (before[0] if before else "none"), []
-        for kind in rows["kind"]:
-            was.append(state)
-            state = MOVES.get((state, kind), state)
-        return (state,), rows.assign(state_before=was)
 
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _keyed(timed, "order_id", ["ts", "event_id"], fold, "state string", _ddl(timed, "state_before string"))
+def lifecycle_stream(events: DataFrame, delay: str = "0 seconds", ttl: int | None = None) -> DataFrame:
+    """Order states event by event; illegal moves change nothing. An order keeps one word; with `ttl`, only that many milliseconds after
+    its last move."""
+    return _judged(events, "order_id", F.col("ts"), "event_id", delay, Lifecycle(ttl)).withColumnRenamed("verdict", "state_before")
 
 
 def last_seen_stream(heartbeats: DataFrame, licenses: DataFrame) -> DataFrame:
