@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators import incremental as N
 from ..operators.chunking import chunk_rows
 from ..operators.sequences import first_rows
-from ..sources.writers import exists, read_index, replace_table, upsert_index
+from ..session import materialize
+from ..sources.buckets import KeyedTable
+from ..sources.writers import exists, upsert_index
 
 NOW = {"availableNow": True}
 
@@ -57,17 +59,21 @@ def changed_files(spark, root: str, first_seen: str | None = None) -> DataFrame:
     return files.where(F.col("modificationTime") > F.lit(first_seen).cast("timestamp")) if first_seen else files
 
 
-def stream_new_contents(files: DataFrame, digest: str, path: str, checkpoint: str, trigger: dict[str, Any] | None = None):
-    """Append rows whose content digest is neither repeated in the batch nor stored before."""
+def stream_new_contents(files: DataFrame, digest: str, path: str, checkpoint: str, trigger: dict[str, Any] | None = None, buckets: int = 16):
+    """Append rows whose content digest is neither repeated in the batch nor stored before.
+
+    Rows lie in hash buckets of the digest; a batch reads the digests of its own buckets and writes only its new rows."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([digest])
+        place = F.pmod(F.xxhash64(digest), F.lit(buckets)).cast("int")
+        fresh = materialize(batch.dropDuplicates([digest]).withColumn("bucket", place), "fresh")
         if exists(batch.sparkSession, path):
-            # A batch that is run again after a failure writes to its own folder and replaces it.
-            known = batch.sparkSession.read.parquet(path).where(F.col("batch") != batch_id)
+            mine = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
+            # A batch that is run again after a failure writes to its own folders and replaces them.
+            known = batch.sparkSession.read.parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != batch_id))
             fresh = fresh.join(known.select(digest), digest, "left_anti")
-        (fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        (fresh.withColumn("batch", F.lit(batch_id)).repartition("bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
 
     return run_batches(files, step, checkpoint, trigger)
 
@@ -248,64 +254,88 @@ def fingerprint_changes(before: DataFrame, after: DataFrame, key: str = "dir") -
     return new.join(old, key, "left").select(key, (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"), "new.*")
 
 
-def _current(batch: DataFrame, path: str, empty: DataFrame) -> DataFrame:
-    held = read_index(batch.sparkSession, path)
-    return empty.limit(0) if held is None else held
-
-
 def upsert_stream(changes: DataFrame, path: str, keys: list[str], newest: Column, checkpoint: str,
                   trigger: dict[str, Any] | None = None):
-    """Keep a table current: the newest change of each key in a batch replaces or adds its row.
+    """Keep a `KeyedTable` current: the newest change of each key in a batch replaces or adds its row; only the buckets of these keys are touched.
 
     Running a batch again gives the same table, so a restart after a failure is safe."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        last = first_rows(batch, keys, [newest])
-        replace_table(N.keyed_upsert(_current(batch, path, last), last, keys), path)
+        table = KeyedTable(batch.sparkSession, path, tuple(keys))
+        table.merge(first_rows(batch, keys, [newest]), lambda held, new: N.keyed_upsert(held, new, keys))
 
     return run_batches(changes, step, checkpoint, trigger)
 
 
 def session_stream(turns: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None):
-    """Sessions kept current from a stream of turns."""
+    """Sessions, a `KeyedTable`, kept current from a stream of turns."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         empty = batch.selectExpr("session_id", "at_time as created_at", "at_time as updated_at", "content as preview")
-        replace_table(N.session_upsert(_current(batch, path, empty), batch), path)
+        KeyedTable(batch.sparkSession, path, ("session_id",)).merge(batch, N.session_upsert, empty)
 
     return run_batches(turns, step, checkpoint, trigger)
 
 
+VECTORS = "rel_path string, chunk_id string, model string, text_hash string, dim int, vector array<float>"
+
+
 def embedding_stream(pages: DataFrame, chunks_path: str, vectors_path: str, model: str, embed: Callable, checkpoint: str,
                      trigger: dict[str, Any] | None = None):
-    """After each batch of page changes, embed the chunks that are new or changed and forget dead ones."""
+    """After each batch of page changes, embed the chunks that are new or changed and forget dead ones. Vectors are a `KeyedTable` by page: only
+    the changed pages are hashed again, and only their buckets written."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = latest_pages(batch)
-        upsert_index(chunk_rows(latest.select("rel_path", "title", "body")), latest, chunks_path)
-        chunks = read_index(spark, chunks_path)
-        stored = read_index(spark, vectors_path)
-        stored = stored if stored is not None else spark.createDataFrame(
-            [], "chunk_id string, model string, text_hash string, dim int, vector array<float>")
-        replace_table(N.sync_embeddings(stored, chunks, model, embed), vectors_path)
+        chunks = materialize(chunk_rows(latest.select("rel_path", "title", "body")), "chunks")
+        upsert_index(chunks, latest, chunks_path)
+
+        def fold(held: DataFrame, changed: DataFrame) -> DataFrame:
+            mine, others = held.join(changed, "rel_path", "left_semi"), held.join(changed, "rel_path", "left_anti")
+            fresh = N.sync_embeddings(mine.drop("rel_path"), chunks, model, embed).join(chunks.select("chunk_id", "rel_path"), "chunk_id")
+            return others.unionByName(fresh.select(*others.columns))
+
+        KeyedTable(spark, vectors_path, ("rel_path",)).merge(latest.select("rel_path"), fold, spark.createDataFrame([], VECTORS))
 
     return run_batches(pages, step, checkpoint, trigger)
 
 
+QUEUE = "id string, payload string, sent boolean, attempts int, last_error string"
+
+
 def retry_stream(items: DataFrame, path: str, send: Callable[[Iterator], Iterator], checkpoint: str,
                  trigger: dict[str, Any] | None = None):
-    """Queue new items, then try every unsent one; failures keep their error and stay queued.
+    """Queue new items, then try every unsent one, in order of its id inside each task; failures keep their error and stay queued.
 
-    items: id, payload. `send` maps pandas frames (id, payload) to frames (id, ok, error) inside tasks."""
+    items: id, payload. `send` maps pandas frames (id, payload) to frames (id, ok, error) inside tasks. Sent items lie in a `KeyedTable` of
+    their own and are not read again but for the buckets of new ids; `retry_queue` shows both."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["id"]).selectExpr("id", "payload", "false as sent", "0 as attempts", "'' as last_error")
-        known = _current(batch, path, fresh)
-        queue = known.unionByName(fresh.join(known.select("id"), "id", "left_anti"))
-        tried = queue.where("not sent").orderBy("id").select("id", "payload").mapInPandas(send, "id string, ok boolean, error string")
-        done = queue.join(tried, "id", "left").selectExpr(
-            "id", "payload", "sent or coalesce(ok, false) as sent", "attempts + if(ok is null, 0, 1) as attempts",
-            "case when sent or coalesce(ok, false) then '' when ok is null then last_error else error end as last_error")
-        replace_table(done, path)
+        spark = batch.sparkSession
+        waiting, sent = KeyedTable(spark, f"{path}/waiting", ("id",)), KeyedTable(spark, f"{path}/sent", ("id",))
+        fresh = materialize(batch.dropDuplicates(["id"]).selectExpr("id", "payload", "false as sent", "0 as attempts", "'' as last_error"), "new")
+        if (done := sent.near(fresh)) is not None:
+            fresh = fresh.join(done.select("id"), "id", "left_anti")
+        queue = waiting.read()
+        queue = fresh if queue is None else queue.unionByName(fresh.join(queue.select("id"), "id", "left_anti"))
+        queue = materialize(queue, "queue")
+        stale = queue.limit(0)
+        if (done := sent.near(queue)) is not None:  # sent, but a stop kept the batch from taking them off the queue
+            stale = queue.join(done.select("id"), "id", "left_semi").withColumn("sent", F.lit(True))
+            queue = queue.join(done.select("id"), "id", "left_anti")
+        tried = queue.select("id", "payload").repartitionByRange("id").sortWithinPartitions("id").mapInPandas(send, "id string, ok boolean, error string")
+        after = materialize(queue.join(tried, "id", "left").selectExpr(
+            "id", "payload", "coalesce(ok, false) as sent", "attempts + if(ok is null, 0, 1) as attempts",
+            "case when coalesce(ok, false) then '' when ok is null then last_error else error end as last_error"), "tried")
+        empty = spark.createDataFrame([], QUEUE)
+        sent.merge(after.where("sent"), lambda held, new: held.join(new, "id", "left_anti").unionByName(new), empty)
+        waiting.merge(after.unionByName(stale), lambda held, new: held.join(new, "id", "left_anti").unionByName(new.where("not sent")), empty)
 
     return run_batches(items, step, checkpoint, trigger)
+
+
+def retry_queue(spark, path: str) -> DataFrame:
+    """Sent and waiting items; one that a stopped batch left in both counts as sent."""
+    parts = [KeyedTable(spark, f"{path}/{name}", ("id",)).read() for name in ("sent", "waiting")]
+    sent, waiting = [spark.createDataFrame([], QUEUE) if p is None else p for p in parts]
+    return sent.unionByName(waiting.join(sent.select("id"), "id", "left_anti"))

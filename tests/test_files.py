@@ -13,6 +13,7 @@ from folioscan.operators.chunking import chunk_rows
 from folioscan.sources import readers as R
 from folioscan.sources import writers as O
 from folioscan.sources.tables import export_all, write_export
+from folioscan.sources.buckets import KeyedTable
 from folioscan.streaming import jobs as J
 
 
@@ -252,18 +253,18 @@ def test_table_streams(spark, folder):
     turns = [[("s1", 0, "user", "hello", "t0"), ("s1", 1, "assistant", "a", "t1")], [("s1", 2, "user", "again", "t2"), ("s2", 0, "user", "new", "t3")]]
     schema = "session_id string, turn bigint, role string, content string, at_time string"
     J.session_stream(files_stream(spark, folder + "/s", turns, schema), folder + "/sessions", folder + "/cp1")
-    got = {r.session_id: (r.created_at, r.updated_at, r.preview) for r in O.read_index(spark, folder + "/sessions").collect()}
+    got = {r.session_id: (r.created_at, r.updated_at, r.preview) for r in KeyedTable(spark, folder + "/sessions", ("session_id",)).read().collect()}
     assert got == {"s1": ("t0", "t2", "again"), "s2": ("t3", "t3", "new")}
     changes = [[(1, "a", 1), (1, "b", 2)], [(1, "c", 3), (2, "d", 4)]]
     J.upsert_stream(files_stream(spark, folder + "/u", changes, "id int, name string, v int"), folder + "/table", ["id"], F.desc("v"), folder + "/cp2")
-    assert {r.id: r.name for r in O.read_index(spark, folder + "/table").collect()} == {1: "c", 2: "d"}
+    assert {r.id: r.name for r in KeyedTable(spark, folder + "/table", ("id",)).read().collect()} == {1: "c", 2: "d"}
 
     def send(frames):
         for f in frames:
             yield f.assign(ok=f["payload"] != "bad", error="refused")[["id", "ok", "error"]]
 
     J.retry_stream(files_stream(spark, folder + "/r", [[("1", "ok"), ("2", "bad")], [("3", "ok")]], "id string, payload string"), folder + "/queue", send, folder + "/cp3")
-    queue = {r.id: (r.sent, r.attempts, r.last_error) for r in O.read_index(spark, folder + "/queue").collect()}
+    queue = {r.id: (r.sent, r.attempts, r.last_error) for r in J.retry_queue(spark, folder + "/queue").collect()}
     assert queue == {"1": (True, 1, ""), "2": (False, 2, "refused"), "3": (True, 1, "")}
 
 
@@ -271,6 +272,6 @@ def test_embedding_stream(spark, folder):
     pages = [[("n/a.md", "A", "some words"), ("n/b.md", "B", "other words")], [("n/a.md", "A", "changed words")]]
     stream = files_stream(spark, folder + "/p", pages, "rel_path string, title string, body string")
     J.embedding_stream(stream, folder + "/chunks", folder + "/vectors", "m", lambda texts: [[float(len(x))] * 8 for x in texts], folder + "/cp")
-    chunks, vectors = O.read_index(spark, folder + "/chunks"), O.read_index(spark, folder + "/vectors")
+    chunks, vectors = O.read_index(spark, folder + "/chunks"), KeyedTable(spark, folder + "/vectors", ("rel_path",)).read()
     assert N.embedding_todo(chunks, vectors, "m").count() == 0 and vectors.count() == chunks.count()
     assert all(r.dim == 8 for r in vectors.collect())
