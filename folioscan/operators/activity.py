@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES_PATTERN, strip, tokenize
+from ..session import materialize
 from .search import containing
 from .sequences import first_rows, id_block, running, top_rows
 
@@ -13,6 +15,7 @@ from .sequences import first_rows, id_block, running, top_rows
 OWNER_PRONOUNS = ("我", "我的", "本人", "咱们", "我们自己", "我自己", "姓名", "昵称", "叫什么", "是谁", "哪个")
 OWNER_FIELDS = ("电话", "手机", "邮箱", "邮件", "微信", "头像", "性别", "单位", "职务", "职位")
 OWNER_EXTRAS = ("闪念", "memos", "时间线")
+OPENING_ROWS = 64  # rows that a question's rarest words lead to before the floor is taken
 
 
 def session_table(turns: DataFrame) -> DataFrame:
@@ -62,16 +65,36 @@ def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit:
                scan: int | None = None) -> DataFrame:
     """Earlier answered questions that share words: overlap with question and answer, half a point more per question word.
 
-    All grounded rows are looked at; `scan` keeps to so many of the `newest`."""
+    All grounded rows count; `scan` keeps to so many of the `newest`. Words that nearly every row has make no pairs: a question's words are
+    taken rarest first. The rows its first words lead to are scored whole and give a floor, the `limit`-th best score; a row that holds none
+    of the first p words scores at most 1.5 for each later one, so words are followed only until that is below the floor."""
     recent = qa.where("grounded = 1")
     recent = recent if scan is None else recent.orderBy(*newest).limit(scan)
-    words = recent.select("id", F.explode_outer(F.array_distinct(tokenize(F.concat_ws(" ", "question", "answer")))).alias("token"),
-                          tokenize("question").alias("qw")).where("token is not null").select(
-        "id", "token", F.array_contains("qw", F.col("token")).alias("in_question"))
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
-    scored = words.join(asked, "token").groupBy("query_id", "id").agg(
-        (F.count("*") + 0.5 * F.count_if("in_question")).alias("score"))
-    return top_rows(scored, ["query_id"], [F.desc("score"), F.desc("id")], limit)
+    rows = recent.select("id", F.array_distinct(tokenize(F.concat_ws(" ", "question", "answer"))).alias("words"),
+                         F.array_distinct(tokenize("question")).alias("qw"))
+    asked = questions.select("query_id", F.array_distinct(tokenize("text")).alias("tokens"))
+    wanted = asked.select("query_id", F.explode("tokens").alias("token"))
+    postings = materialize(rows.select("id", F.explode("words").alias("token")).join(wanted.select("token").distinct(), "token"), "postings")
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = W.partitionBy("query_id").orderBy("df", "token")
+    ranked = wanted.join(df, "token").select(
+        "query_id", "token", F.row_number().over(rarest).alias("place"), F.count("*").over(W.partitionBy("query_id")).alias("m"),
+        (F.sum("df").over(rarest.rowsBetween(W.unboundedPreceding, -1))).alias("before"))
+    ranked = materialize(ranked.withColumn("opening", F.coalesce("before", F.lit(0)) < OPENING_ROWS), "ranked")
+
+    def scored(tokens: DataFrame) -> DataFrame:
+        """Whole scores of the rows that hold one of the tokens."""
+        pairs = postings.join(tokens.select("query_id", "token"), "token").select("query_id", "id").distinct()
+        shared = lambda have: F.size(F.array_intersect(have, "tokens"))
+        return pairs.join(rows, "id").join(asked, "query_id").select("query_id", "id", (shared("words") + 0.5 * shared("qw")).alias("score"))
+
+    order = [F.desc("score"), F.desc("id")]
+    first = materialize(top_rows(scored(ranked.where("opening")), ["query_id"], order, limit), "first")
+    floor = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= limit)
+    # word number p leads to rows that hold no earlier word: they share it and the m - p later ones at most
+    later = ranked.where("not opening").join(floor, "query_id", "left").where(1.5 * (F.col("m") - F.col("place") + 1) >= F.coalesce("floor", F.lit(0.0)))
+    found = first.drop("rank").unionByName(scored(later)).distinct()
+    return top_rows(found, ["query_id"], order, limit)
 
 
 def query_alias_expand(queries: DataFrame, owner: dict[str, str], limit: int = 8) -> DataFrame:

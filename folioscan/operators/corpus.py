@@ -222,12 +222,21 @@ def memo_timeline(pages: DataFrame, date: str = "", tag: str = "", flash_only: b
     return rows.withColumn("date_key", memo_date(stamp))
 
 
-def memo_order() -> list[Column]:
-    """Pinned first, then newest; both time formats are read and an unreadable time counts as zero."""
+def memo_time_of() -> Column:
+    """Seconds of a memo's time; both formats are read and an unreadable time counts as zero."""
     stamp = strip(F.coalesce(F.nullif("updated", F.lit("")), "created"))
-    at = F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm"))),
-                    F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd"))), F.lit(0))
-    return [F.desc(F.coalesce("pinned", F.lit(False))), at.desc(), F.asc("rel_path")]
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm"))),
+                      F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd"))), F.lit(0))
+
+
+def memo_order() -> list[Column]:
+    """Pinned first, then newest, then by path."""
+    return [F.desc(F.coalesce("pinned", F.lit(False))), memo_time_of().desc(), F.asc("rel_path")]
+
+
+def memo_key() -> Column:
+    """A struct that sorts as `memo_order`."""
+    return F.struct((~F.coalesce("pinned", F.lit(False))).alias("a"), (-memo_time_of()).alias("b"), F.col("rel_path").alias("c"))
 
 
 def recent_pages(pages: DataFrame, limit: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import embed_input, strip, text_hash
@@ -199,11 +200,26 @@ def last_seen(heartbeats: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def rolling_active(heartbeats: DataFrame, days: int = 7) -> DataFrame:
-    """Distinct devices seen in the `days` days up to and including each day."""
+    """Distinct devices seen in the `days` days up to and including each day.
+
+    A sweep: a device is active from each of its days until `days` later or its next day, whichever is first. Starts and ends are
+    counted per day, and their running sum over the calendar is the result. A device adds two numbers a day, whatever `days` is."""
     daily = heartbeats.select("device_id", F.to_date("ts").alias("d")).distinct()
-    spread = daily.select("device_id", F.explode(F.sequence("d", F.date_add("d", days - 1))).alias("day")).distinct()
-    last = daily.agg(F.max("d")).scalar()
-    return spread.where(F.col("day") <= last).groupBy("day").agg(F.count("*").alias("devices"))
+    coming = F.lead("d").over(W.partitionBy("device_id").orderBy("d"))  # a device has one row a day
+    spans = daily.select("d", F.least(F.date_add("d", days), F.coalesce(coming, F.date_add("d", days))).alias("until"))
+    moves = spans.select(F.explode(F.array(F.struct(F.col("d").alias("day"), F.lit(1).alias("n")), F.struct(F.col("until").alias("day"), F.lit(-1).alias("n")))).alias("m"))
+    moves = moves.groupBy("m.day").agg(F.sum("m.n").alias("n"))
+    edges = daily.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
+    calendar = edges.select(F.explode(F.sequence("a", "b")).alias("day"))  # one row a day
+    counted = calendar.join(moves, "day", "left").select("day", F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)).alias("devices"))
+    return counted.where("devices > 0")
+
+
+def rolling_active_sketch(heartbeats: DataFrame, days: int = 7) -> DataFrame:
+    """As `rolling_active`, estimated: one HyperLogLog sketch a day, and unions of the sketches of `days` days."""
+    daily = heartbeats.groupBy(F.to_date("ts").alias("d")).agg(F.hll_sketch_agg("device_id").alias("s"))
+    spread = daily.select("s", F.max("d").over(W.partitionBy()).alias("last"), F.explode(F.sequence("d", F.date_add("d", days - 1))).alias("day"))
+    return spread.where(F.col("day") <= F.col("last")).groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("devices"))
 
 
 def order_lifecycle(events: DataFrame) -> DataFrame:

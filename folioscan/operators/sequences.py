@@ -106,6 +106,17 @@ def page_of(df: DataFrame, block: Column, order: Sequence[Column], page: int, si
                     F.col("page").cast("bigint"), F.col("pages").cast("bigint")))
 
 
+def equal_depth(df: DataFrame, key: Column, parts: int = 64, sample: int = 10_000) -> Column:
+    """A block number that follows `key` (a struct of plain fields) and gives each block about as many rows, ties of single fields
+    included. Cuts come from a sample of about `sample` keys; they decide the size of blocks only."""
+    total = df.count()
+    drawn = df.select(key.alias("k")).sample(min(1.0, sample / max(total, 1)), seed=5).orderBy("k").collect()
+    at = sorted({len(drawn) * i // parts for i in range(1, parts)}) if drawn else []
+    names = df.select(key.alias("k")).schema["k"].dataType
+    cuts = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(drawn[i]["k"], names.fields)]) for i in at]
+    return F.size(F.filter(F.array(*cuts), lambda c: c <= key)) if cuts else F.lit(0)
+
+
 def qa_pairs(turns: DataFrame) -> DataFrame:
     """Each user turn that is directly followed by an assistant turn, as one question/answer row."""
     paired = neighbour(turns, ["session_id"], id_block("turn", 4096), ["turn"], ["role", "content"], "next")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squeeze
 from ..operators import corpus as P
 from ..operators import graph as G
-from ..operators.sequences import page_of
+from ..operators.sequences import equal_depth, page_of
 from . import common as C
 from .registry import query
 
@@ -134,10 +134,7 @@ with {TAGGED}, {MEMO} select rel_path, row_number() over (order by pinned desc,
 from memo order by position limit 50""")
 def _(t):
     rows = P.memo_timeline(memos(t), flash_only=False).withColumn("stamp", F.coalesce(F.nullif("updated", F.lit("")), "created"))
-    from ..operators.sequences import page_of as page
-
-    keyed = rows.withColumn("rank_key", F.concat(F.when(F.col("pinned"), "1").otherwise("0"), F.substring("stamp", 1, 7)))
-    out = page(keyed, F.col("rank_key"), P.memo_order(), 1, 50, descending=True)
+    out = page_of(rows, equal_depth(rows, P.memo_key()), P.memo_order(), 1, 50)
     return out.select("rel_path", "position", "pinned", "stamp")
 
 
@@ -285,7 +282,8 @@ select filename, updated, position, total from (select *, row_number() over (ord
 where position > 20 and position <= 40""")
 def _(t):
     assets = t.v_assets.withColumn("updated", F.concat(F.lit("2024-"), F.lpad((1 + F.col("size") % 12).cast("string"), 2, "0")))
-    return page_of(assets, F.col("updated"), [F.desc("updated"), F.desc("filename")], 2, 20, descending=True).select(
+    cuts = equal_depth(assets, F.struct("updated", "filename"))
+    return page_of(assets, cuts, [F.desc("updated"), F.desc("filename")], 2, 20, descending=True).select(
         "filename", "updated", "position", "total")
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.text import embed_input, text_hash
 from ..functions.times import stamp
 from ..operators import incremental as N
+from ..operators import postings as X
+from ..session import scratch_path
 from . import common as C
+from . import retrieval as R
 from .registry import query
 
 
@@ -111,6 +114,45 @@ def _(t):
     return N.index_status(C.chunks(t), stored(t), N.phrase_rows(C.chunks(t)))
 
 
+@C.once
+def stored_index(t):
+    """The stored index of the chunk table; chunks of one language share blocks."""
+    pages = t.v_pages.select("rel_path", F.col("lang").alias("cluster"))
+    return X.build(t.spark, scratch_path(t.spark, "index"), C.index(t).select("chunk_id", "rel_path", "title", "text").join(pages, "rel_path"))
+
+
+@query("J1 J4", "j1_index_scores", f"""
+with {R.TFIDF} select query_id, chunk_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from tfidf) x where rank <= 10""")
+def _(t):
+    return X.tfidf_top(stored_index(t), C.queries(t), 10)
+
+
+@query("J2", "j2_index_phrase", f"with {R.BM25} select query_id, chunk_id, score from bm25")
+def _(t):
+    return X.phrase_scores(stored_index(t), C.queries(t))
+
+
+@query("J19 J18", "j19_index_terms", """
+with now as (select chunk_id, text from v_chunks where type not in ('note', 'source') union all select chunk_id, 'fresh ' || text from v_chunks where type = 'note'),
+tok as (select chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from now)
+select term, count(distinct chunk_id) as df from tok group by term""")
+def _(t):
+    """Document frequencies that the index gives after notes were replaced and sources removed."""
+    index = X.build(t.spark, scratch_path(t.spark, "index"), C.index(t))
+    notes = C.index(t).where("type = 'note'").withColumn("text", F.concat(F.lit("fresh "), "text"))
+    X.upsert(index, notes, t.v_pages.where("type = 'note'").select("rel_path"))
+    X.remove(index, t.v_pages.where("type = 'source'").select("rel_path"))
+    return X.doc_frequency(index)
+
+
+@query("J20", "j20_stored_status", """
+select (select count(*) from v_chunks) as chunks, (select count(*) from v_chunks where trim(text) <> '') as phrase_rows,
+  (select count(distinct rel_path) from v_chunks) as pages, cast(1 as bigint) as segments""")
+def _(t):
+    return X.status(stored_index(t))
+
+
 @query("K2", "k2_monotone_changes", """
 with e as (select user_id, event_id, case when event_id % 50 = 0 then ts - interval '1' day else ts end as ts from events)
 select user_id, event_id from (select *, max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as m from e) x where m is null or ts > m""")
