@@ -87,22 +87,90 @@ def _(t):
     return tables.select("device_id", F.posexplode(K.html_table_array("text", 160)).alias("ord", "piece"))
 
 
-@query("I7", "i7_chunk_documents")
+_RULE = K.TABLE_RULE.replace("\\s", "[ \\t]")
+_ROW = "list_last(string_split(a, chr(3)))"
+_TRIM = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
+
+
+def _titled(body, title):
+    clean = _TRIM.format(rf"regexp_replace(replace(replace({body}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
+    return f"case when {clean} = '' or {title} = '' or contains(substr({clean}, 1, 80), {title}) then {clean} else {title} || chr(10) || chr(10) || {clean} end"
+
+
+def document_sql(name, source, size, overlap):
+    """CTEs that end in `name (k, ord, piece)`: the chunks of every text t of the relation `source (k, t)`, section by section. HTML tables are left out:
+    the data holds none."""
+    small, step = max(120, size // 4), size - overlap
+    flat = rf"trim(regexp_replace({{}}, '\s+', ' ', 'g'))"
+    cut = (f"list_transform(range(0, case when length({{0}}) <= {size} then 1 else cast(ceil((length({{0}}) - {size}) / {step}.0) as bigint) + 1 end), "
+           f"lambda i: substr({{0}}, cast(i * {step} + 1 as bigint), {size}))")
+    return rf"""
+{name}_parts as (select k, generate_subscripts(v, 1) as si, unnest(v) as part from (
+  select k, string_split(regexp_replace(t, '(^|\n)(#{{1,4}}[ \t]+[^\n]+)', '\1' || chr(1) || '\2', 'g'), chr(1)) as v from {source}) x),
+{name}_sections as (select * from (select k, si,
+    case when regexp_matches(part, '^#{{1,4}}[ \t]+[^ \t\n]') then '【' || {_TRIM.format("regexp_extract(part, '^#{1,4}[ \t]+([^\n]+)', 1)")} || '】' || chr(10) else '' end as prefix,
+    {_TRIM.format("case when regexp_matches(part, '^#{1,4}[ \t]+[^ \t\n]') then regexp_replace(part, '^#{1,4}[ \t]+[^\n]+', '') else part end")} as body from {name}_parts) x where body <> ''),
+{name}_paras as (select k, si, prefix, list_filter(list_transform(string_split_regex(body, '\n[ \t]*\n'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as v from {name}_sections),
+{name}_merged as (select k, si, prefix, string_split(list_reduce(v, lambda a, x: case when length({_BUF}) < {small} and length({_BUF}) + length(x) + 2 <= {3 * small}
+  and not {_table(_BUF)} and not {_table('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as v from {name}_paras where len(v) > 0),
+{name}_flat as (select k, si, prefix, generate_subscripts(v, 1) as mi, unnest(v) as p from {name}_merged),
+{name}_wide as (select k, si, mi, prefix, p, {flat.format("prefix || p")} as f, {_table('p')} as tabled, greatest(80, {size} - length(prefix)) as room,
+    list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '') as lines from {name}_flat),
+{name}_tables as (select *, case when len(lines) >= 2 and regexp_matches(trim(lines[2]), '{_RULE}') then 2 else 1 end as n from {name}_wide),
+{name}_heads as (select *, array_to_string(lines[1:n], chr(10)) as head, lines[n + 1:] as body from {name}_tables),
+{name}_packed as (select *, case when not tabled or length(p) <= room then [{_TRIM.format('p')}] when len(body) = 0 then [head]
+    else list_transform(list_filter(string_split(list_reduce(body, lambda a, x: case when {_ROW} = '' then a || x
+      when length(head) + 1 + length({_ROW}) + 1 + length(x) <= room then a || chr(10) || x when length(head) + 1 + length(x) > room then a || chr(3) || x || chr(3)
+      else a || chr(3) || x end), chr(3)), lambda x: x <> ''), lambda x: {_TRIM.format('head || chr(10) || x')}) end as rows from {name}_heads),
+{name}_cut as (select k, si, mi, case when tabled then list_transform(rows, lambda x, i: {_TRIM.format("case when i = 1 then prefix || x else x end")})
+    when length(prefix) + length(p) <= {size} then [{_TRIM.format("prefix || p")}] else {cut.format('f')} end as v from {name}_packed),
+{name}_rows as (select k, si, mi, generate_subscripts(v, 1) as wi, unnest(v) as piece from {name}_cut),
+{name}_found as (select k, cast(row_number() over (partition by k order by si, mi, wi) - 1 as integer) as ord, piece from {name}_rows where {_TRIM.format('piece')} <> ''),
+{name}_none as (select k, {flat.format('t')} as f from {source} where t <> '' and k not in (select k from {name}_found)),
+{name}_left as (select k, {cut.format('f')} as v from {name}_none),
+{name} as (select * from {name}_found union all select k, cast(generate_subscripts(v, 1) - 1 as integer), unnest(v) from {name}_left)"""
+
+
+_FAMILY = f"""{document_sql('parent', 'src', 960, 80)},
+kid_src as (select k || chr(2) || cast(ord as varchar) as k, {_TRIM.format('piece')} as t from parent), {document_sql('kid', 'kid_src', 320, 80)},
+family as (select split_part(c.k, chr(2), 1) as rel_path, p.ord as p, p.piece as parent_text, c.ord as c, c.piece as text
+  from kid c join parent p on p.k = split_part(c.k, chr(2), 1) and cast(p.ord as varchar) = split_part(c.k, chr(2), 2))"""
+
+
+@query("I7", "i7_chunk_documents", f"""
+with src as (select rel_path as k, {_titled('body', 'title')} as t from v_pages), {document_sql('made', 'src', 520, 80)}
+select k as rel_path, ord, piece as text from made""")
 def _(t):
     return K.chunk_documents(pages(t), ["rel_path"], "body", "title", 520, 80)
 
 
-@query("I8", "i8_chunk_parent_child")
+@query("I8", "i8_chunk_parent_child", f"""
+with src as (select rel_path as k, {_titled('body', 'title')} as t from v_pages), {_FAMILY}
+select rel_path, p, parent_text, c, text from family""")
 def _(t):
     return K.chunk_parent_child(pages(t), ["rel_path"], "body", "title", 960, 320, 80)
 
 
-@query("I9", "i9_pack_sentences")
+@query("I9", "i9_pack_sentences", r"""
+with f as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from documents where text is not null),
+s as (select doc_id, flat, list_filter(string_split(regexp_replace(flat, '([。！？!?；;])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as v from f),
+r as (select doc_id, case when length(flat) <= 500 then [flat] else list_transform(string_split(list_reduce(v, lambda a, x:
+    case when length(list_last(string_split(a, chr(2)))) + length(x) > 500 then a || chr(2) || x else a || x end), chr(2)), lambda x: trim(x)) end as parts from s)
+select doc_id, cast(generate_subscripts(parts, 1) - 1 as integer) as ord, unnest(parts) as part from r""")
 def _(t):
     return t.spread(t.documents, "doc_id").select("doc_id", F.posexplode(K.pack_sentences("text", 500)).alias("ord", "part"))
 
 
-@query("I10", "i10_chunk_rows")
+_FULL = "case when title = '' or contains(substr(body, 1, 50), title) then body else title || chr(10) || body end"
+
+
+@query("I10", "i10_chunk_rows", rf"""
+with src as (select rel_path as k, {_titled(_FULL, 'title')} as t from v_pages), {_FAMILY},
+numbered as (select rel_path, p, {_TRIM.format('text')} as text, row_number() over (partition by rel_path order by p, c) - 1 as ord from family),
+h as (select n.*, g.title, {_TRIM.format('g.title')} as name, trim(regexp_extract(n.text, '^【(.+?)】\n', 1)) as heading, cast(len(regexp_extract_all(lower(n.text), '[a-z0-9_]+')) as integer) as n_tokens
+  from numbered n join v_pages g using (rel_path))
+select rel_path || '#' || ord as chunk_id, title, text, n_tokens, rel_path || '#p' || p as parent_id,
+  case when heading <> '' and name <> '' then name || ' > ' || heading when name <> '' then name else heading end as context_prefix from h where n_tokens > 0""")
 def _(t):
     rows = K.chunk_rows(pages(t))
     return rows.select("chunk_id", "title", "text", F.size("tokens").alias("n_tokens"), "parent_id", "context_prefix")

@@ -233,7 +233,14 @@ def _(t):
     return out.withColumn("product", F.coalesce("product", F.lit("")))
 
 
-@query("K13", "k13_rate_limit")
+@query("K13", "k13_rate_limit", """
+with recursive e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+r as (select user_id, rn, event_id, true as accepted, [us] as kept from e where rn = 1
+  union all select e.user_id, e.rn, e.event_id, len(list_filter(r.kept, lambda x: e.us - x < 21600000000)) < 2,
+    case when len(list_filter(r.kept, lambda x: e.us - x < 21600000000)) < 2 then list_append(list_filter(r.kept, lambda x: e.us - x < 21600000000), e.us)
+      else list_filter(r.kept, lambda x: e.us - x < 21600000000) end
+  from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+select event_id, user_id, accepted from r""")
 def _(t):
     return N.rate_limit(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", 2, 6 * 3600).select("event_id", "user_id", "accepted")
 

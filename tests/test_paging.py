@@ -55,7 +55,7 @@ def test_words_that_all_rows_share_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(A, "materialize", lambda df, label="": seen.append((label, real(df, label))) or seen[-1][1])
     for n in (100, 400):
         qa = spark.createDataFrame([(f"{i:04d}", f"the of and topic{i} more{i}", "the of and", 1) for i in range(n)], "id string, question string, answer string, grounded int")
-        asked = spark.createDataFrame([(i, f"the of and topic{i} more{i} topic{i + 1} topic{i + 2} more{i + 2}") for i in range(50)], "query_id long, text string")
+        asked = spark.createDataFrame([(i, f"the of and topic{i} more{i} topic{i + 1} topic{i + 2}") for i in range(50)], "query_id long, text string")
         seen.clear()
         got = A.related_qa(asked, qa, [F.desc("id")])
         assert got.where("rank = 1 and cast(id as int) = query_id").count() == 50
