@@ -58,7 +58,34 @@ def _(t):
     return G.broken_links(links, t.v_pages).select("rel_path", "ord", "link")
 
 
-@query("J9", "j9_graph_expand")
+def expanded(seeds, final):
+    """CTEs that end in `grown (query_id, chunk_id, score, retrieval)`: two hops over `seeds (query_id, chunk_id, rel_path, score, rank)`."""
+    boost = "case p.type when 'entity' then 1.1 when 'concept' then 1.1 when 'source' then 1.05 else 1.0 end"
+    room = max(4, 2 * final)
+    return f"""
+seed as (select query_id, rel_path, min(rank) as at_pos, min_by(score, rank) as base from {seeds} group by query_id, rel_path),
+lead2 as (select * from (select chunk_id, rel_path, row_number() over (partition by rel_path order by ord) as nth from v_chunks) where nth <= 2),
+visit1 as (select s.query_id, e.target, s.at_pos, e.ord, s.base * 0.85::double as carried, s.base * 0.85::double * {boost} as score
+  from seed s join v_pages p on p.rel_path = s.rel_path join resolved e on e.rel_path = s.rel_path),
+first1 as (select * from (select *, row_number() over (partition by query_id, target order by at_pos, ord) as f from visit1) where f = 1),
+hop1 as (select * from (select v.query_id, v.target, l.chunk_id, v.score, v.carried, row_number() over (partition by v.query_id order by v.at_pos, v.ord, l.nth, l.chunk_id) as n from first1 v join lead2 l on l.rel_path = v.target
+  where not exists (select 1 from {seeds} h where h.query_id = v.query_id and h.chunk_id = l.chunk_id)) where n <= {room}),
+taken as (select query_id, count(*) as taken from hop1 group by query_id),
+front2 as (select query_id, target as rel_path, min(n) as at_pos, min_by(carried, n) as base from hop1 group by query_id, target),
+visit2 as (select s.query_id, e.target, s.at_pos, e.ord, s.base * 0.7224999999999999::double * {boost} as score
+  from front2 s join v_pages p on p.rel_path = s.rel_path join resolved e on e.rel_path = s.rel_path),
+first2 as (select * from (select *, row_number() over (partition by query_id, target order by at_pos, ord) as f from visit2) where f = 1),
+hop2 as (select * from (select v.query_id, l.chunk_id, v.score, row_number() over (partition by v.query_id order by v.at_pos, v.ord, l.nth, l.chunk_id) as n from first2 v join lead2 l on l.rel_path = v.target
+  where not exists (select 1 from {seeds} h where h.query_id = v.query_id and h.chunk_id = l.chunk_id) and not exists (select 1 from hop1 h where h.query_id = v.query_id and h.chunk_id = l.chunk_id))
+  where n <= {room}),
+hop2cut as (select h.* from hop2 h left join taken t on t.query_id = h.query_id where h.n + coalesce(t.taken, 0) <= {room}),
+gathered as (select query_id, chunk_id, round(score, 6) as score, 'seed' as retrieval from {seeds} union all select query_id, chunk_id, round(score, 6), 'graph-hop1' from hop1
+  union all select query_id, chunk_id, round(score, 6), 'graph-hop2' from hop2cut),
+grown as (select query_id, chunk_id, score, retrieval from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from gathered) where rn <= {final})"""
+
+
+@query("J9", "j9_graph_expand", f"""
+with {HITS}, {RESOLVE}, {expanded('hits', 20)} select query_id, chunk_id, score, retrieval from grown""")
 def _(t):
     return G.graph_expand(hits(t), edges(t), t.v_pages, C.index(t), hops=2, final_k=20).select(
         "query_id", "chunk_id", "score", "retrieval")
@@ -379,7 +406,15 @@ def _(t):
     return read_jsonl(t.spark, path, log.schema)
 
 
-@query("J12", "j12_search_full")
+MERGED = """u as (select query_id, chunk_id, text, title, score, rank, 0 as side from hits union all select query_id, chunk_id, text, title, score, rank, 1 from ext),
+fw as (select * from (select *, row_number() over (partition by query_id, lower(substr(text, 1, 120) || title) order by side, rank, chunk_id) as rn from u) where rn = 1),
+seeds as (select w.query_id, w.chunk_id, coalesce(c.rel_path, '') as rel_path, w.score, w.k as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as k from fw) w
+  left join v_chunks c using (chunk_id) where w.k <= 20)"""
+
+
+@query("J12", "j12_search_full", f"""
+with {HITS}, {EXTERNAL}, {RESOLVE}, {MERGED}, {expanded('seeds', 20)}
+select query_id, chunk_id, score, retrieval, cast(rn as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rn from grown) where rn <= 6""")
 def _(t):
     local = hits(t).select("query_id", "chunk_id", "text", "title", "score", "rank")
     merged = with_rank(S.merge_first_wins(local, external(t), 20).drop("rank")).join(C.index(t).select("chunk_id", "rel_path"), "chunk_id", "left")
