@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_variants
 from ..operators import activity as A
+from ..operators import answers as N
 from ..operators import corpus as P
 from ..operators import graph as G
 from ..operators import search as S
@@ -406,6 +407,63 @@ def _(t):
     return read_jsonl(t.spark, path, log.schema)
 
 
+ROUNDS = rf"""
+{MULTI.split("vt as (")[0].rstrip().rstrip(",")},
+fo as (select v2.query_id, list_concat(f, case when contains(lower(q), 'anna') or contains(lower(q), 'der') or contains(lower(q), 'the') or contains(lower(q), 'und') or contains(lower(q), 'éa')
+  then list_filter(['Anna', 'Anna 工作', 'Anna 记录', 'der', 'the', 'und', '闪念', 'memos'], lambda x: not list_contains(f, x) and x <> trim(q)) else [] end)[1:6] as f from v2 join v0 using (query_id)),
+fr as (select query_id, cast(generate_subscripts(f, 1) as bigint) as round, unnest(f) as text from fo),
+fq as (select query_id * 100 + round as query_id, query_id as parent, round, text, text as phrase from fr),
+fqt as (select distinct query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from fq),
+{ALL.replace('v_query_tokens', 'fqt').replace('v_queries', 'fq').replace('e.vec_id = q.query_id', 'e.vec_id = q.parent')},
+fh as (select h.*, c.rel_path, row_number() over (partition by h.query_id order by h.score desc, h.chunk_id) as rank from hybrid h join v_chunks c using (chunk_id)),
+{RESOLVE}, {expanded('fh', 10)},
+rs as (select g.*, parent, round from grown g join fq using (query_id)),
+rm as (select parent, round, max(score) as b from rs group by all), rt as (select parent, min(round) as stop from rm where b >= 0.03 group by parent),
+rk as (select rs.* from rs left join rt using (parent) where stop is null or round <= stop),
+best as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select parent as query_id, chunk_id, max(score) as score from rk group by all)) where rank <= 10)"""
+
+
+@C.once
+def rounds(t):
+    """All forms of all queries, the owner's rows among them, through the whole search."""
+    from .activity import OWNER
+    stored = C.chunk_vectors(t).select("chunk_id", "vector")
+    return N.search_rounds(t.v_queries, C.query_vectors(t), C.index(t), stored, edges(t), t.v_pages, OWNER, 10, 0.03)
+
+
+@query("J11 C19", "j11_search_rounds", f"with {ROUNDS} select query_id, chunk_id, score, rank from best")
+def _(t):
+    return rounds(t)[0].select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("J11 A12", "j11_rounds_log", f"""
+with {ROUNDS}, rc as (select parent, round, count(*) as hits, max(score) as top_score from rs group by all)
+select fq.parent as query_id, fq.round, substr(text, 1, 120) as query, coalesce(hits, 0) as hits, coalesce(top_score, 0.0) as top_score from fq
+  left join rc using (parent, round) left join rt using (parent) where stop is null or fq.round <= stop""")
+def _(t):
+    return rounds(t)[1]
+
+
+_EXPECT = "cast(case when any_value(ee) then count(h.chunk_id) = 0 else coalesce(bool_or(coalesce(contains(h.rel_path, er), false) or coalesce(ek <> '' and contains(h.text || h.title, ek), false)), false) end as integer) * 1.0::double"
+
+
+@query("J25 D28", "j25_golden_recall", f"""
+with {ROUNDS}, g as (select query_id, case when query_id % 3 = 0 then 'notes/' end as er, case when query_id % 3 <> 0 then substr(phrase, 1, 6) end as ek, query_id % 10 = 9 as ee from v_queries),
+one as (select parent as query_id, chunk_id, rel_path, text, title from rs join v_chunks using (chunk_id) where round = 1),
+many as (select b.query_id, chunk_id, rel_path, text, title from best b join v_chunks using (chunk_id)),
+a as (select g.query_id, {_EXPECT} as recall from g left join one h on h.query_id = g.query_id group by g.query_id),
+b as (select g.query_id, {_EXPECT} as rounds_recall from g left join many h on h.query_id = g.query_id group by g.query_id)
+select query_id, recall, rounds_recall from a join b using (query_id)""")
+def _(t):
+    """The expectations held against the plain search and against the search in rounds."""
+    shown = C.index(t).select("chunk_id", "rel_path", "text", "title")
+    found = N.full_search(C.queries(t).select("query_id", "text", F.col("text").alias("phrase")), C.query_vectors(t), C.index(t),
+                          C.chunk_vectors(t).select("chunk_id", "vector"), edges(t), t.v_pages, 10)
+    plain = A.retrieval_eval(golden(t), found.drop("rel_path").join(shown, "chunk_id"), 10)
+    merged = A.retrieval_eval(golden(t), rounds(t)[0].join(shown, "chunk_id"), 10)
+    return plain.join(merged.withColumnRenamed("recall", "rounds_recall"), "query_id").select("query_id", "recall", "rounds_recall")
+
+
 MERGED = """u as (select query_id, chunk_id, text, title, score, rank, 0 as side from hits union all select query_id, chunk_id, text, title, score, rank, 1 from ext),
 fw as (select * from (select *, row_number() over (partition by query_id, lower(substr(text, 1, 120) || title) order by side, rank, chunk_id) as rn from u) where rn = 1),
 seeds as (select w.query_id, w.chunk_id, coalesce(c.rel_path, '') as rel_path, w.score, w.k as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as k from fw) w
