@@ -32,6 +32,8 @@ OPENING = 2  # blocks of a query that are scored first, to learn what the others
 GRAM_ROWS = "block long, gram string, n int, chunks binary, places binary"
 TERM_ROWS = "block long, term string, n int, most double, chunks binary, counts binary"
 
+SHAPES = {"grams": GRAM_ROWS, "terms": TERM_ROWS}
+
 _machines: dict[int, tuple] = {}
 
 
@@ -43,7 +45,10 @@ class Index:
     path: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        read = self.spark.read
+        if name in SHAPES:  # declared: no file is opened to learn it
+            read = read.schema(f"{SHAPES[name]}, seg int, bucket int")
+        return read.parquet(f"{self.path}/{name}")
 
     def live(self) -> DataFrame:
         """`(rel_path, seg)`: the segment that holds each page now."""
@@ -58,7 +63,8 @@ class Index:
         return self.docs().select("chunk_id", "rel_path", "title", "text")
 
     def segments(self) -> list[int]:
-        return sorted(r["seg"] for r in self.table("versions").select("seg").distinct().collect())
+        """Finished segments; the first is there even if it holds no page."""
+        return sorted({0} | {r["seg"] for r in self.table("versions").select("seg").distinct().collect()})
 
     def rows(self, kind: str, wanted: DataFrame, key: str) -> DataFrame:
         """Posting rows of the `wanted` grams or terms from finished segments, reading no bucket but theirs."""

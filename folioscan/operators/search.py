@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import BOOST_MARKERS, contains_any, let, strip, tokenize
+from ..session import scratch_path
 from .sequences import first_rows, top_rows
 
 TITLE_BOOST = 1.35
@@ -24,6 +25,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 AUTOMATON_BYTES = 4 << 20  # phrases that one automaton holds, as UTF-8
 QUERY_BLOCK = 2048  # queries that meet a batch at once
+QUERY_BYTES = 64 << 20  # texts or vectors of queries that are shipped to the tasks; beyond, queries stay a table
 
 
 def rounded(score) -> Column:
@@ -98,7 +100,13 @@ def tfidf_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     them. Here the term weights of the queries, the stated query set, are shipped to the tasks in blocks; each Arrow batch of
     chunks meets every block as one matrix product over the words it holds, and only the batch's own best k per query leave
     the task: one scan of the chunks whatever the number of queries, and no postings are shuffled. Document frequencies of the
-    asked words are counted first, map-side."""
+    asked words are counted first, map-side. Queries of more than `QUERY_BYTES` are answered from a stored index instead
+    (`postings`), where they meet blocks of chunks by joins."""
+    if (queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > QUERY_BYTES:
+        from . import postings
+
+        stored = chunks.select("chunk_id", "rel_path" if "rel_path" in chunks.columns else F.col("chunk_id").alias("rel_path"), "title", "text")
+        return postings.tfidf_top(postings.build(chunks.sparkSession, scratch_path(chunks.sparkSession, "index"), stored), queries, k)
     total = chunks.agg(F.count("*")).scalar()
     asked = query_tokens(queries)
     df = (chunks.select(F.explode_outer(F.array_distinct("tokens")).alias("token"))
@@ -358,12 +366,58 @@ def _vector_scan(blocks: list[list[tuple]], vectors: DataFrame, k: int) -> DataF
     return vectors.select("chunk_id", "vector").mapInArrow(score, "query_id bigint, chunk_id string, score double")
 
 
+def _vector_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """As `_vector_scan` without the driver: bounded groups of vectors meet bounded groups of queries by an equal join on the query group."""
+    def grouped(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+        parts = max(1, -(-df.count() // size))
+        rows = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.struct(key, F.coalesce("vector", F.array()).cast("array<double>").alias("vector")).alias("r"))
+        return rows.groupBy("part").agg(F.collect_list("r").alias("rows")), parts
+
+    asked, blocks = grouped(queries, "query_id", QUERY_BLOCK)
+    held, _ = grouped(vectors, "chunk_id", 4096)
+    met = held.select(F.col("rows").alias("held"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part")).join(asked, "part").select("held", "rows")
+
+    def score(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def units(rows: list[dict], key: str) -> dict[int, tuple]:
+            by_dim: dict[int, list[dict]] = {}
+            for r in rows:
+                by_dim.setdefault(len(r["vector"]), []).append(r)
+            out = {}
+            for dim, mine in by_dim.items():
+                m = np.asarray([r["vector"] for r in mine], dtype=np.float64).reshape(len(mine), dim)
+                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                out[dim] = ([r[key] for r in mine], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+            return out
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                mine, theirs = units(batch.column(0)[i].as_py(), "chunk_id"), units(batch.column(1)[i].as_py(), "query_id")
+                ids = [c for names, _ in mine.values() for c in names]
+                for dim, (names, q) in theirs.items():
+                    scores, at = np.zeros((len(names), len(ids))), 0
+                    for other, (some, m) in mine.items():
+                        if other == dim and dim:
+                            scores[:, at:at + len(some)] = q @ m.T
+                        at += len(some)
+                    scores = np.round(scores, PLACES) + 0.0
+                    qi, ci = _keep_best(scores, k, False)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in qi], type=pa.int64()), pa.array([ids[x] for x in ci], type=pa.string()), pa.array(scores[qi, ci])],
+                                                     names=["query_id", "chunk_id", "score"])
+
+    return met.mapInArrow(score, "query_id bigint, chunk_id string, score double")
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine of (query_id, vector) rows against (chunk_id, vector) rows, best k per query.
 
     The query vectors, the stated query set, are shipped in blocks; each Arrow batch of vectors meets every block as one
-    matrix product and only its own best k per query leave the task, so there is one scan and pairs are never emitted.
-    A different dimension or a zero vector scores 0."""
+    matrix product and only its own best k per query leave the task, so there is one scan and pairs are never emitted. Beyond `QUERY_BYTES`
+    of them, groups of queries are joined to groups of vectors instead. A different dimension or a zero vector scores 0."""
+    if 8 * (queries.agg(F.sum(F.greatest(F.size("vector"), F.lit(0)))).first()[0] or 0) > QUERY_BYTES:
+        return best(_vector_blocks(queries, vectors, k), k).drop("rank")
     held = [(r[0], list(r[1] or [])) for r in queries.select("query_id", "vector").toLocalIterator()]
     return best(_vector_scan(blocks_of(held), vectors, k), k).drop("rank")
 

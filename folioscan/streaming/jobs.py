@@ -19,6 +19,7 @@ from ..operators.chunking import chunk_rows
 from ..operators.sequences import first_rows
 from ..session import materialize
 from ..sources.buckets import KeyedTable
+from ..sources.readers import fingerprint
 from ..sources.writers import exists, upsert_index
 
 NOW = {"availableNow": True}
@@ -254,6 +255,30 @@ def fingerprint_changes(before: DataFrame, after: DataFrame, key: str = "dir") -
     return new.join(old, key, "left").select(key, (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"), "new.*")
 
 
+FILES = "dir string, path string, length bigint, modificationTime timestamp"
+
+
+def watch_stream(files: DataFrame, path: str, changed: Callable[[DataFrame, int], None], checkpoint: str,
+                 trigger: dict[str, Any] | None = None):
+    """Watch folders: after each batch of new or changed files (dir, path, length, modificationTime), `changed` is given the fingerprints of the
+    folders that differ from what was last known. Known files are a `KeyedTable` by folder, so a batch reads its own folders' buckets.
+
+    `changed` runs before the files count as known: a batch that is run again after a failure reports its folders again."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        table = KeyedTable(batch.sparkSession, path, ("dir",))
+        fresh = first_rows(batch.select("dir", "path", "length", "modificationTime"), ["dir", "path"], [F.desc("modificationTime"), F.desc("length")])
+        fresh = materialize(fresh, "files")
+        dirs = fresh.select("dir").distinct()
+        held = table.near(dirs)
+        held = batch.sparkSession.createDataFrame([], FILES) if held is None else held.join(dirs, "dir", "left_semi")
+        after = held.join(fresh.select("dir", "path"), ["dir", "path"], "left_anti").unionByName(fresh)
+        changed(fingerprint_changes(fingerprint(held, ["dir"]), fingerprint(after, ["dir"])).where("changed").drop("changed"), batch_id)
+        table.merge(fresh, lambda old, new: old.join(new.select("dir", "path"), ["dir", "path"], "left_anti").unionByName(new))
+
+    return run_batches(files, step, checkpoint, trigger)
+
+
 def upsert_stream(changes: DataFrame, path: str, keys: list[str], newest: Column, checkpoint: str,
                   trigger: dict[str, Any] | None = None):
     """Keep a `KeyedTable` current: the newest change of each key in a batch replaces or adds its row; only the buckets of these keys are touched.

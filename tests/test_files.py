@@ -275,3 +275,13 @@ def test_embedding_stream(spark, folder):
     chunks, vectors = O.read_index(spark, folder + "/chunks"), KeyedTable(spark, folder + "/vectors", ("rel_path",)).read()
     assert N.embedding_todo(chunks, vectors, "m").count() == 0 and vectors.count() == chunks.count()
     assert all(r.dim == 8 for r in vectors.collect())
+
+
+def test_watched_folders_report_changes(spark, folder):
+    at = lambda m: dt.datetime(2026, 1, 1, 0, m)
+    schema = "dir string, path string, length bigint, modificationTime timestamp"
+    batches = [[("a", "a/1", 3, at(1)), ("b", "b/1", 3, at(1))], [("a", "a/1", 3, at(1)), ("b", "b/2", 5, at(2))], [("a", "a/1", 4, at(3)), ("c", "c/1", 1, at(3))]]
+    seen = []
+    J.watch_stream(files_stream(spark, folder + "/w", batches, schema), folder + "/known", lambda df, i: seen.append({r.dir: r.files for r in df.collect()}), folder + "/cp")
+    assert seen == [{"a": 1, "b": 1}, {"b": 2}, {"a": 1, "c": 1}]
+    assert KeyedTable(spark, folder + "/known", ("dir",)).read().count() == 4

@@ -121,3 +121,14 @@ def test_empty_tables(spark, queries, folder):
     P.upsert(index, spark.createDataFrame(corpus(pages=2), COLUMNS), spark.createDataFrame([("d/0.md",), ("d/1.md",)], "rel_path string"))
     same(index, spark.createDataFrame(corpus(pages=2), COLUMNS), queries)
     assert P.tfidf_top(index, queries.limit(0), 3).count() == 0
+
+
+def test_many_queries_stay_a_table(spark, queries, small, monkeypatch):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(f"c{i}", [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(rng.choice([3, 3, 3, 2, 0]))]) for i in range(60)], "chunk_id string, vector array<float>")
+    asked = spark.createDataFrame([(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3 if i % 5 else 2)]) for i in range(11)] + [(50, None)], "query_id long, vector array<float>")
+    chunks = tokens(spark.createDataFrame(corpus(), COLUMNS))
+    want = rows(S.vector_scores(asked, vectors, 4)), rows(S.tfidf_top(queries, chunks, 4))
+    monkeypatch.setattr(S, "QUERY_BYTES", 8)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 4)
+    assert (rows(S.vector_scores(asked, vectors, 4)), rows(S.tfidf_top(queries, chunks, 4))) == want
