@@ -21,7 +21,7 @@ HEADLINE = (
     "b4_search_library", "b5_scope_filter", "c2_resolve_links", "c3_broken_links", "c12_asset_new", "d3_revenue_by_month",
     "d4_revenue_totals", "d9_channel_summaries", "d11_stats_bundle", "d12_page_stats", "d13_tag_index", "d24_style_metrics",
     "e5_stack_expiry", "e9_session_digest", "e17_qa_pairs", "j18_upsert_page_index", "k2_monotone_changes",
-    "k3_debounced_batches", "k8_order_lifecycle", "k13_rate_limit",
+    "k3_debounced_batches", "k8_order_lifecycle", "k13_rate_limit", "j7_search_scoped", "c18_related_qa", "j2_index_phrase",
 )
 
 

@@ -15,11 +15,15 @@ BLOCK_TAGS = ("MEMORY", "SKILL_TITLE", "SKILL_BODY", "PRINCIPLE_TITLE", "PRINCIP
 NOTHING = ("无", "无。", "none", "N/A", "-")
 
 
+# A fenced or braced JSON document in an answer.
+FENCED, BRACED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```", r"(?s)\{.*\}"
+
+
 def json_edges(raw) -> Column:
     """Edge objects of the first fenced or braced JSON document; NULL or empty when there is none."""
     text = strip(raw)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    fenced = F.regexp_extract(text, FENCED, 1)
+    braced = F.regexp_extract(text, BRACED, 0)
     return F.from_json(F.when(fenced != "", fenced).otherwise(braced), f"edges {EDGE}")["edges"]
 
 
@@ -53,27 +57,36 @@ def tagged_blocks(df: DataFrame, raw: str) -> DataFrame:
     return out.withColumn("principle_empty", empty)
 
 
+# How a rule block, its flag, id, time and marked lines are written.
+RULE_HEAD = r"^###\s+\S"
+RULE_FLAG = r"(?i)<!--\s*enabled:\s*(true|false)\s*-->"
+RULE_ID = r"^###\s+(r_[0-9a-f]{6,12})\s*·"
+RULE_TITLE = r"^###\s+(?:r_[0-9a-f]{6,12}\s*·\s*)?"
+RULE_TIME = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2})"
+QUESTION_LINE, RULE_LINE = r"^- \*\*触发问题\*\*[：:]", r"^- \*\*规则\*\*[：:]"
+
+
 def rule_blocks(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row per `###` block: identifier, on/off, time, question, rule text and kind."""
-    blocks = F.filter(F.split(col(text), r"(?m)(?=^###\s+\S)"), lambda b: b.rlike(r"^###\s+\S"))
+    blocks = F.filter(F.split(col(text), f"(?m)(?={RULE_HEAD})"), lambda b: b.rlike(RULE_HEAD))
     rows = df.select(*keys, F.posexplode(blocks).alias("ord", "block"))
     head = F.regexp_extract("block", r"^([^\n]*)", 1)
-    flag = F.lower(F.regexp_extract(head, r"(?i)<!--\s*enabled:\s*(true|false)\s*-->", 1))
-    clean = strip(replace(head, r"(?i)<!--\s*enabled:\s*(?:true|false)\s*-->"))
-    ident = F.regexp_extract(clean, r"^###\s+(r_[0-9a-f]{6,12})\s*·", 1)
-    title = strip(replace(clean, r"^###\s+(?:r_[0-9a-f]{6,12}\s*·\s*)?"))
+    flag = F.lower(F.regexp_extract(head, RULE_FLAG, 1))
+    clean = strip(replace(head, RULE_FLAG))
+    ident = F.regexp_extract(clean, RULE_ID, 1)
+    title = strip(replace(clean, RULE_TITLE))
     body = strip(replace("block", r"^[^\n]*"))
     parsed = rows.select(*keys, "ord", ident.alias("id"), (flag != "false").alias("enabled"), title.alias("title"),
                          F.transform(lines_of(body), strip).alias("lines"), body.alias("body"))
     after_colon = lambda s: strip(replace(replace(s, r"^[^：]*：(?s:(.*))$", "$1"), r"^[^:]*:(?s:(.*))$", "$1"))
-    questions = F.filter("lines", lambda s: s.rlike(r"^- \*\*触发问题\*\*[：:]"))
+    questions = F.filter("lines", lambda s: s.rlike(QUESTION_LINE))
     # Free lines count only until the first rule line or free line has filled the text.
     folded = F.aggregate("lines", F.lit(""), lambda acc, s: F.when(
-        s.rlike(r"^- \*\*触发问题\*\*[：:]"), acc).when(s.rlike(r"^- \*\*规则\*\*[：:]"), after_colon(s)).when(
+        s.rlike(QUESTION_LINE), acc).when(s.rlike(RULE_LINE), after_colon(s)).when(
         (acc == "") & (s != "") & ~s.startswith("#"), s).otherwise(acc))
     return parsed.select(
         *keys, "ord", "id", "enabled", "title",
-        F.regexp_extract("title", r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2})", 1).alias("at"),
+        F.regexp_extract("title", RULE_TIME, 1).alias("at"),
         F.coalesce(after_colon(F.element_at(F.when(F.size(questions) > 0, questions), -1)), F.lit("")).alias("question"),
         F.when(folded != "", folded).otherwise(F.col("body")).alias("text"),
         F.when(F.col("title").contains("纠错"), "纠错").when(F.col("title").contains("偏好"), "偏好")

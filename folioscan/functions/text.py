@@ -111,8 +111,13 @@ def slugify(value, size: int = 80) -> Column:
     return F.when(cut == "", UNTITLED).otherwise(cut)
 
 
+# What ends an address in running text, and the marks that a bare question drops.
+URL_PATTERN = r"https?://[^\s\)\]\"']+"
+QUESTION_MARKS = r"[？?。！!；;，,、\s]+"
+
+
 def first_url(value) -> Column:
-    return F.regexp_extract(col(value), r"https?://[^\s\)\]\"']+", 0)
+    return F.regexp_extract(col(value), URL_PATTERN, 0)
 
 
 def first_line_title(value, default: str = "粘贴文本") -> Column:
@@ -179,7 +184,7 @@ def memo_time(stamp) -> Column:
 def query_variants(text, extra=None, limit: int = 6) -> Column:
     """The query, then cleaner forms of it, then extra texts: distinct, in order, at most `limit`."""
     q = strip(text)
-    bare = strip(replace(q, r"[？?。！!；;，,、\s]+", " "))
+    bare = strip(replace(q, QUESTION_MARKS, " "))
     words = F.regexp_extract_all(q, F.lit(rf"([{CJK}]{{2,}}|[A-Za-z0-9_]{{3,}})"), F.lit(1))
     keywords = F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 8), " "))
     forms = F.array(q, bare, replace(bare, QUESTION_WORDS), keywords)

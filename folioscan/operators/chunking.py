@@ -14,6 +14,7 @@ from ..functions.text import (
     BLANK, col, context_prefix, is_html_table, is_markdown_table, is_table_block, let, lines_of, normalize_text, squeeze, strip, tokenize,
 )
 
+# What is a heading, and the rule line under a table's header.
 HEADING = rf"(?md)^#{{1,4}}{BLANK}+(.+)$"
 TABLE_RULE = r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 HELD, TABLE = "\u0001", "\u0002"

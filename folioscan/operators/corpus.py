@@ -280,6 +280,11 @@ def draft_summary(pages: DataFrame, limit: int = 30) -> DataFrame:
             .select("*", totals.select("n").scalar().alias("draft_total"), totals.select("m").scalar().alias("no_links_total")))
 
 
+# The issues that are reported of extracted text.
+LONE_BAR, CUT_CELL = "疑似表行被切断（管道符不成对）", "疑似表单元格被截断"
+TOO_SHORT, TABLE_LOST = "提取文本过短，可能解析失败或扫描件未 OCR", "原文提及表格但未见 Markdown 表结构"
+
+
 def parse_quality(docs: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """Signals and issues of extracted text: too short, broken or cut table rows, tables lost in extraction."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -303,9 +308,9 @@ def parse_quality(docs: DataFrame, name: str = "name", text: str = "text") -> Da
     issue = lambda cond, message: F.when(cond, F.array(F.lit(message))).otherwise(none)
     issues = F.concat(
         F.transform(F.filter("__faults", lambda n: n > 0), lambda n: F.when(
-            n == 1, "疑似表行被切断（管道符不成对）").otherwise("疑似表单元格被截断")),
-        issue(F.length(strip(body)) < 40, "提取文本过短，可能解析失败或扫描件未 OCR"),
-        issue(has_table & (F.size("__tables") == 0) & ~body.contains("|"), "原文提及表格但未见 Markdown 表结构"))
+            n == 1, LONE_BAR).otherwise(CUT_CELL)),
+        issue(F.length(strip(body)) < 40, TOO_SHORT),
+        issue(has_table & (F.size("__tables") == 0) & ~body.contains("|"), TABLE_LOST))
     return rows.select(*docs.columns, F.length(body).alias("chars"), F.size("__pieces").alias("chunks"),
                        F.size("__tables").alias("table_chunks"), has_table.alias("has_table_signal"),
                        body.rlike(r"(?i)OCR").alias("has_ocr_signal"), issues.alias("issues"))
