@@ -32,7 +32,7 @@ def _(t):
     return pages(t).select("rel_path", F.posexplode(K.paragraph_array("body")).alias("ord", "paragraph"))
 
 
-_table = lambda x: (f"(contains({x}, '|') and len(list_filter(string_split({x}, chr(10)), lambda l: contains(l, '|'))) >= "
+table_sql = lambda x: (f"(contains({x}, '|') and len(list_filter(string_split({x}, chr(10)), lambda l: contains(l, '|'))) >= "
                     f"greatest(2, len(list_filter(string_split({x}, chr(10)), lambda l: trim(l) <> '')) // 2))")
 _BUF = "list_last(string_split(a, chr(1)))"
 
@@ -40,7 +40,7 @@ _BUF = "list_last(string_split(a, chr(1)))"
 @query("I3", "i3_merge_small", rf"""
 with p as (select rel_path, list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') as v from v_pages),
 m as (select rel_path, string_split(list_reduce(v, lambda a, x: case when length({_BUF}) < 120 and length({_BUF}) + length(x) + 2 <= 360
-  and not {_table(_BUF)} and not {_table('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as parts from p where len(v) > 0)
+  and not {table_sql(_BUF)} and not {table_sql('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as parts from p where len(v) > 0)
 select rel_path, cast(generate_subscripts(parts, 1) - 1 as integer) as ord, unnest(parts) as part from m""")
 def _(t):
     return pages(t).select("rel_path", F.posexplode(K.merged_array(K.paragraph_array("body"), 120)).alias("ord", "part"))
@@ -92,7 +92,7 @@ _ROW = "list_last(string_split(a, chr(3)))"
 _TRIM = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
 
 
-def _titled(body, title):
+def titled_sql(body, title):
     clean = _TRIM.format(rf"regexp_replace(replace(replace({body}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
     return f"case when {clean} = '' or {title} = '' or contains(substr({clean}, 1, 80), {title}) then {clean} else {title} || chr(10) || chr(10) || {clean} end"
 
@@ -112,9 +112,9 @@ def document_sql(name, source, size, overlap):
     {_TRIM.format("case when regexp_matches(part, '^#{1,4}[ \t]+[^ \t\n]') then regexp_replace(part, '^#{1,4}[ \t]+[^\n]+', '') else part end")} as body from {name}_parts) x where body <> ''),
 {name}_paras as (select k, si, prefix, list_filter(list_transform(string_split_regex(body, '\n[ \t]*\n'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') as v from {name}_sections),
 {name}_merged as (select k, si, prefix, string_split(list_reduce(v, lambda a, x: case when length({_BUF}) < {small} and length({_BUF}) + length(x) + 2 <= {3 * small}
-  and not {_table(_BUF)} and not {_table('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as v from {name}_paras where len(v) > 0),
+  and not {table_sql(_BUF)} and not {table_sql('x')} then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as v from {name}_paras where len(v) > 0),
 {name}_flat as (select k, si, prefix, generate_subscripts(v, 1) as mi, unnest(v) as p from {name}_merged),
-{name}_wide as (select k, si, mi, prefix, p, {flat.format("prefix || p")} as f, {_table('p')} as tabled, greatest(80, {size} - length(prefix)) as room,
+{name}_wide as (select k, si, mi, prefix, p, {flat.format("prefix || p")} as f, {table_sql('p')} as tabled, greatest(80, {size} - length(prefix)) as room,
     list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '') as lines from {name}_flat),
 {name}_tables as (select *, case when len(lines) >= 2 and regexp_matches(trim(lines[2]), '{_RULE}') then 2 else 1 end as n from {name}_wide),
 {name}_heads as (select *, array_to_string(lines[1:n], chr(10)) as head, lines[n + 1:] as body from {name}_tables),
@@ -138,14 +138,14 @@ family as (select split_part(c.k, chr(2), 1) as rel_path, p.ord as p, p.piece as
 
 
 @query("I7", "i7_chunk_documents", f"""
-with src as (select rel_path as k, {_titled('body', 'title')} as t from v_pages), {document_sql('made', 'src', 520, 80)}
+with src as (select rel_path as k, {titled_sql('body', 'title')} as t from v_pages), {document_sql('made', 'src', 520, 80)}
 select k as rel_path, ord, piece as text from made""")
 def _(t):
     return K.chunk_documents(pages(t), ["rel_path"], "body", "title", 520, 80)
 
 
 @query("I8", "i8_chunk_parent_child", f"""
-with src as (select rel_path as k, {_titled('body', 'title')} as t from v_pages), {_FAMILY}
+with src as (select rel_path as k, {titled_sql('body', 'title')} as t from v_pages), {_FAMILY}
 select rel_path, p, parent_text, c, text from family""")
 def _(t):
     return K.chunk_parent_child(pages(t), ["rel_path"], "body", "title", 960, 320, 80)
@@ -165,7 +165,7 @@ _FULL = "case when title = '' or contains(substr(body, 1, 50), title) then body
 
 
 @query("I10", "i10_chunk_rows", rf"""
-with src as (select rel_path as k, {_titled(_FULL, 'title')} as t from v_pages), {_FAMILY},
+with src as (select rel_path as k, {titled_sql(_FULL, 'title')} as t from v_pages), {_FAMILY},
 numbered as (select rel_path, p, {_TRIM.format('text')} as text, row_number() over (partition by rel_path order by p, c) - 1 as ord from family),
 h as (select n.*, g.title, {_TRIM.format('g.title')} as name, trim(regexp_extract(n.text, '^【(.+?)】\n', 1)) as heading, cast(len(regexp_extract_all(lower(n.text), '[a-z0-9_]+')) as integer) as n_tokens
   from numbered n join v_pages g using (rel_path))

@@ -9,6 +9,7 @@ from ..operators import corpus as P
 from ..operators import graph as G
 from ..operators.sequences import equal_depth, page_of
 from . import common as C
+from .chunks import document_sql, table_sql, titled_sql
 from .registry import query
 
 TAGGED = """
@@ -154,7 +155,18 @@ def _(t):
     return t.pages.select(path.alias("path")).where(P.watchable()).groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("B11", "b11_parse_quality")
+_CELLS = "trim(l, ' ' || chr(10) || chr(9) || chr(13))"
+
+
+@query("B11", "b11_parse_quality", rf"""
+with src as (select cast(doc_id as varchar) as k, {titled_sql('text', "'doc' || doc_id")} as t from documents), {document_sql('made', 'src', 480, 80)},
+piece as (select k, piece, {table_sql('piece')} as tabled, list_filter(list_transform(string_split(piece, chr(10)), lambda l: case when {_CELLS} = '' or regexp_matches({_CELLS}, '^[|\-: ]*$') then 0
+    when starts_with({_CELLS}, '|') and length({_CELLS}) - length(replace({_CELLS}, '|', '')) < 2 then 1
+    when regexp_matches({_CELLS}, '\|[^|\n]*$') and not ends_with({_CELLS}, '|') then 2 else 0 end), lambda n: n > 0) as faults from made),
+per as (select d.source, d.text, count(p.k) as chunks, count(*) filter (where tabled) as tables, count(*) filter (where tabled and len(faults) > 0) as faulty
+  from documents d left join piece p on p.k = cast(d.doc_id as varchar) group by d.doc_id, d.source, d.text)
+select source, count(*) as files, count(*) filter (where faulty > 0 or length(trim(text, ' ' || chr(10))) < 40 or (regexp_matches(text, '第\d+页-表格') and tables = 0 and not contains(text, '|'))) as warned,
+  cast(sum(tables) as bigint) as table_chunks, count(*) filter (where regexp_matches(text, '(?i)OCR')) as ocr, cast(sum(chunks) as bigint) as chunks from per group by source""")
 def _(t):
     docs = t.spread(t.documents, "doc_id").select("doc_id", "source", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text")
     checked = P.parse_quality(docs)
