@@ -1,8 +1,8 @@
 """Licence scan through a positional rare-token index.
 
-Templates are indexed by word with their positions. In each file the template words that are rarest over the corpus are
-looked up; every place where one stands proposes a start for the templates that hold it, the other words of the template
-are then intersected at that start by relative position, and the mandatory phrases are verified."""
+Templates are indexed by word with their positions. In each file the rarest words of a template, one more of its places
+than may be missing, are looked up: a match must hold one of them. Every place where one stands proposes starts, the other
+words of the template are then intersected there by relative position, and the mandatory phrases are verified."""
 
 from __future__ import annotations
 
@@ -92,46 +92,55 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: frozenset[bytes
 class Index:
     """Word -> (template, position) postings, with inverse document frequencies of the template words."""
 
-    def __init__(self, known: list[Template], total: int, seen: dict[bytes, int], rare: int, least: float):
-        self.known, self.rare, self.least = known, rare, least
+    def __init__(self, known: list[Template], total: int, seen: dict[bytes, int], least: float):
+        self.known, self.least = known, least
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, template in enumerate(known):
             for at, word in enumerate(template.words):
                 self.postings[word].append((t, at))
         self.idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in self.postings}
-        self.ranked = [sorted(set(t.words), key=lambda w: (-self.idf[w], w)) for t in known]
         self.vocabulary = frozenset(self.postings)
+        self.needed = [math.ceil(len(t.words) * (1.0 if t.base else least) - 1e-9) for t in known]
+        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, template in enumerate(known):
+            ranked = sorted(range(len(template.words)), key=lambda at: (-self.idf[template.words[at]], template.words[at], at))
+            for at in ranked[:len(template.words) - self.needed[t] + 1]:
+                self.anchors[template.words[at]].append((t, at))
 
     def match(self, words: list[bytes]) -> list[tuple[str, int, float, bool]]:
         """(label, start, score, base) of every verified place."""
         present = self.vocabulary.intersection(words)
-        anchors: dict[bytes, set[int]] = defaultdict(set)
-        for t, template in enumerate(self.known):
-            held = [w for w in self.ranked[t] if w in present]
-            if len(held) < len(self.ranked[t]) * (1.0 if template.base else self.least):
-                continue
-            for word in held[:1 if template.base else self.rare]:
-                anchors[word].add(t)
-        if not anchors:
+        likely = {t for t, template in enumerate(self.known) if sum(w in present for w in template.words) >= self.needed[t]
+                  and all(w in present for key in template.keys for w in key)}
+        if not likely:
             return []
         starts: dict[int, set[int]] = defaultdict(set)
         for place, word in enumerate(words):
-            if word in anchors:
-                for t, at in self.postings[word]:
-                    if t in anchors[word]:
-                        starts[t].add(place - at)
+            for t, at in self.anchors.get(word, ()):
+                if t in likely:
+                    starts[t].update(range(place - at - self.known[t].slack, place - at + self.known[t].slack + 1))
         found = []
         for t, proposed in starts.items():
-            template, last = self.known[t], None
+            template, near = self.known[t], []
             for start in sorted(proposed):
-                if not template.base and last is not None and start - last <= template.slack:
-                    continue  # the same notice, shifted by a word or two
                 score = self.agreement(words, template, start)
-                if score >= (1.0 if template.base else self.least) and self.has_keys(words, template, start):
-                    found.append((template.label, max(start, 0), score, template.base))
-                    last = start
+                if score < self.needed[t] / len(template.words) or not self.has_keys(words, template, start):
+                    continue
+                if near and (template.base or start - near[-1][2] > template.slack):
+                    found.append(self.best(template, near))
+                    near = []
+                exact = sum(words[start + at:start + at + 1] == [w] for at, w in enumerate(template.words) if start + at >= 0)
+                near.append((score, exact, start))
+            if near:
+                found.append(self.best(template, near))
         return found
 
+    @staticmethod
+    def best(template: Template, near: list[tuple[float, int, int]]) -> tuple[str, int, float, bool]:
+        """One place of a notice that also agrees when shifted by a word or two: the best score, most words exactly in place, the first."""
+        score, _, start = max(near, key=lambda n: (n[0], n[1], -n[2]))
+        return template.label, max(start, 0), score, template.base
+
     @staticmethod
     def agreement(words: list[bytes], template: Template, start: int) -> float:
         hits = 0
@@ -155,11 +164,12 @@ class Index:
                 [{"label": f[0], "start": f[1], "score": f[2]} for f in sorted(found, key=lambda f: (f[1], f[0]))])
 
 
-def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", rare: int = 3, least: float = 0.75) -> DataFrame:
+def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", least: float = 0.75) -> DataFrame:
     """`keep` and the columns of `OUT`, one row per input row.
 
     A base phrase counts at every place where its words stand consecutively, overlaps included. A notice counts where at
-    least the share `least` of its words stands within two words of its place and its key phrases are whole. `score` is
+    least the share `least` of its words stands within two words of its place and its key phrases are whole; no such place is
+    lost, wherever else in the text its words stand. Places within two words of each other are one. `score` is
     the best agreement, 0 without a match. Null and empty texts have no words and no labels. Rows are judged alone: ties
     and repeated rows get equal results; other columns are not read; an empty table gives no rows. Two scans of the texts
     (document frequencies, lookup), no shuffle but of the template vocabulary."""
@@ -167,6 +177,6 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", rare: in
     total, seen = document_frequencies(docs, text, frozenset(w for t in known for w in t.words))
 
     def make():
-        return Index(known, total, seen, rare, least).scan
+        return Index(known, total, seen, least).scan
 
     return map_texts(docs, keep, text, OUT, make)
