@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -204,3 +205,20 @@ def test_number_of_tables_follows_the_recall():
     items = [(i, " ".join(f"w{(i * 7 + k * k) % 97}" for k in range(20 + i % 9))) for i in range(40)]
     few, many = Finder(items, 0.8, 0.8), Finder(items, 0.8, 0.99)
     assert 1 <= few.tables < many.tables <= 64
+
+
+def test_long_items_take_memory_by_blocks(monkeypatch):
+    rng, blocks, real = random.Random(11), [], Finder.block_keys
+    word = lambda: f"w{rng.randrange(400)}"
+    long = [word() for _ in range(3000)]
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(49)] + [(99, " ".join(long))]
+    monkeypatch.setattr(Finder, "block_keys", lambda self, rows, sizes, tables: blocks.append(len(rows) * int(sizes.max() * 1.6)) or real(self, rows, sizes, tables))
+    monkeypatch.setattr("folioscan.llm.decontaminate.CELLS", 20_000)
+    start = time.time()
+    finder = Finder(items, 0.8, 0.95)
+    got = finder.find([" ".join(word() for _ in range(400)) + " " + items[i][1] for i in range(20)])
+    assert [[h["item_id"] for h in hits if h["distance"] == 0] for hits, in got] == [[i] for i in range(20)]
+    edited = ["start"] * 30 + long[:1000] + ["other"] + long[1001:2000] + long[2001:]
+    hits = finder.find([" ".join(edited)])[0][0]
+    assert [(h["item_id"], h["distance"]) for h in hits if h["size"] == 3000] == [(99, 2)]
+    assert max(blocks) <= 20_000 and time.time() - start < 60
