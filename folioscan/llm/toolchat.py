@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,11 +15,36 @@ TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no blanks, and nothing escaped but what must be."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and nothing escaped but what must be. Whole numbers have no fraction: 1.0 and 1e0 are 1."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def _is(kind: str, value: Any) -> bool:
+def _number(text: str) -> int | float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is out of range")
+    return int(value) if value.is_integer() and abs(value) < 2 ** 53 else value
+
+
+def _refuse(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def _members(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    members = dict(pairs)
+    if len(members) < len(pairs):
+        raise ValueError("a key stands twice in one object")
+    return members
+
+
+def strict_json(text: str) -> Any:
+    """The value of a JSON text; NaN, infinities, numbers beyond a double and repeated keys are refused."""
+    return json.loads(text, parse_float=_number, parse_constant=_refuse, object_pairs_hook=_members)
+
+
+def _is(kind: str | list[str], value: Any) -> bool:
+    if isinstance(kind, list):
+        return any(_is(k, value) for k in kind)
     if kind in ("number", "integer"):
         whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
         return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or whole)
@@ -29,8 +55,9 @@ def faults(value: Any, schema: dict, path: str = "") -> list[str]:
     """What a value lacks to fit a schema (type, enum, required, properties, additionalProperties, items, bounds)."""
     here = path or "arguments"
     if "type" in schema and not _is(schema["type"], value):
-        return [f"{here}: not {schema['type']}"]
-    found = [f"{here}: not one of the allowed values"] if "enum" in schema and value not in schema["enum"] else []
+        return [f"{here}: not {schema['type'] if isinstance(schema['type'], str) else ' or '.join(schema['type'])}"]
+    allowed = [canonical(strict_json(json.dumps(v))) for v in schema["enum"]] if "enum" in schema else []
+    found = [f"{here}: not one of the allowed values"] if "enum" in schema and canonical(value) not in allowed else []
     if isinstance(value, dict):
         known = schema.get("properties", {})
         found += [f"{here}.{k}: missing" for k in schema.get("required", []) if k not in value]
@@ -89,8 +116,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     columns are not read. Returns `conv_id, call_id, position, level, status, faults, record`. `status` is linked, unanswered,
     orphan (a result without call), cycle (it waits for itself) or unnamed (no identifier: such rows stand alone and unlinked).
     Of repeated identifiers the earliest call and result count, ties by their content. (level, position, call_id) is a
-    topological order; level is null for orphans and cycles. `faults` lists what the arguments violate: no JSON, unknown tool,
-    or the schema. `record` is canonical JSON of id, name, arguments (the text itself if it is no JSON) and result.
+    topological order; level is null for orphans and cycles. `faults` lists what the arguments violate: no JSON (NaN, infinities
+    and repeated keys are none), unknown tool, or the schema. `record` is canonical JSON of id, name, arguments (the text itself if it is no JSON) and result.
     Null names, arguments and contents are JSON null. Empty tables give no rows. Both sides are reduced to one row per
     identifier before they meet, so the join keys are unique and no conversation is gathered."""
     first = lambda df, *cols: df.groupBy("conv_id", "call_id").agg(F.min(F.struct("position", *cols)).alias("s")).select("conv_id", "call_id", "s.*")
@@ -116,7 +143,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             value, found = row["arguments"], []
             if row["status"] != "orphan" and not (row["status"] == "unnamed" and row["name"] is None and value is None):
                 try:
-                    value = json.loads(value) if value is not None else None
+                    value = strict_json(value) if value is not None else None
                     canonical(value).encode()
                 except (ValueError, RecursionError):
                     value, found = row["arguments"], ["arguments: no JSON"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscan.llm.queries import LISTED_LABELS, ORACLES, QUERIES, URL_RULES
-from folioscan.llm.toolchat import faults, link_calls
+from folioscan.llm.toolchat import canonical, faults, link_calls, strict_json
 from folioscan.llm.urlfilter import judge_urls
 from tests.oracle import compare, connect
 
@@ -121,3 +121,26 @@ def test_the_rest_works_without_this_subpackage():
         assert not [k for k in e.queries() if k.startswith("op") or k == "pipeline"] and len(e.queries()) > 150 and e.oracle_sql()
     """
     assert subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=ROOT, timeout=120).returncode == 0
+
+
+@pytest.mark.parametrize("text", ['{"a": NaN}', "[Infinity]", "-Infinity", '{"a": 1, "a": 2}', "1e999", "", "{"])
+def test_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        strict_json(text)
+
+
+def test_numbers_types_and_values():
+    assert canonical(strict_json('{"b": 1.0, "a": [1e2, 0.5, -0.0, true]}')) == '{"a":[100,0.5,0,true],"b":1}'
+    either = {"type": ["integer", "null"], "enum": [1, None, 2.0]}
+    assert [faults(v, either) for v in (1, None, 2)] == [[], [], []]
+    assert faults(True, {"enum": [1]}) == ["arguments: not one of the allowed values"] and faults("x", either) == ["arguments: not integer or null"]
+
+
+def test_refused_arguments_keep_their_text(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "f", '{"n": NaN}', None), (1, "b", 1, "f", '{"n": 2.0}', "a"), (1, "c", 2, "f", '{"n":1,"n":2}', "b")],
+                                  "conv_id long, call_id string, position long, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    got = {r["call_id"]: r for r in link_calls(calls, results, {"f": {"properties": {"n": {"type": "integer"}}}}).collect()}
+    assert [got[k]["faults"] for k in "abc"] == [["arguments: no JSON"], [], ["arguments: no JSON"]]
+    assert [json.loads(got[k]["record"])["arguments"] for k in "abc"] == ['{"n": NaN}', {"n": 2}, '{"n":1,"n":2}']
+    assert '"n":2}' in got["b"]["record"]
