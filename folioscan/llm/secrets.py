@@ -44,12 +44,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Long strings of key characters, with a letter and a digit, close to a sensitive word: those that follow the word itself, and
     all strings close behind the name that holds it or close before it."""
-    found, done, starts, ends = [], 0, [], []
+    found, done, named, starts, ends = [], 0, 0, [], []
     keyed = lambda spot: any(c.isdigit() for c in spot[0]) and any(c.isalpha() for c in spot[0])
     for word in SENSITIVE.finditer(text):
         at = word.end()
         starts.append(word.start())
-        ends.append(NAME.match(text, at).end())
+        if at > named:  # words of one name share its end, so a name is read once
+            named = NAME.match(text, at).end()
+        ends.append(named)
         if at < done or not CANDIDATE.search(text, at, at + REACH + 16):  # inside a string already seen, or none in reach
             continue
         spot = CANDIDATE.search(text, at)

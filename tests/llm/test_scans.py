@@ -1,15 +1,17 @@
 """Licence, secret and line scans against plain Python, on real and awkward texts."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm.licenses import scan_licenses
+from folioscan.llm.licenses import Index, scan_licenses, templates
 from folioscan.llm.quality import clean_lines, repeated_words
 from folioscan.llm.queries import QUERIES
-from folioscan.llm.secrets import redact, scan_secrets
+from folioscan.llm.secrets import base_spans, candidates, redact, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " \n\t ", "word", "x" * 300_000, "a b c d e f g h " * 40, "Ünï cödé — 漢字 …", "the same line here.\nthe same line here.\n", "MIT license mit LICENSE",
@@ -51,6 +53,46 @@ def test_notices_survive_small_changes(spark):
     assert got[4]["labels"] == ["cc-by", "cc-by-nc-4.0", "mit", "mit-release"]
 
 
+def brute_notices(words, least=0.75):
+    """Every start of every template, one place for a chain of starts that are at most two words apart."""
+    found = []
+    for t in templates():
+        n, slack, near, size = len(t.words), 0 if t.base else 2, [], len(words)
+        for start in range(-n, size + 1):
+            hits = sum(w in words[max(start + i - slack, 0):max(start + i + slack + 1, 0)] for i, w in enumerate(t.words))
+            span = words[max(start - slack, 0):max(start + n + slack, 0)]
+            whole = all(any(tuple(span[i:i + len(k)]) == k for i in range(len(span))) for k in t.keys)
+            if hits < n * (1.0 if t.base else least) - 1e-9 or not whole:
+                continue
+            exact = sum(0 <= start + i < size and words[start + i] == w for i, w in enumerate(t.words))
+            if near and start - near[-1][2] <= slack and not t.base:
+                near.append((hits / n, exact, start))
+            else:
+                found += [(t.label, max(near, key=lambda x: (x[0], x[1], -x[2])))] if near else []
+                near = [(hits / n, exact, start)]
+        found += [(t.label, max(near, key=lambda x: (x[0], x[1], -x[2])))] if near else []
+    return sorted((label, max(best[2], 0), best[0]) for label, best in found)
+
+
+def test_every_notice_is_found_wherever_its_words_also_stand():
+    rng, known = random.Random(3), templates()
+    vocabulary = sorted({w for t in known for w in t.words})
+    index = Index(known, 1000, {w: rng.randrange(1000) for w in vocabulary}, 0.75)
+    seen = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = list(rng.choice(known).words)
+            for _ in range(rng.randrange(0, 1 + len(notice) // 3)):
+                spot = rng.randrange(len(notice))
+                notice[spot:spot + rng.randrange(2)] = [rng.choice([b"other", *vocabulary])] * rng.randrange(2)
+            words += notice + [rng.choice([b"filler", *vocabulary]) for _ in range(rng.randrange(30))]
+        got = sorted((label, start, score) for label, start, score, _ in index.match(words))
+        assert got == brute_notices(words)
+        seen += any(score < 1 for _, _, score in got)
+    assert seen > 20
+
+
 def brute_spans(text):
     kinds = {"assign": re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
              "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
@@ -94,6 +136,14 @@ def test_digest_query(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(brute_spans(text[r["doc_id"]])).encode()).hexdigest()
 
 
+def test_long_runs_of_sensitive_words_take_linear_time():
+    start = time.time()
+    assert candidates("token" * 1_000_000) == [] and base_spans("token" * 1_000_000) == []
+    assert candidates("token " * 200_000) == []
+    assert time.time() - start < 20
+    assert candidates("tokentoken_x = 'A1b2C3d4E5f6G7h8I9'") == [(16, 34)]
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     spots = {}
