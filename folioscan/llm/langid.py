@@ -75,7 +75,9 @@ def score_texts(docs: DataFrame, keep: list[str], text: str, logs: np.ndarray) -
             bins = trigram_bins(value)
             if not len(bins):
                 return None, None
-            like = logs[:, bins].sum(axis=1) / OVERLAP
+            times = np.bincount(bins, minlength=BINS)  # as long as the table, however long the text
+            held = np.flatnonzero(times)
+            like = (logs[:, held] * times[held]).sum(axis=1) / OVERLAP
             if -len(bins) * np.log(BINS) / OVERLAP - like.max() > STRANGE:
                 return None, None
             like -= like.max()

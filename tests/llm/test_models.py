@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm.langid import identify
+from folioscan.llm.langid import BINS, OVERLAP, identify, score_texts, trigram_bins
 from folioscan.llm.mixing import mix
 from folioscan.llm.queries import QUERIES
 from folioscan.llm.toxicity import best_threshold, score_toxicity, train_chain
@@ -116,3 +116,17 @@ def test_mix_of_odd_rows(spark):
     assert len({(r["weight"], r["copies"]) for r in got if r["doc_id"] == 3}) == 1
     assert {r["mix_topic"] for r in got} == {"prose", "legal", "contact"}
     assert mix(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_likelihoods_match_brute_force_on_any_length(spark):
+    rng = np.random.default_rng(5)
+    texts = ["the quick brown fox", "", "ab", "le renard brun saute par dessus le chien", "the fox and the dog " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    logs = np.log(rng.dirichlet(np.ones(BINS), 3))
+    got = {r["doc_id"]: r for r in score_texts(docs, ["doc_id"], "text", logs).collect()}
+    for i, text in enumerate(texts):
+        bins = trigram_bins(text)
+        if got[i]["like__"] is None:
+            continue
+        like = np.array([sum(logs[j, b] for b in bins[:10**5].tolist()) for j in range(3)]) / OVERLAP if len(bins) <= 10**5 else logs[:, bins].sum(axis=1) / OVERLAP
+        assert np.allclose(got[i]["like__"], like - like.max(), rtol=1e-6) and got[i]["vote__"] == int(like.argmax())
