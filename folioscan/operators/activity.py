@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES_PATTERN, strip, tokenize
+from ..functions.text import BLANKS, SPACES_PATTERN, strip, tokenize
 from ..session import materialize
 from .search import containing
 from .sequences import first_rows, id_block, running, top_rows
@@ -37,15 +37,20 @@ def list_sessions(sessions: DataFrame, turns: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(strip(F.coalesce("title", F.lit(""))), F.lit("")), "preview", F.lit("")).alias("title"))
 
 
-def session_recent(turns: DataFrame, summaries: DataFrame, rounds: int = 6, cut: int = 1200) -> DataFrame:
-    """The last 2 x rounds turns of each session in order, after its summary if there is one."""
+def session_recent(turns: DataFrame, summaries: DataFrame, rounds: int = 6, cut: int = 1200, blanks: str = BLANKS, edges: str = BLANKS) -> DataFrame:
+    """The last 2 x rounds turns of each session in order, after its summary if there is one.
+
+    A summary is trimmed of `blanks`, a turn of `edges`; what holds nothing but `blanks` is left out."""
+    def trimmed(name: str, of: str) -> Column:
+        return F.btrim(F.col(name), F.lit(of))
+
     last = top_rows(turns, ["session_id"], [F.desc("turn")], 2 * rounds).where(
-        F.col("role").isin("user", "assistant") & (strip("content") != ""))
+        F.col("role").isin("user", "assistant") & (trimmed("content", blanks) != ""))
     rows = last.select("session_id", F.col("turn").cast("bigint").alias("position"), "role",
-                       F.substring(strip("content"), 1, cut).alias("content"))
-    head = summaries.where(strip("summary") != "").select(
+                       F.substring(trimmed("content", edges), 1, cut).alias("content"))
+    head = summaries.where(trimmed("summary", blanks) != "").select(
         "session_id", F.lit(-1).cast("bigint").alias("position"), F.lit("user").alias("role"),
-        F.substring(strip("summary"), 1, 2000).alias("content"))
+        F.substring(trimmed("summary", blanks), 1, 2000).alias("content"))
     return head.unionByName(rows)
 
 
