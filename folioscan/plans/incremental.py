@@ -116,9 +116,8 @@ def _(t):
 
 @C.once
 def stored_index(t):
-    """The stored index of the chunk table; chunks of one language share blocks."""
-    pages = t.v_pages.select("rel_path", F.col("lang").alias("cluster"))
-    return X.build(t.spark, scratch_path(t.spark, "index"), C.index(t).select("chunk_id", "rel_path", "title", "text").join(pages, "rel_path"))
+    """The stored index of the chunk table; chunks of one language share blocks. The chunks are written once, as the index's own."""
+    return X.build(t.spark, scratch_path(t.spark, "index"), C.chunks(t).select("chunk_id", "rel_path", "title", "text", F.col("lang").alias("cluster")))
 
 
 @query("J1 J4", "j1_index_scores", f"""
@@ -139,8 +138,8 @@ tok as (select chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) a
 select term, count(distinct chunk_id) as df from tok group by term""")
 def _(t):
     """Document frequencies that the index gives after notes were replaced and sources removed."""
-    index = X.build(t.spark, scratch_path(t.spark, "index"), C.index(t))
-    notes = C.index(t).where("type = 'note'").withColumn("text", F.concat(F.lit("fresh "), "text"))
+    index = X.build(t.spark, scratch_path(t.spark, "index"), C.chunks(t))
+    notes = C.chunks(t).where("type = 'note'").withColumn("text", F.concat(F.lit("fresh "), "text"))
     X.upsert(index, notes, t.v_pages.where("type = 'note'").select("rel_path"))
     X.remove(index, t.v_pages.where("type = 'source'").select("rel_path"))
     return X.doc_frequency(index)

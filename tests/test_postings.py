@@ -88,6 +88,24 @@ def files(path):
     return {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
 
 
+def test_an_index_takes_no_more_than_its_text(spark, folder):
+    rng = random.Random(4)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    made = [(f"d/{i}.md#0", f"d/{i}.md", "t", " ".join(rng.choice(words) for _ in range(80))) for i in range(2000)]
+    P.build(spark, f"{folder}/ix", spark.createDataFrame(made, COLUMNS).coalesce(1), 4)
+    held = sum(os.path.getsize(f) for f in files(f"{folder}/ix") if "/docs/" not in f)
+    assert held < 1.5 * sum(len(r[3]) for r in made)
+
+
+def test_numbers_are_coded_and_decoded():
+    import numpy as np
+
+    for values in ([], [0], [127, 128, 0, 300, 16383, 16384, 5], [1 << 40, 3, 1 << 21]):
+        data, sizes = P.coded(np.array(values, np.int64))
+        assert P.decoded(data.tobytes()).tolist() == values and len(data) == sizes.sum()
+
+
 def test_a_query_reads_only_its_buckets(spark, folder, small):
     index = P.build(spark, f"{folder}/ix", spark.createDataFrame(corpus(), COLUMNS), 32)
     asked = spark.createDataFrame([("riv",), ("ive",)], "gram string")
