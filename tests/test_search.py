@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.functions.text import tokenize
 from folioscan.operators import search as S
@@ -41,3 +43,31 @@ def test_a_mix_has_the_rows_it_needs(tables, spark):
 def test_scaled_scores_are_not_shuffled(spark):
     df = load()["e3_minmax"].run(spark, data_dir("0.001"))
     assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_matches_are_summed_where_the_chunks_lie(tables):
+    queries, chunks = tables
+    hits = S.matching_postings(queries, chunks).groupBy("chunk_id", "token").agg(F.count("*").alias("tf")).join(S.query_tokens(queries), "token")
+    want = hits.groupBy("query_id").agg(F.count("*").alias("pairs"), F.count_distinct("chunk_id").alias("chunks"), F.sum("tf").alias("occurrences"))
+    got = S.token_matches(queries, chunks)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_id" not in plan.split("MapInArrow")[0]  # no chunk is shuffled
+
+
+def test_products_do_not_depend_on_how_words_are_met(tables, monkeypatch):
+    queries, chunks = tables
+    want = rows(S.tfidf_top(queries, chunks, 5))
+    assert want == rows(S.best(S.tfidf_scores(queries, chunks), 5))
+    owner, word = np.array([0, 0, 2]), np.array([0, 1, 1])
+    weights = S.Weights([{"a": 2.0}, {"b": 3.0, "a": 1.0}])
+    light = weights.product(owner, word, np.array([1.0, 2.0, 4.0]), 3)
+    monkeypatch.setattr(S, "DENSE_FROM", -1)
+    assert light.tolist() == weights.product(owner, word, np.array([1.0, 2.0, 4.0]), 3).tolist() == [[2, 0, 0], [7, 0, 12]]
+
+
+def test_a_task_keeps_only_what_can_still_be_among_the_best():
+    scores, floor = np.array([[3.0, 1.0, 2.0]]), S.Floor(1, 2)
+    assert S._keep_best(scores, 2, True, floor=floor)[1].tolist() == [0, 2]
+    assert S._keep_best(np.array([[1.5, 2.0, 4.0]]), 2, True, floor=floor)[1].tolist() == [2]
+    assert S._keep_best(np.array([[3.0, 2.9]]), 2, True, slack=0.2, floor=floor)[1].tolist() == [0, 1]
