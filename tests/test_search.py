@@ -71,3 +71,24 @@ def test_a_task_keeps_only_what_can_still_be_among_the_best():
     assert S._keep_best(scores, 2, True, floor=floor)[1].tolist() == [0, 2]
     assert S._keep_best(np.array([[1.5, 2.0, 4.0]]), 2, True, floor=floor)[1].tolist() == [2]
     assert S._keep_best(np.array([[3.0, 2.9]]), 2, True, slack=0.2, floor=floor)[1].tolist() == [0, 1]
+
+
+def test_a_phrase_is_counted_where_it_is_found(spark):
+    texts = spark.createDataFrame([("a", "aaaa b"), ("b", "b aa"), ("c", None), ("d", "x")], "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "b")], "query_id long, q string")
+    got = S.containing(texts, "content", asked, ["chunk_id"], "f").select("query_id", "chunk_id", "f").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 3), (1, "b", 1), (2, "a", 3), (2, "b", 1), (3, "a", 1), (3, "b", 1)]
+
+
+def test_a_text_is_cut_once(spark):
+    from folioscan.operators.chunking import window_chunks
+
+    docs = spark.createDataFrame([(1, "a  b"), (2, " "), (3, None), (4, "x" * 12)], "id long, body string")
+    df = window_chunks(docs, ["id"], "body", 10, 2)
+    assert sorted(map(tuple, df.collect())) == [(1, 0, "a b"), (4, 0, "x" * 10), (4, 1, "xxxx")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_words_with_and_without_pairs_of_signs(spark):
+    df = spark.createDataFrame([("Ab 中 c_1",), ("中文字 x",), (None,), ("",)], "text string").select(tokenize("text").alias("t"))
+    assert [r[0] for r in df.collect()] == [["ab", "中", "c_1"], ["中文字", "中文", "文字", "x"], None, []]
