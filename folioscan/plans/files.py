@@ -136,7 +136,9 @@ def _(t):
     from ..streaming.jobs import stream_ingest
 
     staged, path = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "index")
-    t.v_pages.select("rel_path", "title", "body").repartition(3, "rel_path").write.parquet(staged)
-    stream = t.spark.readStream.schema("rel_path string, title string, body string").option("maxFilesPerTrigger", 2).parquet(staged)
+    # As many files as the documents have splits, so that none grows with the corpus; two thirds of them come first.
+    parts = max(3, t.documents.rdd.getNumPartitions())
+    t.v_pages.select("rel_path", "title", "body").repartition(parts, "rel_path").write.parquet(staged)
+    stream = t.spark.readStream.schema("rel_path string, title string, body string").option("maxFilesPerTrigger", -(-2 * parts // 3)).parquet(staged)
     stream_ingest(stream, path, scratch_path(t.spark, "cp"))
     return O.read_index(t.spark, path).agg(F.count_distinct("rel_path").alias("pages"))
