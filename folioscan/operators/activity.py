@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import BLANKS, SPACES_PATTERN, strip, tokenize
 from ..session import materialize
-from .search import containing
+from .search import Floor, Weights, blocks_of, containing, keep_best, many_queries, one_line, query_tokens, words_of
 from .sequences import first_rows, id_block, running, top_rows
 
 # Words by which a query refers to the owner, and the fixed extra queries.
@@ -70,11 +74,14 @@ def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit:
                scan: int | None = None) -> DataFrame:
     """Earlier answered questions that share words: overlap with question and answer, half a point more per question word.
 
-    All grounded rows count; `scan` keeps to so many of the `newest`. Words that nearly every row has make no pairs: a question's words are
+    All grounded rows count; `scan` keeps to so many of the `newest`. The words of the questions, the stated query set, are shipped to the
+    tasks, and only a task's own best leave it. Questions beyond `QUERY_BYTES` stay a table: words that nearly every row has make no pairs: a question's words are
     taken rarest first. The rows its first words lead to are scored whole and give a floor, the `limit`-th best score; a row that holds none
     of the first p words scores at most 1.5 for each later one, so words are followed only until that is below the floor."""
     recent = qa.where("grounded = 1")
     recent = recent if scan is None else recent.orderBy(*newest).limit(scan)
+    if not many_queries(questions):
+        return materialize(top_rows(_overlaps(questions, recent, limit), ["query_id"], [F.desc("score"), F.desc("id")], limit), "first")
     rows = recent.select("id", F.array_distinct(tokenize(F.concat_ws(" ", "question", "answer"))).alias("words"),
                          F.array_distinct(tokenize("question")).alias("qw"))
     asked = questions.select("query_id", F.array_distinct(tokenize("text")).alias("tokens"))
@@ -102,6 +109,33 @@ def related_qa(questions: DataFrame, qa: DataFrame, newest: list[Column], limit:
     return top_rows(found, ["query_id"], order, limit)
 
 
+def _overlaps(questions: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """`(query_id, id, score)` of the rows that can be among the `k` best of a question, ties included."""
+    asked = query_tokens(questions).groupBy("query_id").agg(F.collect_set("token").alias("t"))
+    blocks = blocks_of([(r["query_id"], dict.fromkeys(r["t"], 1.0)) for r in asked.toLocalIterator()])
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
+    texts = rows.select("id", one_line(tokenize(F.concat_ws(" ", "question", "answer"))).alias("words"), one_line(tokenize("question")).alias("qw"))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), texts.schema["id"], T.StructField("score", T.DoubleType())])
+    target = to_arrow_schema(schema)
+
+    def score(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held = [(pa.array([q for q, _ in some], type=pa.int64()), Weights([w for _, w in some]), Floor(len(some), k)) for some in shared.value]
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            for names, weights, floor in held:
+                total = np.zeros((len(names), batch.num_rows))
+                for at, share in ((1, 1.0), (2, 0.5)):
+                    owner, word, _ = words_of(batch.column(at), weights.words)
+                    total += weights.product(owner, word, np.full(len(word), share), batch.num_rows)
+                qi, ri = keep_best(total, k, True, floor=floor)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(qi)), batch.column(0).take(pa.array(ri)).cast(target.field(1).type), pa.array(total[qi, ri])],
+                                                 schema=target)
+
+    return texts.mapInArrow(score, schema)
+
+
 def query_alias_expand(queries: DataFrame, owner: dict[str, str], limit: int = 8) -> DataFrame:
     """Extra query rows for queries that refer to the owner: names, aliases and fixed words, the first `limit` distinct."""
     import re

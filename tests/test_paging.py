@@ -63,6 +63,18 @@ def test_words_that_all_rows_share_make_no_pairs(spark, monkeypatch):
         assert first.count() == 150
 
 
+def test_questions_beyond_a_shipped_size_find_the_same(spark, monkeypatch):
+    qa = spark.createDataFrame([(f"{i:02d}", f"the topic{i % 7} more{i % 5}", f"word{i % 3}", 1) for i in range(60)], "id string, question string, answer string, grounded int")
+    asked = spark.createDataFrame([(i, f"the topic{i} more{i} word1") for i in range(8)], "query_id long, text string")
+    found = lambda: sorted(tuple(r) for r in A.related_qa(asked, qa, [F.desc("id")]).select("query_id", "id", "score").collect())
+    scans = []
+    real = A._overlaps
+    monkeypatch.setattr(A, "_overlaps", lambda *a: scans.append(1) or real(*a))
+    shipped = found()
+    monkeypatch.setattr(A, "many_queries", lambda queries: True)
+    assert shipped == found() and len(scans) == 1
+
+
 def test_active_devices_by_sweep(spark):
     rng = random.Random(1)
     start = dt.datetime(2026, 1, 1)

@@ -68,9 +68,9 @@ def test_products_do_not_depend_on_how_words_are_met(tables, monkeypatch):
 
 def test_a_task_keeps_only_what_can_still_be_among_the_best():
     scores, floor = np.array([[3.0, 1.0, 2.0]]), S.Floor(1, 2)
-    assert S._keep_best(scores, 2, True, floor=floor)[1].tolist() == [0, 2]
-    assert S._keep_best(np.array([[1.5, 2.0, 4.0]]), 2, True, floor=floor)[1].tolist() == [2]
-    assert S._keep_best(np.array([[3.0, 2.9]]), 2, True, slack=0.2, floor=floor)[1].tolist() == [0, 1]
+    assert S.keep_best(scores, 2, True, floor=floor)[1].tolist() == [0, 2]
+    assert S.keep_best(np.array([[1.5, 2.0, 4.0]]), 2, True, floor=floor)[1].tolist() == [2]
+    assert S.keep_best(np.array([[3.0, 2.9]]), 2, True, slack=0.2, floor=floor)[1].tolist() == [0, 1]
 
 
 def test_a_phrase_is_counted_where_it_is_found(spark):
