@@ -92,3 +92,12 @@ def test_a_text_is_cut_once(spark):
 def test_words_with_and_without_pairs_of_signs(spark):
     df = spark.createDataFrame([("Ab 中 c_1",), ("中文字 x",), (None,), ("",)], "text string").select(tokenize("text").alias("t"))
     assert [r[0] for r in df.collect()] == [["ab", "中", "c_1"], ["中文字", "中文", "文字", "x"], None, []]
+
+
+def test_words_of_a_chunk_are_counted_without_shuffling_them(tables):
+    _, chunks = tables
+    chunks = chunks.unionByName(chunks.where("chunk_id < 'c2'"))  # some ids twice
+    want = chunks.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    got = S.term_frequency(chunks)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "token#" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
