@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import tokenize
+from folioscan.operators import chunking as K
 from folioscan.operators import search as S
-from folioscan.plans import load
+from folioscan.plans import common, links, load, retrieval
+from folioscan.plans.fixtures import Tables
 from tests.oracle import data_dir
 
 
@@ -101,3 +103,34 @@ def test_words_of_a_chunk_are_counted_without_shuffling_them(tables):
     got = S.term_frequency(chunks)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "token#" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("\n", 1)[1]
+
+
+def ids(df, column="query_id"):
+    return {r[0] for r in df.select(column).distinct().collect()}
+
+
+def test_a_subgraph_scores_words_and_resolves_links_only_where_they_count(spark, monkeypatch):
+    t, asked, linked = Tables(spark, data_dir("0.001")), [], []
+    top, resolve = S.tfidf_top, links.G.resolve_links
+    monkeypatch.setattr(S, "tfidf_top", lambda queries, *a, **b: asked.append(ids(queries)) or top(queries, *a, **b))
+    monkeypatch.setattr(links.G, "resolve_links", lambda found, pages: linked.append(ids(found, "rel_path")) or resolve(found, pages))
+    links.nodes(t)
+    phrases, every = ids(retrieval.bm25(t)), ids(common.queries(t))
+    assert phrases and asked == [every - phrases]  # a query with phrase hits has no other keyword hits
+    assert len(linked) == 1 and linked[0] <= ids(links.hits(t), "rel_path")
+
+
+def test_words_cut_for_the_scan_alone_give_the_same_scores(tables):
+    queries, chunks = tables
+    few = queries.where("query_id < 2")
+    for by in (None, "scope_id"):
+        assert rows(S.tfidf_top(few, chunks, 5, by, cut=True)) == rows(S.tfidf_top(few, chunks, 5, by))
+    assert rows(S.tfidf_top(queries.where("query_id < 0"), chunks, 5, cut=True)) == []
+
+
+def test_windows_of_long_texts(spark):
+    texts = [("a" * 479 + "é") * 30, "ü" * (16 * 400 + 80), "ü" * (16 * 400 + 81), "x" * 480, "x" * 481, "b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, body string")
+    got = K.window_chunks(df, ["i"], "body").collect()
+    want = [(i, n, x[n * 400:n * 400 + 480]) for i, x in enumerate(texts) for n in range(1 if len(x) <= 480 else -(-(len(x) - 480) // 400) + 1)]
+    assert sorted(map(tuple, got)) == want
