@@ -1,6 +1,7 @@
 """Toxicity chain, language fusion and mixing: held-out accuracy, evidence, marginals."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,16 @@ def test_mix_goes_on_until_the_marginals_fit(spark):
         mix(docs.where("substr(source, 2) = substr(lang, 2)"), ["doc_id"], targets=goals)
 
 
+def test_mix_reads_long_runs_in_time(spark):
+    """A run of letters without an address takes time in proportion to its length."""
+    long = "a" * 400_000
+    docs = spark.createDataFrame([(1, long), (2, f"{long}@b.c"), (3, f"{long}@b {long}")], "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang")
+    mix(docs.limit(0), ["doc_id"]).count()  # the session is warm
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["mix_topic"], r["mix_tokens"]) for r in mix(docs, ["doc_id"]).collect()}
+    assert got == {1: ("prose", 1), 2: ("contact", 1), 3: ("prose", 2)} and time.monotonic() - began < 60
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "some words here", "s", None), (3, "some words here", "s", None), (None, "under a license", None, "en"), (5, "mail a@b.c ###", "t", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit(1))
