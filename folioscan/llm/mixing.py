@@ -1,7 +1,7 @@
 """Mix a corpus to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents are summed into cells of source, language and topic. Raking scales the cells until their token sums match every
-target marginal; its state is one factor per value of each dimension. Documents are then sampled with the calibrated rate
+target marginal; its state is the cells with one factor for each of their dimensions. Documents are then sampled with the calibrated rate
 of their cell."""
 
 from __future__ import annotations
@@ -40,43 +40,49 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance
     """`cells (dims..., tokens)` with `factor`: tokens * factor have the target shares in every dimension; and the residual, the
     largest error of a share relative to its target.
 
-    Each half-round sums the static cells under the other dimensions' factors and writes the new factors of one dimension:
-    one aggregate with map-side sums over the cell table. There are at least `rounds`, and then as many as bring the residual
-    down to `tolerance`; where a round no longer lowers it, the targets contradict each other, which is left to the caller.
-    Values without a target get factor 0; a value whose cells are all empty keeps its target unmet and is not in the residual."""
+    The cells carry each dimension's target share and factor along. A half-round sums them under the other dimensions' factors,
+    one aggregate with map-side sums, and writes them with the new factors of one dimension: one shuffle and one join each, so
+    that the driver plans little. There are at least `rounds`, and then as many as bring the residual down to `tolerance`; where
+    a round no longer lowers it, the targets contradict each other, which is left to the caller. Values without a target get
+    factor 0; a value whose cells are all empty keeps its target unmet and is not in the residual."""
     spark = cells.sparkSession
-    factors: dict[str, tuple[DataFrame, str | None]] = {d: (t.select(d, F.lit(1.0).alias(f"f_{d}")), None) for d, t in targets.items()}
-
-    def masses(dim: str, under: list[str]) -> DataFrame:
-        weighed, weight = cells, F.col("tokens").cast("double")
-        for other in under:
-            weighed = weighed.join(factors[other][0], other)
-            weight = weight * F.col(f"f_{other}")
-        return weighed.groupBy(dim).agg(F.sum(weight).alias("mass")).where("mass > 0")
+    state, path = cells, None
+    for dim, target in targets.items():
+        state = state.join(target.select(dim, F.col("share").cast("double").alias(f"s_{dim}")), dim, "left")
+    state = state.select(*cells.columns, *[f"s_{d}" for d in targets], *[F.when(F.col(f"s_{d}").isNotNull(), 1.0).otherwise(0.0).alias(f"f_{d}") for d in targets])
+
+    def weight(under: list[str]) -> Column:
+        return reduce(lambda out, d: out * F.col(f"f_{d}"), under, F.col("tokens").cast("double"))
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal path
+        old, path = path, scratch_path(spark, "factors")
+        df.write.parquet(path)
+        if old:
+            drop_path(spark, old)
+        return spark.read.schema(df.schema).parquet(path)
 
     def residual() -> float:
+        values = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value"), F.col(f"s_{d}").alias("share")) for d in targets]))
+        masses = state.select(values.alias("v"), weight(list(targets)).alias("w")).groupBy("v.dim", "v.value").agg(F.sum("w").alias("mass"), F.max("v.share").alias("share"))
         ratio = F.col("mass") / F.col("share")
-        sides = [targets[d].join(masses(d, list(targets)), d).agg(F.min(ratio).alias("low"), F.max(ratio).alias("high"), (F.sum("mass") / F.sum("share")).alias("mean")) for d in targets]
-        rows = [r for r in reduce(DataFrame.unionByName, sides).collect() if r["mean"]]
+        sides = masses.where("mass > 0").groupBy("dim").agg(F.min(ratio).alias("low"), F.max(ratio).alias("high"), (F.sum("mass") / F.sum("share")).alias("mean"))
+        rows = [r for r in sides.collect() if r["mean"]]
         return max((abs(r[side] / r["mean"] - 1) for r in rows for side in ("low", "high")), default=0.0)
 
+    state = written(state)
     done, error, before = 0, math.inf, math.inf
     while done < rounds or tolerance < error < STALLED * before:
-        for dim, target in targets.items():
-            sums = masses(dim, [other for other in targets if other != dim])
-            path = scratch_path(spark, "factor")
-            target.join(sums, dim).select(dim, (F.col("share") / F.col("mass")).alias(f"f_{dim}")).write.parquet(path)
-            if factors[dim][1]:
-                drop_path(spark, factors[dim][1])
-            factors[dim] = (spark.read.schema(f"{dim} string, f_{dim} double").parquet(path), path)
+        for dim in targets:
+            mass = F.sum(weight([other for other in targets if other != dim]))
+            sums = state.groupBy(dim).agg(mass.alias("mass"), F.max(f"s_{dim}").alias("share")).where("mass > 0")
+            fresh = sums.select(dim, (F.col("share") / F.col("mass")).alias("fresh"))
+            state = written(state.drop(f"f_{dim}").join(fresh, dim, "left").withColumn(f"f_{dim}", F.coalesce("fresh", F.lit(0.0))).drop("fresh"))
         done += 1
         if done >= rounds:
             before, error = error, residual()
-    out, factor = cells, F.lit(1.0)
-    for dim in targets:
-        out = out.join(factors[dim][0], dim, "left")
-        factor = factor * F.coalesce(F.col(f"f_{dim}"), F.lit(0.0))
-    return out.select(*cells.columns, factor.alias("factor")), error
+    factor = reduce(lambda out, d: out * F.col(f"f_{d}"), targets, F.lit(1.0))
+    return state.select(*cells.columns, factor.alias("factor")), error
 
 
 def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
@@ -98,12 +104,11 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text
                          topic_of(F.col(text)).alias("mix_topic"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("mix_tokens"))
     cells = materialize(marked.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     goals = {d: (targets or {}).get(d) or tempered(cells, d, p) for d, p in zip(dims, powers)}
-    raked, error = rake(cells, {d: materialize(g, "target") for d, g in goals.items()}, rounds, tolerance)
+    raked, error = rake(cells, goals, rounds, tolerance)
     if error > tolerance:
         warnings.warn(f"the mixing targets contradict each other: a share is {error:.2%} off its target", RuntimeWarning, stacklevel=2)
-    fitted = materialize(raked, "fitted")
-    scale = fitted.agg((F.sum(F.col("tokens").cast("double")) * share / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))
-    rates = fitted.select(*dims, (F.col("factor") * scale.scalar()).alias("weight"))
+    scale = raked.agg((F.sum(F.col("tokens").cast("double")) * share / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))
+    rates = raked.select(*dims, (F.col("factor") * scale.scalar()).alias("weight"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key__").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     out = marked.join(rates, list(dims), "left").withColumn(
         "weight", F.when(F.col("mix_tokens") > 0, F.round(F.coalesce("weight", F.lit(0.0)), 9)).otherwise(0.0))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm.langid import BINS, OVERLAP, identify, score_texts, trigram_bins
-from folioscan.llm.mixing import mix
+from folioscan.llm.mixing import mix, rake, tempered
 from folioscan.llm.queries import QUERIES
 from folioscan.llm.toxicity import best_threshold, score_toxicity, train_chain
 
@@ -119,6 +119,18 @@ def test_mix_reads_long_runs_in_time(spark):
     assert got == {1: ("prose", 1), 2: ("contact", 1), 3: ("prose", 2)} and time.monotonic() - began < 60
 
 
+def test_raking_plans_little(spark):
+    """A half-round shuffles once: its jobs and plans are what fills the driver's memory."""
+    cells = spark.createDataFrame([(f"s{i % 3}", f"l{i % 2}", f"t{i % 5}", i + 1) for i in range(30)], "mix_source string, mix_lang string, mix_topic string, tokens long")
+    share = {d: tempered(cells, d, 0.5).cache() for d in ("mix_source", "mix_lang", "mix_topic")}
+    group = f"rake-{time.monotonic()}"
+    spark.sparkContext.setJobGroup(group, "raking")
+    fitted, error = rake(cells, share, 6)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert error < 1e-3 and fitted.count() == 30 and len(jobs) <= 75
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "some words here", "s", None), (3, "some words here", "s", None), (None, "under a license", None, "en"), (5, "mail a@b.c ###", "t", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("tokens", F.lit(1))
