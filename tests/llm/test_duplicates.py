@@ -140,6 +140,43 @@ def test_a_large_family_and_unlike_members_of_one_key(spark, monkeypatch, crowd)
     check_classes(rows, classes_of(spark, rows, crowd=crowd), least=1.0)
 
 
+def test_no_pair_at_the_similarity_is_lost(spark):
+    """One word of 49 changed: 40 of 50 shingles are shared. Bands of minima miss some two in a thousand of such pairs."""
+    rng = random.Random(21)
+    rows = []
+    for f in range(4000):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(49)]
+        rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join([*base[:24], "changed", *base[25:]]))]
+    got = classes_of(spark, rows)
+    assert [f for f in range(4000) if got[2 * f] != got[2 * f + 1]] == []
+    assert len(set(got.values())) == 4000
+
+
+@pytest.mark.parametrize("crowd", [2000, 8])
+def test_prefixes_alone_lose_nothing(spark, monkeypatch, crowd):
+    monkeypatch.setattr(similar.Bands, "keys", lambda self, low: np.arange(self.bands) + xxhash.xxh64_intdigest(low.tobytes()) // 4)  # no two texts share a band
+    rng = random.Random(6)
+    rows = families(rng, 40, 5, 2, 6) + [(d + 100_000, t) for d, t in families(rng, 1, 60, 1, 6)] + [(d + 200_000, t) for d, t in families(rng, 30, 4, 1, 2, size=49)]
+    rows += [(300_000, "a b c d e f g"), (300_001, "a b  c d e f g"), (301_000, ""), (301_001, " ")]
+    check_classes(rows, classes_of(spark, rows, crowd=crowd), least=1.0)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 9, 10, 11, 45, 200])
+def test_prefixes_and_bins_of_pairs_at_the_similarity(size):
+    rng = np.random.default_rng(size)
+    common = np.sort(rng.integers(1 << 40, size=50, dtype=np.uint64))
+    for _ in range(200):
+        both = rng.integers(1 << 63, size=size, dtype=np.uint64)
+        both[:size // 3] = common[:size // 3] if size // 3 <= 50 else both[:size // 3]
+        own = [rng.integers(1 << 63, size=rng.integers(0, max(1, size // 8) + 1), dtype=np.uint64) for _ in range(2)]
+        x, y = (np.unique(np.concatenate([both, o])) for o in own)
+        if similar.alike(x, y, 0.8):
+            assert set(similar.prefix(x, common, 0.8).tolist()) & set(similar.prefix(y, common, 0.8).tolist())
+            assert similar.maybe_alike(similar.thinned(x), similar.thinned(y), 0.8)
+            unlike = np.abs(np.frombuffer(similar.binned(x), np.uint8).astype(int) - np.frombuffer(similar.binned(y), np.uint8)).sum()
+            assert unlike <= (len(x) + len(y)) / 9 + 1e-6
+
+
 def test_odd_texts_have_classes(spark):
     rows = [(1, ""), (2, None), (3, " \n"), (None, "one two"), (5, "One  TWO"), (6, "one two three"), (7, "x" * 100_000), (7, "x" * 100_000), (8, "x " * 100_000), (9, "y " * 100_000 + "z")]
     got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
