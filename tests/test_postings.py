@@ -73,6 +73,25 @@ def test_pages_are_replaced_and_removed(spark, queries, folder, small):
     assert sorted(map(tuple, index.chunks().collect()), key=repr) == sorted(now, key=repr)
 
 
+def test_a_change_reads_no_posting_rows(spark, folder, small):
+    """What the replaced pages had added to the term counts comes from their own texts."""
+    now = corpus()
+    index = P.build(spark, f"{folder}/ix", spark.createDataFrame(now, COLUMNS), 4)
+    held = {f: open(f, "rb").read() for f in files(f"{folder}/ix/terms")}
+    for f in held:
+        with open(f, "wb"):
+            pass  # emptied: to read it would fail
+    fresh = [("d/3.md#0", "d/3.md", "t", "stone stone brook")]
+    P.upsert(index, spark.createDataFrame(fresh, COLUMNS), spark.createDataFrame([("d/3.md",), ("d/4.md",)], "rel_path string"))
+    P.remove(index, spark.createDataFrame([("d/3.md",), ("d/4.md",), ("d/5.md",)], "rel_path string"))
+    for f, data in held.items():
+        with open(f, "wb") as out:
+            out.write(data)
+    left = spark.createDataFrame([r for r in now if r[1] not in ("d/3.md", "d/4.md", "d/5.md")], COLUMNS)
+    want = tokens(left).select("chunk_id", F.explode("tokens").alias("term")).groupBy("term").agg(F.count_distinct("chunk_id").alias("df"))
+    assert sorted(map(tuple, P.doc_frequency(index).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_an_unfinished_change_does_not_count(spark, queries, folder, small):
     now = spark.createDataFrame(corpus(), COLUMNS)
     index = P.build(spark, f"{folder}/ix", now, 4)
