@@ -78,9 +78,9 @@ def _(t):
 
     assets = t.pages.select(F.concat(F.lit("assets/documents/"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"),
                             F.col("url").alias("title"), html_text("html").alias("body"))
-    union = O.corpus_union(t.spread(C.page_arrays(t), "rel_path"), t.spread(assets, "rel_path"))
+    union = O.corpus_union(t.spread(C.page_arrays(t), "rel_path", scan=t.documents), t.spread(assets, "rel_path", scan=t.pages))
     path = scratch_path(t.spark, "index")
-    O.write_index(chunk_rows(union), path)
+    O.write_index(chunk_rows(union), path, dealt=True)
     return O.read_index(t.spark, path).select("rel_path").distinct()
 
 

@@ -12,6 +12,8 @@ from ..operators.graph import broken_links, knowledge_map, orphan_pages
 
 # Changes that are kept beside the last whole version before they are folded into a new one.
 MOST_CHANGES = 8
+# Chunks repeat their parents and tokens, which this codec finds where the default does not.
+CODEC = "zstd"
 
 
 def _files(spark: SparkSession, path: str):
@@ -42,14 +44,16 @@ def _next(spark: SparkSession, path: str, kind: str) -> str:
     return f"{path}/{last + 1:010d}-{kind}"
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Publish a whole new version of a table that `chunks` may itself read; file sizes follow the data.
+def write_index(chunks: DataFrame, path: str, dealt: bool = False) -> None:
+    """Publish a whole new version of a table that `chunks` may itself read; file sizes follow the data. With `dealt`, the rows already lie
+    in even partitions, as chunks of pages do where these are read, and are written there without a shuffle.
 
     A version is a folder of its own and nothing is renamed, so a stop at any point leaves the last finished version as it
     was. The version before stays for readers that still hold it; older ones are removed."""
     spark = chunks.sparkSession
     keys = [F.col("rel_path")] if "rel_path" in chunks.columns else []
-    chunks.hint("rebalance", *keys).write.parquet(_next(spark, path, "whole"))
+    rows = chunks if dealt else chunks.hint("rebalance", *keys)
+    rows.write.option("compression", CODEC).parquet(_next(spark, path, "whole"))
     names = versions(spark, path)
     wholes = [n for n in names if n.endswith("-whole")]
     for name in names:
@@ -69,7 +73,7 @@ def upsert_index(fresh: DataFrame, changed: DataFrame, path: str) -> None:
         write_index(fresh, path)
         return
     folder = _next(spark, path, "change")
-    fresh.write.parquet(f"{folder}/rows")
+    fresh.write.option("compression", CODEC).parquet(f"{folder}/rows")
     changed.select("rel_path").distinct().write.parquet(f"{folder}/changed")
     since = [n for n in names if n > max(x for x in names if x.endswith("-whole"))]
     if len(since) >= MOST_CHANGES:

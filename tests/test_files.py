@@ -108,6 +108,23 @@ def test_index_upsert(spark, folder):
     assert sum(n.endswith("-change") for n in O.versions(spark, path)[-3:]) < O.MOST_CHANGES
 
 
+def test_chunks_are_written_where_their_pages_lie(spark, folder):
+    """No shuffle of the chunks, which hold their page's text several times over; and no join is run to learn how many splits a table has."""
+    from folioscan.plans.fixtures import Tables
+
+    pages = spark.range(0, 60, 1, 3).select(F.concat(F.lit("n/"), F.col("id").cast("string")).alias("rel_path"), F.lit("T").alias("title"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(900)), lambda i: F.concat(F.lit("word"), (i * F.col("id") % 5000).cast("string")))).alias("body"))
+    O.write_index(chunk_rows(pages), folder + "/even")
+    O.write_index(chunk_rows(pages), folder + "/dealt", dealt=True)
+    rows = lambda name: sorted(map(tuple, O.read_index(spark, f"{folder}/{name}").select("chunk_id", "text", "parent_text").collect()), key=str)
+    assert len(rows("dealt")) > 600 and rows("dealt") == rows("even")
+    held = [os.path.join(d, f) for d, _, fs in os.walk(folder + "/dealt") for f in fs if f.endswith(".parquet")]
+    assert len(held) == 3 and all(".zstd." in f for f in held)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    stops = t.documents.groupBy("doc_id").agg(F.raise_error(F.concat(F.lit("it ran "), F.max("lang"))).alias("x")).repartition(3)
+    assert t.spread(stops, "doc_id", scan=t.documents).columns == ["doc_id", "x"]
+
+
 def test_a_stopped_write_loses_nothing(spark, folder):
     schema, path = "rel_path string, title string, body string", folder + "/index"
     O.write_index(chunk_rows(spark.createDataFrame([(f"n/{i}.md", "T", f"word{i} text") for i in range(4)], schema)), path)
